@@ -25,16 +25,16 @@ def value_ranks(df: DataFrame, keys, value: str) -> DataFrame:
     v = F.col(value)
     counts = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
               .groupBy(*keys, v.cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_cnt"))
-              .withColumn("_b", value_bucket(F.col(value))))
+              .withColumn("_vbucket", value_bucket(F.col(value))))
     per_group = W.partitionBy(*keys)
-    offsets = (counts.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bn"))
-               .select(*keys, "_b",
-                       (F.sum("_bn").over(per_group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_bn"))
+    offsets = (counts.groupBy(*keys, "_vbucket").agg(F.sum("_cnt").alias("_vtotal"))
+               .select(*keys, "_vbucket",
+                       (F.sum("_vtotal").over(per_group.orderBy("_vbucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_vtotal"))
                        .alias("_off"),
-                       F.sum("_bn").over(per_group).alias("_n")))
-    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+                       F.sum("_vtotal").over(per_group).alias("_n")))
+    inside = W.partitionBy(*keys, "_vbucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (counts.withColumn("_in", F.sum("_cnt").over(inside) - F.col("_cnt"))
-            .join(offsets, [*keys, "_b"])
+            .join(offsets, [*keys, "_vbucket"])
             .select(*keys, value, "_cnt", (F.col("_off") + F.col("_in")).alias("_before"), "_n"))
 
 

@@ -13,6 +13,7 @@ def get_spark(app: str = "cutline", cpus: str = "*") -> SparkSession:
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("CUTLINE_DRIVER_MEMORY", "8g"))
             .getOrCreate())
 
