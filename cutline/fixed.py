@@ -45,10 +45,15 @@ COMMON_TICKERS = ("NOW", "COST", "WELL", "GILD", "COP", "BA", "DE", "GE", "KO",
 NORM_RX = r"[^a-z0-9]+"
 SOURCE_SUFFIX_RX = r"\s+[-|–—]\s+[^-|–—]{1,40}$"
 CLUSTER_TOKEN_RX = r"[a-z][a-z'&-]+"
-NOVELTY_TOKEN_RX = r"\b[a-zA-Z][a-zA-Z'&-]+\b"
+NOVELTY_TOKEN_RX = r"(?U)\b[a-zA-Z][a-zA-Z'&-]+\b"
 LEXICON_TOKEN_RX = r"[A-Za-z]+"
 VEC_TOKEN_RX = r"\$?[A-Za-z]+(?:[.'&-][A-Za-z]+)*|\d+(?:[.,]\d+)*%?"
 NUMBER_RX = r"[-+−]?\d+(?:[.,]\d+)*%?"
+DATE_RX = (
+    r"(?i)\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?"
+    r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s*\d{0,2}(?:,?\s*\d{4})?\b|\b(?:19|20)\d{2}\b"
+    r"|\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b|\b(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day\b")
+CASHTAG_RX = r"\$[A-Za-z]{1,5}(?:[.\-][A-Za-z])?\b"
 TEMPLATE_RX = (
     r"(?:shares (?:sold|bought|purchased|acquired) by|shares (?:in|of) .{0,80}(?:acquired|sold|bought|purchased) by"
     r"|(?:acquires?|buys?|sells?|purchases?|trims?|cuts?|lowers?|raises?|boosts?|increases?|decreases?|reduces?|grows?|lifts?)"

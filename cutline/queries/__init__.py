@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "projections", "joins", "aggregates", "windows")
+MODULES = ("scans", "projections", "joins", "aggregates", "windows", "sorts", "text", "rules", "evaluation", "models", "composites")
 
 
 def load_all():

@@ -163,3 +163,6 @@ cte("panel", """SELECT p.*, p.gap_pct - p.beta60 * p.mkt_gap AS resid_gap, r.* E
   CASE WHEN p.gap_pct > -100 THEN ln(1 + l.ret) - ln(1 + p.gap_pct / 100) END AS rest
   FROM peer p LEFT JOIN regime r USING (target) JOIN daily l ON l.symbol = p.symbol AND l.date_et = p.target AND l.ret IS NOT NULL""",
     "peer", "regime", "daily")
+
+cte("ev_m", "SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((o_orderkey * 7919) % 43200 AS INT)) AS known_at) FROM ev", "ev")
+cte("ev_mt", "SELECT e.*, c.target, c.widx FROM ev_m e JOIN cal c ON e.known_at >= c.lo AND e.known_at < c.cutoff", "ev_m", "cal")

@@ -83,6 +83,13 @@ class Market:
             ((F.try_divide(rep, est) - 1) * 100).alias("surprise_pct"), act.alias("action"),
             F.col("o_totalprice").alias("target_current"), ((F.col("o_custkey") % 40) * 8000.0).alias("target_prior"))
 
+    @cached_property
+    def events_month(self) -> DataFrame:
+        """The same events, spread over the month of the hourly bars."""
+        at = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+              + F.make_dt_interval(F.lit(0), F.lit(0), ((F.col("o_orderkey") * 7919) % 43200).cast("int")))
+        return self.orders_ev.withColumn("known_at", at)
+
     @cached_property
     def news(self) -> DataFrame:
         d = F.col("doc_id")
