@@ -172,8 +172,9 @@ class BigMoveModel:
         y = is_extreme("label")
         if self.input == "text":
             x = self._text(df).where("_tok IS NOT NULL")
+            top = {} if self.max_df == 1.0 else {"maxDF": float(self.max_df)}
             stages = [CountVectorizer(inputCol="_tok", outputCol="_tf" if self.idf else "features", minDF=float(self.min_df),
-                                      maxDF=float(self.max_df), vocabSize=VOCABULARY_LIMIT)]
+                                      vocabSize=VOCABULARY_LIMIT, **top)]
             if self.idf:
                 stages += [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
         else:

@@ -41,7 +41,7 @@ def cte(name, sql, *deps):
     CTES[name] = (sql, deps)
 
 
-def W(*names, body: str, recursive: bool = False) -> str:
+def W(*names, body: str) -> str:
     """WITH clause of the named tables and everything they need, then the body."""
     order = []
 
@@ -53,8 +53,10 @@ def W(*names, body: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    return ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order)
-            + "\n" + body)
+    body = body.strip()
+    if body.startswith("WITH "):
+        body = "," + body[4:]
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
 
 
 sym = lambda c: f"'S' || lpad(CAST({c} % 10 AS VARCHAR), 2, '0')"

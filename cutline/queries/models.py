@@ -162,14 +162,14 @@ def _(m):
 
 
 # ---- explanation ------------------------------------------------------------------------
-PERM = f"""WITH d AS (SELECT target, (r / 5)::INT AS b, (r % 5)::INT AS i FROM (SELECT target, CAST(floor(r) AS INT) AS r FROM (SELECT target, row_number() OVER (ORDER BY target) - 1 AS r FROM (SELECT DISTINCT target FROM panel)))),
+PERM = f"""WITH
   dd AS (SELECT target, CAST(floor(r / 5.0) AS INT) AS b, r % 5 AS i FROM (SELECT target, row_number() OVER (ORDER BY target) - 1 AS r FROM (SELECT DISTINCT target FROM panel))),
   bl AS (SELECT b, count(*) AS len FROM dd GROUP BY 1), rp AS (SELECT b, len, rep FROM bl, (SELECT unnest(range(4)) AS rep)),
   pm AS (SELECT rep, b AS pb, len, row_number() OVER (PARTITION BY rep ORDER BY {H("'0'", 'CAST(rep AS VARCHAR)', 'CAST(b AS VARCHAR)')}, b) - 1 AS b FROM rp)
   SELECT pm.rep::INT AS rep, dd.target, s.target AS source FROM dd JOIN pm ON pm.b = dd.b JOIN dd s ON s.b = pm.pb AND s.i = dd.i % pm.len"""
 
 
-@query("J15_block_permutation", W("panel", body=f"""SELECT p.symbol, p.target, m.rep, {R('q.gap_pct')} AS gap_pct FROM panel p JOIN ({PERM.replace(PERM[PERM.index('d AS (SELECT target, (r / 5)'):PERM.index('dd AS')], '')}) m ON m.target = p.target
+@query("J15_block_permutation", W("panel", body=f"""SELECT p.symbol, p.target, m.rep, {R('q.gap_pct')} AS gap_pct FROM panel p JOIN ({PERM}) m ON m.target = p.target
   LEFT JOIN panel q ON q.symbol = p.symbol AND q.target = m.source"""))
 def _(m):
     from .rules import fit_panel
