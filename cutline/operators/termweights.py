@@ -4,15 +4,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import NEGATORS, STOPWORDS
 from ..functions.scalars import hash_int
-from ..functions.text import char_ngrams, vector_tokens
+from ..functions.text import padded_words, vector_tokens, word_ngrams
 
 HASH_SPACE = 1 << 18
 NAMES = ("count_uni", "tfidf_uni", "tfidf_bi", "tfidf_char", "tfidf_stop", "tfidf_df", "lm_vocab", "hashing")
 
 
 def _terms(df: DataFrame, text: str, name: str):
-    if name == "tfidf_char":
-        return char_ngrams(text)
     toks = vector_tokens(text)
     if name == "tfidf_stop":
         stop = [w for w in STOPWORDS if w not in NEGATORS]
@@ -31,8 +29,15 @@ def term_weights(docs: DataFrame, id_col: str, text: str, name: str, min_df=5, m
         raise ValueError(f"vectoriser '{name}' unknown; choose from {NAMES}")
     if name == "tfidf_df":
         min_df, max_df = (20 if min_df == 5 else min_df), (0.5 if max_df == 1.0 else max_df)
-    tf = (docs.select(id_col, F.explode(_terms(docs, text, name)).alias("term"))
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    if name == "tfidf_char":
+        # count words first: their n-grams are then made once per distinct word of the text
+        words = (docs.select(id_col, F.explode(padded_words(text)).alias("_w"))
+                 .groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_c")))
+        tf = (words.select(id_col, "_c", F.explode(word_ngrams(F.col("_w"))).alias("term"))
+              .groupBy(id_col, "term").agg(F.sum("_c").cast("double").alias("tf")))
+    else:
+        tf = (docs.select(id_col, F.explode(_terms(docs, text, name)).alias("term"))
+              .groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
     if name == "hashing":
         tf = tf.groupBy(id_col, F.pmod(hash_int("term"), F.lit(HASH_SPACE)).cast("string").alias("term")).agg(F.sum("tf").alias("tf"))
         return _unit_length(tf.withColumn("weight", F.col("tf")), id_col)

@@ -14,7 +14,8 @@ from .events import abnormal_counts, tagged
 # ---- company mentions ---------------------------------------------------------
 def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
     """(token, symbol, pattern): a title can only match the pattern if it has the token as a whole
-    word, so candidates come from an equality join and the regex only verifies them."""
+    word, so tokens pick the candidates and the regex only verifies them. The table is made
+    from the caller's dictionary on the driver, so its size is known."""
     rows = set()
     for s in sorted(set(symbols) | set(aliases)):
         pattern = symbol_pattern(s, aliases.get(s, []), COMMON_TICKERS)
@@ -23,34 +24,30 @@ def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "token string, mentioned string, pattern string")
 
 
-def title_mentions(titles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(tkey, mentioned): companies named in each exact title."""
-    cand = (titles.select("tkey", "title", F.explode(F.array_distinct(tokens(F.lower("title"), r"(?U)\w+"))).alias("token"))
-            .join(patterns, "token"))
-    return cand.where(F.expr("title RLIKE pattern")).select("tkey", "mentioned").distinct()
-
-
-def with_relevance(articles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """rel: 0 only tagged, 1 own company in the title, 2 the only company in it; n_entities.
-
-    Mentions depend on letter case, so they are found once per exact title (tkey)."""
-    titles = articles.groupBy("tkey").agg(F.min("title").alias("title"))
-    ment = title_mentions(titles, patterns)
-    n = ment.groupBy("tkey").agg(F.count(F.lit(1)).cast("int").alias("_ent"))
-    own = ment.select("tkey", F.col("mentioned").alias("symbol"))
-    x = articles.join(own.join(n, "tkey"), ["tkey", "symbol"], "left")
-    rel = F.when(F.col("_ent").isNull(), 0).when(F.col("_ent") <= 1, 2).otherwise(1)
-    return x.withColumns({"rel": rel, "n_entities": F.coalesce("_ent", F.lit(0))}).drop("_ent")
+def with_mentions(df: DataFrame, title: str, patterns: DataFrame, out: str = "mentioned") -> DataFrame:
+    """Distinct companies named in the title, as an array, computed inside the row: no join, no shuffle
+    and no copy of the text per token."""
+    entries = patterns.groupBy("token").agg(F.collect_list(F.struct("mentioned", "pattern")).alias("who"))
+    packed = entries.agg(F.map_from_entries(F.collect_list(F.struct("token", "who")))).scalar()
+    x = df.withColumn("_dict", packed)
+    words = F.array_intersect(tokens(F.lower(title), r"(?U)\w+"), F.map_keys("_dict"))
+    cand = F.array_distinct(F.flatten(F.transform(words, lambda t: F.element_at("_dict", t))))
+    hits = F.filter(cand, lambda e: F.rlike(F.col(title), e["pattern"]))
+    return x.withColumn(out, F.array_distinct(F.transform(hits, lambda e: e["mentioned"]))).drop("_dict")
 
 
 def article_table(news: DataFrame, cal: DataFrame, universe: DataFrame, patterns: DataFrame) -> DataFrame:
-    """One row per (article, tagged symbol) with ids, template flag and relevance. Text work is
-    done once per article, before the tags are exploded."""
+    """One row per (article, tagged symbol) with ids, template flag and relevance: rel 0 only tagged, 1 own
+    company in the title, 2 the only company in it. Text work is done once per article, before the
+    tags are exploded."""
     n = assign_window(news, cal, "known_at").withColumn("title", clean_title("title"))
     n = n.select("known_at", "target", "widx", "symbols", "source", "title", "tone", F.md5("title").alias("tkey"),
                  title_id("title").alias("title_id"), cluster_key("title").alias("ckey"),
                  is_template("title").alias("is_template"))
-    return with_relevance(tagged(n, universe).drop("symbols"), patterns)
+    n = tagged(with_mentions(n, "title", patterns), universe).drop("symbols")
+    own, count = F.array_contains("mentioned", F.col("symbol")), F.size("mentioned")
+    return n.withColumns({"rel": F.when(~own, 0).when(count <= 1, 2).otherwise(1),
+                          "n_entities": F.when(own, count).otherwise(0)}).drop("mentioned")
 
 
 # ---- lexicon tone ---------------------------------------------------------------
@@ -133,56 +130,59 @@ BLOCK_TITLES = 128
 VOCAB_SLICE = 2048
 
 
-def _block_best(today, past):
-    """Best cosine of every title of one block against one block of earlier titles."""
+def _block_best(window):
+    """Best cosine of every title of one block against the earlier titles of another block."""
     import numpy as np
     import pandas as pd
 
-    if today.empty or past.empty:
-        return today.iloc[:0][["symbol", "widx", "ckey"]].assign(best=pd.Series(dtype="float64"))
-    vocab = {}
-    for words in today["words"]:
-        for w in words:
-            vocab.setdefault(w, len(vocab))
-
-    def sparse(frame, p):
-        row, col, val = [], [], []
-        for i, (words, weights) in enumerate(zip(frame[p + "words"], frame[p + "weights"])):
-            for w, x in zip(words, weights):
-                j = vocab.get(w)
-                if j is not None:
-                    row.append(i), col.append(j), val.append(x)
-        return np.array(row, int), np.array(col, int), np.array(val, float)
-
-    t, p = sparse(today, ""), sparse(past, "p_")
-    sim = np.zeros((len(today), len(past)))
-    for lo in range(0, len(vocab), VOCAB_SLICE):
-        dense = []
-        for (row, col, val), n in ((t, len(today)), (p, len(past))):
-            m = np.zeros((n, VOCAB_SLICE))
-            k = (col >= lo) & (col < lo + VOCAB_SLICE)
-            m[row[k], col[k] - lo] = val[k]
-            dense.append(m)
-        sim += dense[0] @ dense[1].T
-    return pd.DataFrame({"symbol": today["symbol"], "widx": today["widx"], "ckey": today["ckey"],
-                         "best": sim.max(axis=1)})
+    def flat(frame, p):
+        ids = [np.asarray(v, "int64") for v in frame[p + "words"]]
+        row = np.repeat(np.arange(len(ids)), [len(v) for v in ids])
+        val = np.concatenate([np.asarray(v, float) for v in frame[p + "weights"]])
+        return row, np.concatenate(ids), val
+
+    def dense(row, ids, val, n, part):
+        pos = np.minimum(np.searchsorted(part, ids), len(part) - 1)
+        hit = part[pos] == ids
+        m = np.zeros((n, len(part)))
+        m[row[hit], pos[hit]] = val[hit]
+        return m
+
+    def best(today, past):
+        out = today[["symbol", "widx", "ckey"]].assign(best=pd.Series(dtype="float64"))
+        if today.empty or past.empty:
+            return out.iloc[:0]
+        gap = today["widx"].to_numpy()[:, None] - past["p_widx"].to_numpy()[None, :]
+        earlier = (gap >= 1) & (gap <= window)
+        if not earlier.any():
+            return out.iloc[:0]
+        (tr, ti, tv), (pr, pi, pv) = flat(today, ""), flat(past, "p_")
+        shared = np.intersect1d(ti, pi)
+        sim = np.zeros((len(today), len(past)))
+        for lo in range(0, len(shared), VOCAB_SLICE):
+            part = shared[lo:lo + VOCAB_SLICE]
+            sim += dense(tr, ti, tv, len(today), part) @ dense(pr, pi, pv, len(past), part).T
+        out["best"] = np.where(earlier, sim, -1.0).max(axis=1)
+        return out[earlier.any(axis=1)]
+
+    return best
 
 
 def title_words(c):
     """Word multiset of a title, sorted: equal arrays mean equal vectors."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.array_sort(F.filter(tokens(F.lower(c), NOVELTY_TOKEN_RX), lambda w: ~F.array_contains(stop, w)))
+    return F.array_sort(F.filter(tokens(F.lower(c), NOVELTY_TOKEN_RX), lambda w: ~w.isin(*STOPWORDS)))
 
 
 def title_vectors(reps: DataFrame) -> DataFrame:
-    """Unit-length term-count vectors as parallel arrays, one row per distinct word multiset (vkey)."""
-    terms = (reps.groupBy("vkey").agg(F.min("title").alias("title"))
-             .select("vkey", F.explode(title_words("title")).alias("w"))
-             .groupBy("vkey", "w").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    vec = terms.groupBy("vkey").agg(F.sort_array(F.collect_list(F.struct("w", "tf"))).alias("v"))
+    """Unit-length term-count vectors as parallel arrays (64-bit term id, weight), one row per distinct
+    word multiset (vkey). Counting is a grouped count with map-side combine."""
+    ids = F.transform(title_words("title"), lambda w: F.xxhash64(w))
+    terms = (reps.groupBy("vkey").agg(F.min("title").alias("title")).select("vkey", F.explode_outer(ids).alias("w"))
+             .groupBy("vkey", "w").agg(F.count("w").cast("double").alias("tf")))
+    vec = terms.groupBy("vkey").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "tf"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["tf"] * e["tf"]))
-    return vec.select("vkey", F.transform("v", lambda e: e["w"]).alias("words"),
-                      F.transform("v", lambda e: e["tf"] / norm).alias("weights"))
+    return vec.withColumn("n", norm).select("vkey", F.transform("v", lambda e: e["w"]).alias("words"),
+                                            F.transform("v", lambda e: e["tf"] / F.col("n")).alias("weights"))
 
 
 def novelty(reps: DataFrame, window: int = NEWS_WINDOW, block_titles: int = BLOCK_TITLES) -> DataFrame:
@@ -190,30 +190,36 @@ def novelty(reps: DataFrame, window: int = NEWS_WINDOW, block_titles: int = BLOC
     titles of the previous ``window`` windows; 1 when there are none.
 
     A word multiset already printed in the span has similarity 1 and is settled by a window frame.
-    The rest meets the past in blocks of about ``block_titles`` titles: every (today block, past
-    block) pair is one task-sized matrix product that returns one best value per title, so a
-    symbol with a third of all news is many small products and no title pairs are materialised.
+    The rest is joined by time chunks of ``window`` windows: the past of a chunk lies in that chunk and
+    the one before, so each title travels twice and not once per later window. Inside a chunk,
+    titles are spread over blocks of about ``block_titles``; a pair of blocks is one task-sized
+    matrix product that returns one best value per title. A symbol with a third of all news is
+    many small products, and no title pairs are materialised.
     """
     reps = reps.withColumn("vkey", F.md5(F.array_join(title_words("title"), " ")))
     empty = F.md5(F.lit(""))
     prev = F.max("widx").over(W.partitionBy("symbol", "vkey").orderBy("widx").rangeBetween(-window, -1))
-    r = (reps.select("symbol", "widx", "ckey", "vkey")
+    r = (reps.select("symbol", "widx", "ckey", "vkey").withColumn("_g", F.floor(F.col("widx") / window).cast("int"))
          .withColumn("_seen", prev.isNotNull() & (F.col("vkey") != empty)))
-    size = r.groupBy("symbol", "widx").agg(F.ceil(F.count(F.lit(1)) / block_titles).cast("int").alias("_nb"))
-    r = r.join(size, ["symbol", "widx"]).withColumn("_b", F.pmod(F.xxhash64("ckey"), F.col("_nb")).cast("int")).drop("_nb")
-    blocks = size.select("symbol", "widx", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
-    past_blocks = blocks.select("symbol", F.col("widx").alias("_pw"), F.col("_b").alias("_pb"),
-                                F.explode(F.sequence(F.col("widx") + 1, F.col("widx") + window)).alias("widx"))
-    pairs = blocks.join(past_blocks, ["symbol", "widx"])
-    docs = r.join(title_vectors(reps), "vkey")
-    pair_id = ["symbol", "widx", "_b", "_pw", "_pb"]
-    today = (docs.where(~F.col("_seen")).join(pairs, ["symbol", "widx", "_b"])
-             .select(*pair_id, "ckey", "words", "weights"))
-    old = docs.select("symbol", F.col("widx").alias("_pw"), F.col("_b").alias("_pb"), "words", "weights")
-    past = (old.join(pairs, ["symbol", "_pw", "_pb"]).select(*pair_id, "words", "weights")
-            .toDF(*[f"p{c}" for c in pair_id], "p_words", "p_weights"))
-    best = (today.groupBy(*pair_id).cogroup(past.groupBy(*[f"p{c}" for c in pair_id]))
-            .applyInPandas(_block_best, "symbol string, widx int, ckey string, best double")
+    # the vectors feed both sides and the result: written once instead of being rebuilt three times
+    docs = cut_lineage(r.join(title_vectors(reps), "vkey"))
+    r = docs.drop("words", "weights")
+    size = r.groupBy("symbol", "_g").agg(F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("_seen")).alias("_new"))
+    both = F.explode(F.array(F.col("_g"), F.col("_g") + 1)).alias("_g")
+    spans = size.select("symbol", "_all", both).groupBy("symbol", "_g").agg(F.sum("_all").alias("_past"))
+    blocks = lambda c: F.ceil(F.col(c) / block_titles).cast("int")
+    cells = (size.where(F.col("_new") > 0).join(spans, ["symbol", "_g"])
+             .select("symbol", "_g", blocks("_new").alias("_nb"), blocks("_past").alias("_npb")))
+    block_of = lambda n: F.pmod(F.xxhash64("ckey", "widx"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = ["symbol", "_g", "_b", "_pb"]
+    today = (docs.where(~F.col("_seen")).join(cells, ["symbol", "_g"])
+             .select("symbol", "_g", block_of("_nb").alias("_b"), each("_npb").alias("_pb"), "widx", "ckey", "words", "weights"))
+    past = (docs.select("symbol", both, "widx", "ckey", "words", "weights").join(cells, ["symbol", "_g"])
+            .select("symbol", "_g", each("_nb").alias("_b"), block_of("_npb").alias("_pb"), "widx", "words", "weights")
+            .toDF(*[f"p{c}" for c in cell], "p_widx", "p_words", "p_weights"))
+    best = (today.groupBy(*cell).cogroup(past.groupBy(*[f"p{c}" for c in cell]))
+            .applyInPandas(_block_best(window), "symbol string, widx int, ckey string, best double")
             .groupBy("symbol", "widx", "ckey").agg(F.max("best").alias("best")))
     x = r.join(best, ["symbol", "widx", "ckey"], "left")
     sim = F.when(F.col("_seen"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))

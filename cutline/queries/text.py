@@ -63,8 +63,9 @@ def _(m):
 @query("F9_company_mentions", W("ment", body="SELECT tkey, symbol AS mentioned FROM ment"))
 def _(m):
     from ..operators.calendar import assign_window
-    n = assign_window(m.news, m.cal, "known_at").select(X.clean_title("title").alias("title")).distinct()
-    return T.title_mentions(n.withColumn("tkey", F.md5("title")), m.patterns)
+    n = assign_window(m.news, m.cal, "known_at").select(X.clean_title("title").alias("title"))
+    n = T.with_mentions(n, "title", m.patterns)
+    return n.select(F.md5("title").alias("tkey"), F.explode("mentioned").alias("mentioned")).distinct()
 
 
 @query("F10_relevance_tier", W("arts", body="SELECT symbol, known_at, tkey, rel, n_entities::INT AS n_entities FROM arts"))
@@ -74,7 +75,7 @@ def _(m):
 
 @query("F11_lexicon_scores", W("reps", "lexicon", body=f"SELECT title_id, {R('lm_net', 9)} AS lm_net, {R('lm_unc', 9)} AS lm_unc FROM ({LEXQ})"))
 def _(m):
-    reps = T.representatives(articles(m)).groupBy("title_id").agg(F.min("title").alias("title"))
+    reps = cut_lineage(T.representatives(articles(m))).groupBy("title_id").agg(F.min("title").alias("title"))
     return T.lexicon_scores(reps, m.lexicon).select("title_id", r6("lm_net", 9).alias("lm_net"), r6("lm_unc", 9).alias("lm_unc"))
 
 
@@ -203,7 +204,7 @@ sims AS (SELECT a.symbol, a.widx, a.ckey, sum(a.x * b.x) AS sim FROM nv a JOIN n
 SELECT symbol, widx, (round"""))
 def _(m):
     reps = cut_lineage(T.representatives(articles(m)))
-    return T.novelty(reps, block_titles=8).select("symbol", "widx", r6("novelty_r1", 8).alias("novelty_r1"))
+    return T.novelty(reps).select("symbol", "widx", r6("novelty_r1", 8).alias("novelty_r1"))
 
 
 TOK = VT.replace("{0}", "text")

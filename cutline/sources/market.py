@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import ratio_change
 from ..operators.calendar import trading_calendar
+from .tables import read_spread
 
 SYMBOLS = [f"S{i:02d}" for i in range(10)]
 ALIASES = {s: [f"Company {chr(65 + i)}"] for i, s in enumerate(SYMBOLS) if i < 8}
 LEXICON = {"positive": ["BEATS", "HE", "ON", "AN", "EST"], "negative": ["TRIMS", "THE", "ION", "LA"],
            "uncertainty": ["TALKS", "AND", "ER"]}
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 CUTS = (-25.0, -6.0, 6.0, 25.0)
 
 
@@ -26,7 +28,8 @@ class Market:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A whole input table; text tables are spread over the session's slots when small."""
+        return read_spread(self.spark, f"{self.dir}/{name}.parquet", TEXT_KEYS.get(name))
 
     @cached_property
     def price(self) -> DataFrame:

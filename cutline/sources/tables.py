@@ -14,6 +14,17 @@ DAILY_SCHEMA = T.StructType([
 NEWS_LIGHT = ["known_at", "symbols", "source", "url", "title", "tone", "positive", "negative"]
 
 
+def read_spread(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Read parquet; when the files give fewer splits than the session has slots, spread the rows by
+    ``key`` so that text work uses all of them. Large inputs have more splits than slots and are
+    left as they are."""
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    if key is not None and df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots, key)
+    return df
+
+
 def symbol_filter(df: DataFrame, symbols) -> DataFrame:
     """Keep wanted symbols; on comma-joined tags keep the row if any tag is wanted."""
     if symbols is None:
