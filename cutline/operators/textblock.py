@@ -106,7 +106,7 @@ def representatives(articles: DataFrame) -> DataFrame:
 def joined_titles(reps: DataFrame) -> DataFrame:
     """Titles in (known_at, ckey) order joined by `` || ``. The cell is the group's whole text;
     jobs over many titles should use ``representatives`` rows instead."""
-    rows = F.array_sort(F.collect_list(F.struct("known_at", "ckey", "title")))
+    rows = F.sort_array(F.collect_list(F.struct("known_at", "ckey", "title")))
     return reps.groupBy("symbol", "widx").agg(
         F.array_join(F.transform(rows, lambda r: r["title"]), " || ").alias("titles_r1"))
 
@@ -170,7 +170,7 @@ def _block_best(window):
 
 def title_words(c):
     """Word multiset of a title, sorted: equal arrays mean equal vectors."""
-    return F.array_sort(F.filter(tokens(F.lower(c), NOVELTY_TOKEN_RX), lambda w: ~w.isin(*STOPWORDS)))
+    return F.sort_array(F.filter(tokens(F.lower(c), NOVELTY_TOKEN_RX), lambda w: ~w.isin(*STOPWORDS)))
 
 
 def title_vectors(reps: DataFrame) -> DataFrame:
@@ -179,10 +179,11 @@ def title_vectors(reps: DataFrame) -> DataFrame:
     ids = F.transform(title_words("title"), lambda w: F.xxhash64(w))
     terms = (reps.groupBy("vkey").agg(F.min("title").alias("title")).select("vkey", F.explode_outer(ids).alias("w"))
              .groupBy("vkey", "w").agg(F.count("w").cast("double").alias("tf")))
-    vec = terms.groupBy("vkey").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "tf"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["tf"] * e["tf"]))
-    return vec.withColumn("n", norm).select("vkey", F.transform("v", lambda e: e["w"]).alias("words"),
-                                            F.transform("v", lambda e: e["tf"] / F.col("n")).alias("weights"))
+    # the length is an aggregate, so it is a finished column inside the lambda below
+    vec = terms.groupBy("vkey").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "tf"))).alias("v"),
+                                    F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("n"))
+    return vec.select("vkey", F.transform("v", lambda e: e["w"]).alias("words"),
+                      F.transform("v", lambda e: e["tf"] / F.col("n")).alias("weights"))
 
 
 def novelty(reps: DataFrame, window: int = NEWS_WINDOW, block_titles: int = BLOCK_TITLES) -> DataFrame:

@@ -94,7 +94,7 @@ cte("news", """SELECT doc_id, 'S0' || doc_id % 10 || ',S0' || (doc_id * 7 + 3) %
   CAST((n_chars % 21) - 10 AS DOUBLE) AS tone,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 43200 AS INT)) AS known_at FROM documents""")
 cte("forum", """SELECT conv_id || '-' || turn AS post_id, conv_id, turn, role AS sub,
-  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((conv_id * 37 + turn * 611) % 43200 AS INT)) AS created_et,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((conv_id * 7919 + turn * 37) % 43200 AS INT)) AS created_et,
   CASE WHEN conv_id % 2 = 0 THEN '$S0' || conv_id % 10 || ' vs S0' || turn % 10 || ' ' || text ELSE text END AS body FROM conversations""")
 cte("universe", "SELECT DISTINCT symbol FROM daily", "daily")
 NORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"

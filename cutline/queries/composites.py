@@ -74,9 +74,9 @@ MEMB = "(SELECT symbol, 'u0' AS universe_id FROM universe WHERE symbol <= 'S06'
 
 
 @query("B3_universe_panels", W("gap", "universe", "daily", body=f"""WITH g AS (SELECT gap.*, universe_id FROM gap JOIN {MEMB} USING (symbol))
-  SELECT d.symbol, d.target, d.universe_id, {R('(SELECT CASE WHEN count(o.gap_pct) >= 3 THEN median(o.gap_pct) END FROM g o WHERE o.target = d.target AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)')} AS mkt_gap,
+  SELECT w.*, {grade_sql('(l.ret * 100)', CUTS)} AS label FROM (SELECT d.symbol, d.target, d.universe_id, {R('(SELECT CASE WHEN count(o.gap_pct) >= 3 THEN median(o.gap_pct) END FROM g o WHERE o.target = d.target AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)')} AS mkt_gap,
   {R('CASE WHEN gap_pct IS NOT NULL THEN (rank() OVER (PARTITION BY universe_id, target ORDER BY gap_pct) + (count(*) OVER (PARTITION BY universe_id, target, gap_pct) - 1) / 2.0) / count(gap_pct) OVER (PARTITION BY universe_id, target) END')} AS gap_rank,
-  {R('median(gap_pct) OVER (PARTITION BY universe_id, target)')} AS reg_mkt_gap, {grade_sql('(l.ret * 100)', CUTS)} AS label FROM g d JOIN daily l ON l.symbol = d.symbol AND l.date_et = d.target AND l.ret IS NOT NULL"""))
+  {R('median(gap_pct) OVER (PARTITION BY universe_id, target)')} AS reg_mkt_gap FROM g d) w JOIN daily l ON l.symbol = w.symbol AND l.date_et = w.target AND l.ret IS NOT NULL"""))
 def _(m):
     u = m.universe
     memb = (u.where("symbol <= 'S06'").withColumn("universe_id", F.lit("u0"))

@@ -116,7 +116,7 @@ class Market:
         return self.raw("conversations").select(
             F.concat_ws("-", "conv_id", "turn").alias("post_id"), "conv_id", "turn", F.col("role").alias("sub"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-                F.lit(0), F.lit(0), ((F.col("conv_id") * 37 + F.col("turn") * 611) % 43200).cast("int"))).alias("created_et"),
+                F.lit(0), F.lit(0), ((F.col("conv_id") * 7919 + F.col("turn") * 37) % 43200).cast("int"))).alias("created_et"),
             F.when(F.col("conv_id") % 2 == 0, F.concat(tag, F.col("text"))).otherwise(F.col("text")).alias("body"))
 
     @cached_property
