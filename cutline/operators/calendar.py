@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed import CUTOFF_INTERVAL
+from ..session import pin_small
 
 
 def at_cutoff(day) -> Column:
@@ -13,16 +14,17 @@ def at_cutoff(day) -> Column:
 def trading_calendar(daily: DataFrame, date: str = "date_et", start=None) -> DataFrame:
     """(date, target, lo, cutoff, widx): base day, next trading day, window [lo, cutoff), ordinal.
 
-    The window runs over distinct dates only (a few hundred per year), never over rows.
+    The window runs over distinct dates only (a few hundred per year), never over rows. The result is
+    pinned: every raw table is joined to it, and must not be shuffled for that.
     """
     w = W.orderBy("date")
     days = daily.select(F.col(date).cast("date").alias("date")).distinct()
     if start is not None:
         days = days.where(F.col("date") >= F.lit(start).cast("date"))
-    return (days.withColumn("target", F.lead("date").over(w))
-            .withColumn("widx", (F.row_number().over(w) - 1).cast("int"))
-            .where(F.col("target").isNotNull())
-            .select("date", "target", at_cutoff("date").alias("lo"), at_cutoff("target").alias("cutoff"), "widx"))
+    cal = (days.withColumn("target", F.lead("date").over(w))
+           .withColumn("widx", (F.row_number().over(w) - 1).cast("int"))
+           .where(F.col("target").isNotNull()))
+    return pin_small(cal).select("date", "target", at_cutoff("date").alias("lo"), at_cutoff("target").alias("cutoff"), "widx")
 
 
 def strict_after_calendar(cal: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Values are first collapsed to (group, value, count) with map-side combine, then each
 group is split over value buckets.  The bucket of a value is a fixed monotone function
 of the value alone, so every evaluation of the plan agrees on it.  Bucket totals (at
-most a few thousand rows per group) give the offset of each bucket; inside a bucket a
+most about ten thousand rows per group) give the offset of each bucket; inside a bucket a
 window finishes the ranks.  A group holding a third of all rows is therefore spread
 over its buckets, and a single very frequent value is one row.
 """
@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS_PER_UNIT = 16
+BUCKETS_PER_UNIT = 256
 
 
 def value_bucket(v) -> Column:

@@ -6,7 +6,7 @@ from ..fixed import (COMMON_TICKERS, EVENT_RX, FIRST_LOOKBACK, LEXICON_TOKEN_RX,
                      NOVELTY_TOKEN_RX, RELEVANCE, STOPWORDS)
 from ..functions.text import (clean_title, cluster_key, event_flags, is_template, symbol_pattern, title_id, tokens,
                               word_runs)
-from ..session import cut_lineage
+from ..session import cut_lineage, local_table
 from .calendar import assign_window, dense_grid
 from .events import abnormal_counts, tagged
 
@@ -21,7 +21,8 @@ def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
         pattern = symbol_pattern(s, aliases.get(s, []), COMMON_TICKERS)
         for name in [s, *aliases.get(s, [])]:
             rows.add((word_runs(name)[0].lower(), s, pattern))
-    return spark.createDataFrame(sorted(rows), "token string, mentioned string, pattern string")
+    rows = sorted(rows)
+    return local_table(spark, {c: [r[i] for r in rows] for i, c in enumerate(("token", "mentioned", "pattern"))})
 
 
 def with_mentions(df: DataFrame, title: str, patterns: DataFrame, out: str = "mentioned") -> DataFrame:

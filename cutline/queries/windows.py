@@ -172,13 +172,13 @@ def wilder_sql(expr, n=14):
   FROM (SELECT symbol, list({expr} ORDER BY date_et) AS xs, list(date_et ORDER BY date_et) AS ds FROM daily_w GROUP BY 1) WHERE len(xs) > {n})"""
 
 
-@query("W16_rsi", W("daily_w", body=f"""SELECT d.symbol, d.date_et, {R('g.v', 7)} AS avg_gain, {R('l.v', 7)} AS avg_loss,
-  {R('CASE WHEN g.v IS NULL THEN NULL WHEN l.v > 0 THEN 100.0 - 100.0 / (1.0 + g.v / l.v) ELSE 100.0 END')} AS rsi FROM daily_w d
+@query("W16_rsi", W("daily_w", body=f"""SELECT d.symbol, d.date_et, {R('g.v', 5)} AS avg_gain, {R('l.v', 5)} AS avg_loss,
+  {R('CASE WHEN g.v IS NULL THEN NULL WHEN l.v > 0 THEN 100.0 - 100.0 / (1.0 + g.v / l.v) ELSE 100.0 END', 5)} AS rsi FROM daily_w d
   LEFT JOIN ({wilder_sql('coalesce(greatest(close - prev_close, 0), 0)')}) g USING (symbol, date_et)
   LEFT JOIN ({wilder_sql('coalesce(greatest(prev_close - close, 0), 0)')}) l USING (symbol, date_et)"""))
 def _(m):
     x = I.rsi(weekly(m, "close"), ["symbol"], "_i", "close")
-    return x.select("symbol", "date_et", r6("avg_gain", 7).alias("avg_gain"), r6("avg_loss", 7).alias("avg_loss"), r6("rsi").alias("rsi"))
+    return x.select("symbol", "date_et", r6("avg_gain", 5).alias("avg_gain"), r6("avg_loss", 5).alias("avg_loss"), r6("rsi", 5).alias("rsi"))
 
 
 @query("W17_true_range", W("daily_w", body=f"SELECT symbol, date_et, {R(TR, 8)} AS tr FROM daily_w"))

@@ -32,3 +32,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
+
+
+def pin_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """A table of at most ``max_rows`` rows as a local relation, so the planner knows its exact size and
+    broadcasts it by its own threshold instead of shuffling the large side. A larger table is
+    returned unchanged and joins by shuffle."""
+    table = df.limit(max_rows + 1).toArrow()
+    return df if table.num_rows > max_rows else df.sparkSession.createDataFrame(table)
+
+
+def local_table(spark: SparkSession, columns: dict) -> DataFrame:
+    """A caller's small dictionary or list as a local relation of known size."""
+    import pyarrow as pa
+    return spark.createDataFrame(pa.table(columns))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import ratio_change
 from ..operators.calendar import trading_calendar
+from ..session import local_table, pin_small
 from .tables import read_spread
 
 SYMBOLS = [f"S{i:02d}" for i in range(10)]
@@ -121,19 +122,21 @@ class Market:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return self.daily.select("symbol").distinct()
+        return pin_small(self.daily.select("symbol").distinct())
 
     @cached_property
     def universe_w(self) -> DataFrame:
-        return self.daily_w.select("symbol").distinct()
+        return pin_small(self.daily_w.select("symbol").distinct())
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return self.spark.createDataFrame([(s, n) for s, ns in ALIASES.items() for n in ns], "symbol string, name string")
+        rows = [(s, n) for s, ns in ALIASES.items() for n in ns]
+        return local_table(self.spark, {"symbol": [r[0] for r in rows], "name": [r[1] for r in rows]})
 
     @cached_property
     def lexicon(self) -> DataFrame:
-        return self.spark.createDataFrame([(c, w) for c, ws in LEXICON.items() for w in ws], "category string, word string")
+        rows = [(c, w) for c, ws in LEXICON.items() for w in ws]
+        return local_table(self.spark, {"category": [r[0] for r in rows], "word": [r[1] for r in rows]})
 
     @cached_property
     def patterns(self) -> DataFrame:
