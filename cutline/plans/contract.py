@@ -1,6 +1,5 @@
 """Output contract and equality of two ways to compute the same panel."""
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 

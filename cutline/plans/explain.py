@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..fixed import FEATURE_GROUPS
 from ..functions.scalars import hash_int, is_extreme
-from .scoring import metrics, score
+from .scoring import score
 
 
 def group_of_features(features, extra: dict | None = None) -> dict:

@@ -4,7 +4,7 @@ Missing inputs are median-imputed and flagged, since Spark's trees take no missi
 """
 
 from pyspark.ml import Pipeline as Stages
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import CountVectorizer, IDF, Imputer, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array

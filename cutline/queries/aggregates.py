@@ -6,13 +6,11 @@ from ..fixed import EVENT_RX
 from ..functions import scalars as C
 from ..operators import aggregates as A, textblock as T
 from ..operators.calendar import assign_window
-from ..operators.events import (abnormal_counts, analyst_features, dedup_first, earnings_features, extended_hours, news_block,
-                                news_dedup, news_features, tagged)
-from ..operators.forum import activity_columns, ewm_abnormal, forum_counts
+from ..operators.events import analyst_features, earnings_features, news_dedup, news_features, tagged
+from ..operators.forum import forum_counts
 from ..operators.ranks import quantiles
 from ..plans.panel import label_panel
 from ..session import cut_lineage
-from ..sources import tables as S
 from ..sources.market import CUTS
 from .base import R, W, clip_sql, grade_sql, query
 from .joins import articles, core_panel, gap_rows

@@ -3,21 +3,21 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
-from ..operators import sequences as Q, textblock as T
-from ..operators.aggregates import binned_means, conditional_table, majority_vote
+from ..operators import sequences as Q
+from ..operators.aggregates import conditional_table, majority_vote
 from ..operators.calendar import assign_window
 from ..operators.events import analyst_features, earnings_features, news_dedup, news_features, tagged
 from ..operators.forum import activity_columns, ewm_abnormal, forum_counts
 from ..plans import annotation as N, experiments as E
 from ..plans.events import EVENTS, event_class, with_quartiles
-from ..plans.panel import (attach_research, build_panel, daily_block, development_rows, exploratory_panel, label_panel, one_target,
+from ..plans.panel import (attach_research, build_panel, daily_block, exploratory_panel, label_panel, one_target,
                            score_features, universe_panel)
 from ..session import cut_lineage
-from ..sources.market import CUTS, SYMBOLS
-from .aggregates import FT, PRED, WL, annotations, votes, weekly_labels
-from .base import LOO, R, W, block_sql, clip_sql, cte, grade_sql, query
-from .joins import articles, core_panel, gap_rows
-from .models import FEATS, labelled_sequences, ml_panel
+from ..sources.market import CUTS
+from .aggregates import WL, annotations, votes
+from .base import R, W, clip_sql, cte, grade_sql, query
+from .joins import articles, gap_rows
+from .models import labelled_sequences, ml_panel
 from .rules import k_spec
 from .scans import SCORES_SQL, scores_of
 from .windows import SEQ, fold_sql, roll_sql

@@ -2,16 +2,13 @@
 
 from pyspark.sql import Window as SW, functions as F
 
-from ..fixed import MAGNITUDE, WEIGHT
 from ..functions import scalars as C
-from ..operators.ranks import quantiles
 from ..plans import compare as P, contract as K, scoring as E, splits as L
 from ..session import cut_lineage
 from ..sources.market import CUTS
 from .aggregates import PRED, WL, weekly_labels, weekly_predictions
 from .base import R, W, grade_sql, query
 from .base import R as _R
-from .joins import core_panel, gap_rows
 from .rules import weighted_score_sql
 from .sorts import H
 

@@ -1,12 +1,12 @@
 """2.3 joins."""
 
-from pyspark.sql import Window as SW, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators.calendar import assign_window, dense_grid, strict_after_calendar
 from ..operators.events import extended_hours, tagged
-from ..operators.textblock import article_table, clusters, representatives
-from ..plans.panel import build_panel, daily_block, label_panel, with_gap
+from ..operators.textblock import article_table, clusters
+from ..plans.panel import build_panel, label_panel, with_gap
 from ..sources import tables as S
 from ..sources.market import CUTS
 from .base import R, W, grade_sql, query

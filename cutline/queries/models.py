@@ -1,24 +1,21 @@
 """2.10 models and 2.13 explanation."""
 
-from pyspark.sql import Window as SW, functions as F
+from pyspark.sql import functions as F
 
-from ..fixed import EVENT_RX
 from ..functions import scalars as C
 from ..operators import indicators as I, sequences as Q, textblock as T
-from ..operators.aggregates import importance_summary
 from ..plans import explain as X, signals as G
 from ..plans.model import Candidate, default_candidate
 from ..plans.panel import label_panel
-from ..plans.rules import Objective
 from ..plans.scoring import score
 from ..session import cut_lineage
 from ..sources.market import CUTS
 from .aggregates import WL, weekly_labels
 from .base import R, W, grade_sql, query
 from .joins import articles, core_panel, gap_rows
-from .rules import SIG, k_spec, weekly_regime, weekly_signal
+from .rules import k_spec
 from .sorts import H
-from .windows import TR, fold_sql, roll_sql, wilder_sql
+from .windows import fold_sql, roll_sql, wilder_sql
 
 r6 = C.r6
 FEATS = ["gap_pct", "gap_rank", "vol5", "zgap", "mkt_gap", "resid_gap"]

@@ -1,18 +1,16 @@
 """2.1 scans, sources and sinks."""
 
-import json
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
-from ..operators.calendar import assign_window, eligible_days, window_start
+from ..operators.calendar import assign_window, window_start
 from ..operators.textblock import article_table, representatives
-from ..plans.panel import label_panel
 from ..sources import sinks, tables as S
 from ..sources.market import CUTS
-from .base import CKEY, NORM, R, W, grade_sql, query
+from .base import R, W, grade_sql, query
 
 LO, HI = "2024-01-05 09:30:00", "2024-01-20 09:30:00"
 

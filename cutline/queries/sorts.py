@@ -6,12 +6,10 @@ from ..functions import scalars as C
 from ..functions.text import numbers_not_in
 from ..operators import sampling as P
 from ..operators.calendar import assign_window
-from ..operators.textblock import clusters
 from ..plans import splits as L
-from ..session import cut_lineage
 from ..sources import tables as S
 from .base import R, W, query
-from .joins import articles, core_panel, gap_rows
+from .joins import articles, gap_rows
 
 H = lambda *parts: "CAST('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 12) AS BIGINT)"
 

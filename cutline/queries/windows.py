@@ -1,6 +1,6 @@
 """2.5 window functions and indicators."""
 
-from pyspark.sql import Window as SW, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
 from ..operators import indicators as I, sequences as Q
@@ -10,7 +10,7 @@ from ..operators.ranks import loo_median, rank_pct
 from ..operators.series import alpha_to_span, ema, over_runs, rolling, series_index, span_to_alpha
 from ..plans.panel import daily_block
 from .base import R, W, query
-from .joins import core_panel, gap_rows
+from .joins import gap_rows
 
 WS = "WINDOW s AS (PARTITION BY symbol ORDER BY date_et)"
 
