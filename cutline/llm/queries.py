@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import MIX_SQL, mix
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -30,3 +32,23 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     from .substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_mixing", MIX_SQL.format(documents="documents"))
+def op6(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op5_sharding")
+def op5(spark, sf_dir):
+    from .sharding import shard
+    return shard(table(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                                                               F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

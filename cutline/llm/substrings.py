@@ -40,7 +40,7 @@ def offsets(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minimisers(joined: bytes, starts: np.ndarray, ends: np.ndarray, window: int, m: int) -> np.ndarray:
-    """For every window the smallest hash among its runs of m words. Depends on the window's words alone."""
+    """For every window the smallest hash among its runs of m words. Depends on the window's words alone, not on its place."""
     data = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
     up, down = _powers(data.size)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up, dtype=np.uint64)])
@@ -65,27 +65,47 @@ def runs(values: np.ndarray):
             yield s, min(s + RUN, b)
 
 
+def _in_groups(texts: list, window: int, m: int, size: int = 1 << 18):
+    """For each text None (shorter than a window) or (joined words, starts, ends, minimisers). Short texts are hashed together:
+    windows across two texts are computed and left out."""
+    def done(group):
+        joined = b" ".join(x[1] for x in group)
+        starts, ends = offsets(joined.split(b" "))
+        values, word, byte = minimisers(joined, starts, ends, window, m), 0, 0
+        for i, text, n in group:
+            out[i] = text, starts[word:word + n] - byte, ends[word:word + n] - byte, values[word:word + n - window + 1]
+            word, byte = word + n, byte + len(text) + 1
+
+    out, group, held = [None] * len(texts), [], 0
+    for i, text in enumerate(texts):
+        tokens = text.split() if text else ()
+        if len(tokens) >= window:
+            group.append((i, b" ".join(tokens), len(tokens)))
+            held += len(group[-1][1])
+            if held > size:
+                done(group)
+                group, held = [], 0
+    if group:
+        done(group)
+    return out
+
+
 def _references(docs: DataFrame, window: int, m: int) -> DataFrame:
     """(minimiser, doc_id, tid, lo, hi): each minimiser of each document once; lo and hi digest its word sequence."""
     def run(batches):
         for batch in batches:
-            found, rows, lo, hi = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                tokens = text.split() if text else ()
-                if len(tokens) < window:
-                    found.append(0)
-                    continue
-                joined = b" ".join(tokens)
-                values = np.unique(minimisers(joined, *offsets(tokens), window, m))
-                digest = np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64)
-                rows.append(values)
-                found.append(values.size)
-                lo.append(np.full(values.size, digest[0]))
-                hi.append(np.full(values.size, digest[1]))
+            found, rows, digests = np.zeros(batch.num_rows, np.int64), [], []
+            for i, x in enumerate(_in_groups(batch.column(2).to_pylist(), window, m)):
+                if x is not None:
+                    values = x[3][np.append(True, x[3][1:] != x[3][:-1])]
+                    rows.append(np.unique(values))
+                    found[i] = rows[-1].size
+                    digests.append(xxhash.xxh3_128_digest(x[0]))
             if rows:
-                at = pa.array(np.repeat(np.arange(len(found)), found))
+                at = pa.array(np.repeat(np.arange(found.size), found))
+                digest = np.repeat(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), found[found > 0], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), batch.column(0).take(at), batch.column(1).take(at),
-                                                  pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], names=["minimiser", "doc_id", "tid", "lo", "hi"])
+                                                  pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["minimiser", "doc_id", "tid", "lo", "hi"])
     return docs.mapInArrow(run, "minimiser long, doc_id long, tid long, lo long, hi long")
 
 
@@ -102,11 +122,8 @@ def _packed(docs: DataFrame, window: int, m: int) -> DataFrame:
                 for column, value in zip(out.values(), row):
                     column.append(value)
 
-            for doc, tid, text, shared in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = text.split()
-                joined = b" ".join(tokens)
-                starts, ends = offsets(tokens)
-                values = minimisers(joined, starts, ends, window, m)
+            docs, tids, texts, wanted = (c.to_pylist() for c in batch.columns)
+            for doc, tid, (joined, starts, ends, values), shared in zip(docs, tids, _in_groups(texts, window, m), wanted):
                 hot = {s["minimiser"]: s["hot"] for s in shared}
                 for a, b in runs(values):
                     is_hot = hot.get(key := int(values[a]))
