@@ -52,3 +52,17 @@ def op4(spark, sf_dir):
 
     from .packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def fold(modulus: int):
+    """crc32 of doc_id as text, modulo."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    from .langid import fit_languages, identify
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(fold(3) != 1))
+    return (identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")))
