@@ -66,3 +66,11 @@ def op3(spark, sf_dir):
     model = fit_languages(docs.where(fold(3) != 1))
     return (identify(docs.select("doc_id", "text"), model)
             .select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")))
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    from .ngrams import score, train
+    docs = table(spark, sf_dir, "documents")
+    trie = train(docs.where(fold(7) != 2))
+    return score(docs, trie).select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
