@@ -74,3 +74,15 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     trie = train(docs.where(fold(7) != 2))
     return score(docs, trie).select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_audio_features")
+def op8(spark, sf_dir):
+    from .audio import features, store
+    rows = features(store(table(spark, sf_dir, "documents")))
+    voiced = F.aggregate("spans", F.lit(0.0), lambda s, x: s + x["end"] - x["begin"])
+    mean = F.concat_ws(",", F.transform("mel_mean", lambda v: F.format_number(v, 2)))
+    tensor = F.md5(F.concat_ws(",", F.transform(F.flatten("tensors"), lambda v: F.round(v.cast("double"), 2).cast("string"))))
+    digest = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("spans="), F.size("spans")), F.concat(F.lit("voiced="), F.format_number(voiced, 3)),
+                         F.concat(F.lit("mel="), mean), F.concat(F.lit("tensors="), tensor))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
