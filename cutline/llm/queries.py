@@ -86,3 +86,11 @@ def op8(spark, sf_dir):
     digest = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("spans="), F.size("spans")), F.concat(F.lit("voiced="), F.format_number(voiced, 3)),
                          F.concat(F.lit("mel="), mean), F.concat(F.lit("tensors="), tensor))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    from .toxicity import fit_toxicity, score_toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(fold(4) != 2))
+    return score_toxicity(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
