@@ -94,3 +94,9 @@ def op9(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(fold(4) != 2))
     return score_toxicity(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_embedding_dedup")
+def op1(spark, sf_dir):
+    from .covertree import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
