@@ -93,3 +93,7 @@ FEATURE_GROUPS = {
     "txt_meta": ["n_scored_r1", "tmpl_share_r0", "alias_missing"],
     "txt_text": ["titles_r1"],
 }
+
+# fixed values: adoption thresholds of a candidate against its baseline
+ADOPTION = {"min_positive_folds": 3, "reject_negative_folds": 2, "reject_fold_tol": 0.005, "worst_fold_tol": 0.02, "flip_tol": 0.02,
+            "extreme_band": 0.25, "min_gain": 0.0, "multiplicity": None, "family_size": None, "alpha": 0.05}

@@ -84,6 +84,26 @@ def alpha_to_span(alpha: float) -> float:
     return 2.0 / alpha - 1.0
 
 
+def _carried(blocks: DataFrame, keys: list, end: str, d: float, out: str) -> DataFrame:
+    """What earlier blocks leave at the start of each block: carry = end + d**SCAN_ROWS * carry, over all of them.
+
+    Again a linear recurrence, so blocks form runs inside which powers stay within double range. A run is closed as
+    a running sum; the run before it enters by its total. Runs further back weigh less than exp(-300).
+    """
+    if d <= 0:
+        return blocks.withColumn(out, F.coalesce(F.lag(end).over(W.partitionBy(*keys).orderBy("_blk")), F.lit(0.0)))
+    rate = -SCAN_ROWS * math.log(d)  # decay per block, as an exponent
+    size = max(1, int(min(300 / rate, 1 << 40))) if rate > 0 else 1 << 40
+    x = blocks.withColumn("_run", F.floor(F.col("_blk") / size)).withColumn("_q", (F.col("_blk") % size).cast("double"))
+    v = F.coalesce(end, F.lit(0.0))
+    power = lambda e: F.exp(-rate * e)
+    inside = W.partitionBy(*keys, "_run").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(v * F.exp(rate * F.col("_q"))).over(inside), F.lit(0.0)) * power(F.col("_q") - 1)
+    total = x.groupBy(*keys, (F.col("_run") + 1).alias("_run")).agg(F.sum(v * power(F.lit(float(size - 1)) - F.col("_q"))).alias("_total"))
+    x = x.withColumn("_own", own).join(total, [*keys, "_run"], "left")
+    return x.withColumn(out, F.col("_own") + F.coalesce("_total", F.lit(0.0)) * power(F.col("_q"))).drop("_run", "_q", "_own", "_total")
+
+
 def ema(df: DataFrame, keys, index: str, inputs: dict, alphas: dict) -> DataFrame:
     """Recursive smoothing s = a*x + (1-a)*s, all columns of ``inputs`` in one scan.
 
@@ -91,8 +111,8 @@ def ema(df: DataFrame, keys, index: str, inputs: dict, alphas: dict) -> DataFram
     Rows before the seed index are NULL; the seed row is the seed value (default: the value).
 
     The recurrence is linear, so it is evaluated in blocks of SCAN_ROWS rows: inside a block as
-    a running sum of x scaled by powers of (1-a), across blocks as a short sum of earlier
-    block ends (older ones have decayed below double precision).  A missing input makes the
+    a running sum of x scaled by powers of (1-a), across blocks as the same sum over block
+    ends.  A missing input makes the
     rest of that series NULL, as the recursion would.
     """
     keys = list(keys)
@@ -114,15 +134,10 @@ def ema(df: DataFrame, keys, index: str, inputs: dict, alphas: dict) -> DataFram
         x = x.withColumn(f"_l_{out}", local).withColumn(f"_x_{out}", bad)
         ends += [F.max_by(f"_l_{out}", index).alias(f"_e_{out}"), F.max(f"_x_{out}").alias(f"_n_{out}")]
     blocks = x.groupBy(*keys, "_blk").agg(*ends)
-    wb = W.partitionBy(*keys).orderBy("_blk")
+    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     for out in inputs:
-        d = 1.0 - alphas[out]
-        back = 1 if d <= 0 else max(1, min(400, math.ceil(-46.0 / (SCAN_ROWS * math.log(d))))) if d < 1 else 1
-        carry = F.lit(0.0)
-        for k in range(1, back + 1):
-            carry = carry + F.coalesce(F.lag(f"_e_{out}", k).over(wb), F.lit(0.0)) * (d ** (SCAN_ROWS * (k - 1)))
-        blocks = blocks.withColumn(f"_c_{out}", carry).withColumn(
-            f"_b_{out}", F.coalesce(F.sum(f"_n_{out}").over(wb.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        blocks = (_carried(blocks, keys, f"_e_{out}", (1.0 - alphas[out]), f"_c_{out}")
+                  .withColumn(f"_b_{out}", F.coalesce(F.sum(f"_n_{out}").over(before), F.lit(0))))
     x = x.join(blocks.drop(*[f"_e_{o}" for o in inputs], *[f"_n_{o}" for o in inputs]), [*keys, "_blk"])
     for out, (_, seed_at, _) in inputs.items():
         d = 1.0 - alphas[out]

@@ -10,7 +10,8 @@ HASH_SPACE = 1 << 18
 NAMES = ("count_uni", "tfidf_uni", "tfidf_bi", "tfidf_char", "tfidf_stop", "tfidf_df", "lm_vocab", "hashing")
 
 
-def _terms(df: DataFrame, text: str, name: str):
+def term_list(text: str, name: str):
+    """The terms of a text for the named vectoriser, repeats included."""
     toks = vector_tokens(text)
     if name == "tfidf_stop":
         stop = [w for w in STOPWORDS if w not in NEGATORS]
@@ -22,13 +23,19 @@ def _terms(df: DataFrame, text: str, name: str):
     return toks
 
 
+def document_limits(name: str, min_df, max_df):
+    """The narrower limits of tfidf_df take the place of the general defaults."""
+    if name != "tfidf_df":
+        return min_df, max_df
+    return (20 if min_df == 5 else min_df), (0.5 if max_df == 1.0 else max_df)
+
+
 def term_weights(docs: DataFrame, id_col: str, text: str, name: str, min_df=5, max_df=1.0,
                  vocabulary: DataFrame | None = None) -> DataFrame:
     """Weights of the named vectoriser. min_df/max_df are counts when int, shares when float."""
     if name not in NAMES:
         raise ValueError(f"vectoriser '{name}' unknown; choose from {NAMES}")
-    if name == "tfidf_df":
-        min_df, max_df = (20 if min_df == 5 else min_df), (0.5 if max_df == 1.0 else max_df)
+    min_df, max_df = document_limits(name, min_df, max_df)
     if name == "tfidf_char":
         # count words first: their n-grams are then made once per distinct word of the text
         words = (docs.select(id_col, F.explode(padded_words(text)).alias("_w"))
@@ -36,7 +43,7 @@ def term_weights(docs: DataFrame, id_col: str, text: str, name: str, min_df=5, m
         tf = (words.select(id_col, "_c", F.explode(word_ngrams(F.col("_w"))).alias("term"))
               .groupBy(id_col, "term").agg(F.sum("_c").cast("double").alias("tf")))
     else:
-        tf = (docs.select(id_col, F.explode(_terms(docs, text, name)).alias("term"))
+        tf = (docs.select(id_col, F.explode(term_list(text, name)).alias("term"))
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
     if name == "hashing":
         tf = tf.groupBy(id_col, F.pmod(hash_int("term"), F.lit(HASH_SPACE)).cast("string").alias("term")).agg(F.sum("tf").alias("tf"))

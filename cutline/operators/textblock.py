@@ -96,10 +96,10 @@ def cluster_counts(clu: DataFrame) -> DataFrame:
 
 
 def representatives(articles: DataFrame) -> DataFrame:
-    """First article (known_at, title_id) of each story naming the company, with mean tone."""
+    """First article (known_at, title_id, title) of each story naming the company, with mean tone."""
     return (articles.where((F.col("is_template") == 0) & (F.col("rel") >= 1))
             .groupBy("symbol", "target", "widx", "ckey")
-            .agg(F.min_by(F.struct("title", "known_at", "title_id"), F.struct("known_at", "title_id")).alias("_f"),
+            .agg(F.min_by(F.struct("title", "known_at", "title_id"), F.struct("known_at", "title_id", "title")).alias("_f"),
                  F.avg("tone").alias("tone"))
             .select("symbol", "target", "widx", "ckey", "_f.*", "tone"))
 

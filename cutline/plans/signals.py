@@ -3,17 +3,22 @@
 Missing inputs are median-imputed and flagged, since Spark's trees take no missing values.
 """
 
+import numpy as np
 from pyspark.ml import Pipeline as Stages
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import CountVectorizer, IDF, Imputer, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Imputer, Normalizer,
+                                StandardScaler, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import CLASS_CENTERS, FLAT, RET_CLIP
 from ..functions.scalars import clip, finite, is_extreme, missing_flag
-from ..functions.text import char_ngrams, vector_tokens
+from ..functions.text import char_ngrams
+from ..operators.termweights import HASH_SPACE, NAMES as VECTORISERS, document_limits, term_list
+from ..session import cut_lineage
 
 TREE_DEFAULTS = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 40}
 
@@ -152,43 +157,79 @@ SIGNALS = {"gap": ColumnSignal, "column": ColumnSignal, "regress": RegressSignal
 
 
 # ---- big-move probability from text or columns ------------------------------------------
-VECTORISERS = ("count_uni", "tfidf_uni", "tfidf_bi", "tfidf_char", "tfidf_stop", "tfidf_df", "lm_vocab", "hashing")
-VOCABULARY_LIMIT = 1 << 26
+NO_LIMIT = (1 << 31) - 1
+
+
+@F.udf(VectorUDT())
+def _sublinear(tf):
+    """1 + ln(count) of every term."""
+    return SparseVector(tf.size, tf.indices, 1 + np.log(tf.values))
 
 
 class BigMoveModel:
-    """Class-balanced logistic P(grade 0 or 4). Text input: token counts (optionally tf-idf) of titles_r1;
-    column input: median-imputed, standardised numbers. Rows without text score NULL."""
+    """Class-balanced logistic P(grade 0 or 4). Text input: titles_r1 by one of the vectorisers of ``termweights``, with the same
+    weights; column input: median-imputed, standardised numbers. Rows without text score NULL.
+
+    lm_vocab needs ``vocabulary``, the words to count. min_df and max_df are counts when int, shares when float.
+    """
 
-    def __init__(self, input="text", columns=(), C=1.0, min_df=5, max_df=1.0, idf=False, max_iter=100, chars=False):
-        self.input, self.columns, self.C = input, list(columns), float(C)
-        self.min_df, self.max_df, self.idf, self.max_iter, self.chars = min_df, max_df, idf, max_iter, chars
+    def __init__(self, input="text", columns=(), C=1.0, min_df=5, max_df=1.0, max_iter=100, vectorizer="tfidf_uni", vocabulary=None):
+        if vectorizer not in VECTORISERS:
+            raise ValueError(f"vectoriser '{vectorizer}' unknown; choose from {VECTORISERS}")
+        if vectorizer == "lm_vocab" and input == "text" and not vocabulary:
+            raise ValueError("lm_vocab needs a vocabulary")
+        self.input, self.columns, self.C, self.vectorizer, self.vocabulary = input, list(columns), float(C), vectorizer, vocabulary
+        self.min_df, self.max_df = document_limits(vectorizer, min_df, max_df)
+        self.max_iter = max_iter
 
     def _text(self, df):
-        toks = char_ngrams("titles_r1") if self.chars else vector_tokens("titles_r1")
+        toks = char_ngrams("titles_r1") if self.vectorizer == "tfidf_char" else term_list("titles_r1", self.vectorizer)
         return df.withColumn("_tok", F.when(F.length(F.coalesce("titles_r1", F.lit(""))) > 0, toks))
 
+    def _weights(self, x):
+        """Fit the vectoriser: (stages before the sublinear step, stages after it)."""
+        name = self.vectorizer
+        if name == "hashing":
+            return Stages(stages=[HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=HASH_SPACE), Normalizer(inputCol="_tf", outputCol="features", p=2.0)]).fit(x), None
+        out = "_tf" if name.startswith("tfidf") else "features"
+        if name == "lm_vocab":
+            return CountVectorizerModel.from_vocabulary(sorted({w.lower() for w in self.vocabulary}), "_tok", out), None
+        top = {} if self.max_df == 1.0 else {"maxDF": float(self.max_df)}
+        count = CountVectorizer(inputCol="_tok", outputCol=out, minDF=float(self.min_df), vocabSize=NO_LIMIT, **top).fit(x)
+        if out == "features":
+            return count, None
+        rare = IDF(inputCol="_sub", outputCol="_idf").fit(self._damped(count.transform(x)))
+        scale = ElementwiseProduct(inputCol="_sub", outputCol="_idf", scalingVec=Vectors.dense(rare.idf.toArray() + 1))
+        return count, Stages(stages=[scale, Normalizer(inputCol="_idf", outputCol="features", p=2.0)]).fit(x.limit(0).withColumn("_sub", F.lit(None).cast(VectorUDT())))
+
+    def _features(self, x):
+        if self.input != "text":
+            return self.inputs.transform(x)
+        first, second = self.inputs
+        x = first.transform(x)
+        return x if second is None else second.transform(self._damped(x))
+
+    @staticmethod
+    def _damped(x):
+        """Counts are written once: the planner cannot run the Python step on top of the token expressions."""
+        return cut_lineage(x).withColumn("_sub", _sublinear("_tf"))
+
     def fit(self, df, seed=0):
         y = is_extreme("label")
         if self.input == "text":
             x = self._text(df).where("_tok IS NOT NULL")
-            top = {} if self.max_df == 1.0 else {"maxDF": float(self.max_df)}
-            stages = [CountVectorizer(inputCol="_tok", outputCol="_tf" if self.idf else "features", minDF=float(self.min_df),
-                                      vocabSize=VOCABULARY_LIMIT, **top)]
-            if self.idf:
-                stages += [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
+            self.inputs = self._weights(x)
         else:
             self.columns = _trainable(df, self.columns)
             x = prepared(df, self.columns)
-            stages = input_stages(self.columns, scale=True, flags=False)
-        x = x.withColumn("_y", y.cast("double"))
+            self.inputs = Stages(stages=input_stages(self.columns, scale=True, flags=False)).fit(x)
+        x = self._features(x).withColumn("_y", y.cast("double"))
         c = x.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).first()
         n, pos = c["n"], max(c["pos"] or 0.0, 1.0)
         neg = max(n - pos, 1.0)
         x = x.withColumn("_w", F.when(F.col("_y") == 1, n / (2 * pos)).otherwise(n / (2 * neg)))
-        lr = LogisticRegression(labelCol="_y", weightCol="_w", standardization=False, maxIter=self.max_iter,
-                                regParam=1.0 / (self.C * max(n, 1)), elasticNetParam=0.0)
-        self.model = Stages(stages=[*stages, lr]).fit(x)
+        self.model = LogisticRegression(labelCol="_y", weightCol="_w", standardization=False, maxIter=self.max_iter,
+                                        regParam=1.0 / (self.C * max(n, 1)), elasticNetParam=0.0).fit(x)
         return self
 
     def transform(self, df, out="p_big"):
@@ -196,15 +237,16 @@ class BigMoveModel:
         if self.input == "text":
             x = self._text(df)
             filled = x.withColumn("_tok", F.coalesce("_tok", F.array().cast("array<string>")))
-            y = self.model.transform(filled).withColumn(out, F.when(F.size("_tok") > 0, p))
+            y = self.model.transform(self._features(filled)).withColumn(out, F.when(F.size("_tok") > 0, p))
         else:
-            y = self.model.transform(prepared(df, self.columns)).withColumn(out, p)
+            y = self.model.transform(self._features(prepared(df, self.columns))).withColumn(out, p)
         return y.select(*df.columns, out)
 
     def terms(self, spark, n=25) -> DataFrame:
         """Top and bottom coefficients with their terms."""
-        import numpy as np
-        vocab, coef = self.model.stages[0].vocabulary, self.model.stages[-1].coefficients.toArray()
+        if self.input != "text" or self.vectorizer == "hashing":
+            raise ValueError("only models over named terms can list them")
+        vocab, coef = self.inputs[0].vocabulary, self.model.coefficients.toArray()
         order = np.argsort(coef, kind="stable")
         rows = ([(vocab[i], float(coef[i]), "up") for i in order[::-1][:n]] + [(vocab[i], float(coef[i]), "down") for i in order[:n]])
         return spark.createDataFrame(rows, "term string, coef double, direction string")

@@ -138,7 +138,7 @@ def _(m):
 
 
 FT = "(SELECT f.*, c.target, c.widx FROM forum f JOIN cal c ON f.created_et >= c.lo AND f.created_et < c.cutoff)"
-FM = (f"(SELECT t.post_id, t.target, t.sub, u.symbol FROM {FT} t, universe u WHERE regexp_matches(t.body, '\\b' || u.symbol || '\\b'))")
+FM = (f"(SELECT t.post_id, t.target, t.sub, u.symbol FROM {FT} t, universe u WHERE regexp_matches(concat_ws(' ', t.title, t.body), '\\b' || u.symbol || '\\b'))")
 
 
 @query("A16_forum_mentions", W("forum", "cal", "universe", body=f"SELECT symbol, target, sub, count(*) AS mentions FROM {FM} GROUP BY 1, 2, 3"))

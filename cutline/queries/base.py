@@ -95,6 +95,7 @@ cte("news", """SELECT doc_id, 'S0' || doc_id % 10 || ',S0' || (doc_id * 7 + 3) %
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 43200 AS INT)) AS known_at FROM documents""")
 cte("forum", """SELECT conv_id || '-' || turn AS post_id, conv_id, turn, role AS sub,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((conv_id * 7919 + turn * 37) % 43200 AS INT)) AS created_et,
+  CASE WHEN turn = 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'Thread on $S0' || (conv_id * 3 + 1) % 10 ELSE 'Daily talk' END END AS title,
   CASE WHEN conv_id % 2 = 0 THEN '$S0' || conv_id % 10 || ' vs S0' || turn % 10 || ' ' || text ELSE text END AS body FROM conversations""")
 cte("universe", "SELECT DISTINCT symbol FROM daily", "daily")
 NORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -125,7 +126,7 @@ cte("clu", """SELECT *, (pw IS NULL OR widx - pw > 5) AS is_first FROM (SELECT *
   FROM (SELECT symbol, widx, ckey, max(rel) AS rel, count(*) AS copies FROM arts WHERE is_template = 0 GROUP BY ALL))""", "arts")
 cte("reps", """SELECT symbol, target, widx, ckey, title, known_at, title_id, mt AS tone FROM (
   SELECT *, avg(tone) OVER (PARTITION BY symbol, widx, ckey) AS mt FROM arts WHERE is_template = 0 AND rel >= 1)
-  QUALIFY row_number() OVER (PARTITION BY symbol, widx, ckey ORDER BY known_at, title_id) = 1""", "arts")
+  QUALIFY row_number() OVER (PARTITION BY symbol, widx, ckey ORDER BY known_at, title_id, title) = 1""", "arts")
 cte("lexicon", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in LEXICON.items() for w in ws) + ") t(category, word)")
 cte("ext", """SELECT symbol, CAST(datetime AS DATE) AS day,
   max_by(close, datetime) FILTER (session = 'pre' AND known_at < CAST(datetime AS DATE) + INTERVAL '9 hours 30 minutes') AS pre_last,

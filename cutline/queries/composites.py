@@ -15,7 +15,7 @@ from ..plans.panel import (attach_research, build_panel, daily_block, explorator
 from ..session import cut_lineage
 from ..sources.market import CUTS
 from .aggregates import WL, annotations, votes
-from .base import R, W, clip_sql, cte, grade_sql, query
+from .base import R, W, block_sql, clip_sql, cte, grade_sql, query
 from .joins import articles, gap_rows
 from .models import labelled_sequences, ml_panel
 from .rules import k_spec
@@ -85,6 +85,20 @@ def _(m):
     return x.select("symbol", "target", "universe_id", *[r6(c).alias(c) for c in ("mkt_gap", "gap_rank", "reg_mkt_gap")], "label")
 
 
+LOO_U = "(SELECT CASE WHEN count(o.r) >= 3 THEN median(o.r) END FROM u o WHERE o.date_et = d.date_et AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)"
+
+
+@query("B3_universe_beta", W("daily_w", body=f"""WITH u AS (SELECT w.*, w.ret * 100 AS r, universe_id FROM daily_w w JOIN (SELECT DISTINCT symbol, 'u0' AS universe_id FROM daily_w WHERE symbol <= 'S06'
+  UNION ALL SELECT DISTINCT symbol, 'u1' FROM daily_w WHERE symbol >= 'S03') USING (symbol)),
+  m AS (SELECT d.universe_id || '/' || d.symbol AS symbol, date_et, close, high, low, prev_close, r, {LOO_U} AS m FROM u d)
+  SELECT symbol AS member, date, {R('vol20')} AS vol20, {R('beta60')} AS beta60 FROM ({block_sql('m')})"""))
+def _(m):
+    s = m.daily_w.select("symbol").distinct()
+    memb = s.where("symbol <= 'S06'").withColumn("universe_id", F.lit("u0")).unionByName(s.where("symbol >= 'S03'").withColumn("universe_id", F.lit("u1")))
+    x = daily_block(m.daily_w.join(memb, "symbol"), within=("universe_id",))
+    return x.select(F.concat_ws("/", "universe_id", "symbol").alias("member"), "date", r6("vol20").alias("vol20"), r6("beta60").alias("beta60"))
+
+
 @query("B4_one_target_panel", W("peer", body=f"SELECT symbol, target, {R('gap_pct')} AS gap_pct, {R('gap_rank')} AS gap_rank, {R('mkt_gap')} AS mkt_gap FROM peer WHERE target = DATE '2024-01-24'"))
 def _(m):
     x = one_target(build_panel({"daily": m.daily, "price": m.price}, m.cal, m.universe, ("core", "cross")), "2024-01-24")

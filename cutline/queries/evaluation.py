@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window as SW, functions as F
 
+from ..fixed import ADOPTION
 from ..functions import scalars as C
 from ..plans import compare as P, contract as K, scoring as E, splits as L
 from ..session import cut_lineage
@@ -219,25 +220,24 @@ def _(m):
     return s.select("symbol", r6("score").alias("score"))
 
 
-# fixed values: adoption thresholds used by the comparison report
-ADOPT = {"reject_fold_tol": 0.002, "reject_negative_folds": 2, "min_positive_folds": 2, "worst_fold_tol": 0.005, "flip_tol": 0.01,
-         "extreme_band": 0.5, "min_gain": 0.001, "multiplicity": "holm", "alpha": 0.05}
-
-
-@query("E15_verdict", f"""SELECT s_suppkey AS id, CASE WHEN ci_high < 0 OR neg >= 2 THEN 'reject' WHEN pos >= 2 AND ci_low > 0 AND mn >= -0.005 AND d >= 0.001 THEN 'adopt' ELSE 'hold' END AS decision FROM (
-  SELECT s_suppkey, s_acctbal / 1e5 AS d, s_acctbal / 1e5 - 0.02 AS ci_low, s_acctbal / 1e5 + 0.02 AS ci_high, CAST(s_acctbal > 0 AS INT) * 2 + CAST(s_acctbal / 1e5 - 0.01 > 0 AS INT) AS pos,
-  CAST(s_acctbal / 1e5 < -0.002 AS INT) * 2 + CAST(s_acctbal / 1e5 - 0.01 < -0.002 AS INT) AS neg, s_acctbal / 1e5 - 0.01 AS mn FROM supplier)""")
+@query("E15_verdict", """WITH x AS (SELECT s_suppkey AS id, s_acctbal / 1e5 AS d, (s_suppkey % 3 - 1) * 0.01 AS unseen, (s_suppkey % 4) * 0.01 AS flip, 0.7 + (s_suppkey % 5) * 0.1 AS share FROM supplier),
+  r AS (SELECT id, list_filter([CASE WHEN d + 0.02 < 0 THEN 'interval below 0' END, CASE WHEN CAST(d < -0.005 AS INT) * 2 + CAST(d - 0.01 < -0.005 AS INT) >= 2 THEN 'negative folds' END], lambda v: v IS NOT NULL) AS fatal,
+   list_filter([CASE WHEN NOT (d > 0 AND d - 0.01 > 0) THEN 'positive folds' END, CASE WHEN d - 0.02 <= 0 THEN 'interval above 0' END, CASE WHEN unseen <= 0 THEN 'unseen change' END,
+    CASE WHEN d - 0.01 < -0.02 THEN 'worst fold' END, CASE WHEN flip > 0.025 THEN 'flips' END, CASE WHEN abs(share - 1) > 0.25 THEN 'extreme share' END, CASE WHEN d < 0 THEN 'mean gain' END], lambda v: v IS NOT NULL) AS missing FROM x)
+  SELECT id, CASE WHEN len(fatal) > 0 THEN 'reject' WHEN len(missing) > 0 THEN 'hold' ELSE 'adopt' END AS decision,
+   coalesce(array_to_string(CASE WHEN len(fatal) > 0 THEN fatal ELSE missing END, '; '), '') AS reasons FROM r""")
 def _(m):
-    d = F.col("s_acctbal") / 1e5
+    k, d = F.col("s_suppkey"), F.col("s_acctbal") / 1e5
     f = lambda n, v: F.struct(F.lit(n).alias("fold"), v.alias("d"))
-    x = m.raw("supplier").select(F.col("s_suppkey").alias("id"), d.alias("delta"), (d - 0.02).alias("ci_low"), (d + 0.02).alias("ci_high"), F.lit(0.01).alias("unseen_delta"),
-                                 F.lit(0.0).alias("flip_diff"), F.lit(1.0).alias("extreme_ratio"), F.lit(0.01).alias("p_holm"), F.array(f("a", d), f("b", d), f("c", d - 0.01)).alias("folds"))
-    return P.verdict(x, ADOPT).select("id", "decision")
+    x = m.raw("supplier").select(k.alias("id"), d.alias("delta"), (d - 0.02).alias("ci_low"), (d + 0.02).alias("ci_high"), ((k % 3 - 1) * 0.01).alias("unseen_delta"),
+                                 ((k % 4) * 0.01 - 0.005).alias("flip_diff"), (F.lit(0.7) + (k % 5) * 0.1).alias("extreme_ratio"), F.lit(0.01).alias("p_holm"),
+                                 F.array(f("a", d), f("b", d), f("c", d - 0.01)).alias("folds"))
+    return P.verdict(x, ADOPTION).select("id", "decision", "reasons")
 
 
 @query("E16_candidate_comparison")
 def _(m):
-    return P.compare(predictions(m), "base", ["damped", "momentum"], ADOPT, reps=REPS, block_days=BLOCK)
+    return P.compare(predictions(m), "base", ["damped", "momentum"], ADOPTION, reps=REPS, block_days=BLOCK)
 
 
 FINE = metrics_sql(SCOPED, ["candidate", "fold", "draw", "scope"], 14)

@@ -66,11 +66,18 @@ def text_panel(m):
     return cut_lineage(label_panel(gap_rows(m), m.daily, CUTS).join(t, ["symbol", "target"], "left").fillna("", ["titles_r1"]))
 
 
-@query("M5_text_big_move_model")
-def _(m):
-    p = text_panel(m)
-    model = G.BigMoveModel("text", min_df=2, max_iter=10).fit(p)
-    return model.transform(p).groupBy("label").agg(F.count("p_big").alias("scored"), F.count(F.lit(1)).alias("n"), F.avg("p_big").alias("mean_p"))
+def text_model(m, name):
+    words = [r["word"] for r in m.lexicon.select("word").distinct().collect()] if name == "lm_vocab" else None
+    limits = {} if name in ("tfidf_df", "hashing", "lm_vocab") else {"min_df": 2}
+    return G.BigMoveModel("text", vectorizer=name, vocabulary=words, max_iter=30, **limits)
+
+
+for _name in G.VECTORISERS:
+    @query("M5_text_big_move_model" if _name == "count_uni" else f"M5_text_{_name}")
+    def _(m, name=_name):
+        p = text_panel(m)
+        model = text_model(m, name).fit(p)
+        return model.transform(p).groupBy("label").agg(F.count("p_big").alias("scored"), F.count(F.lit(1)).alias("n"), F.avg("p_big").alias("mean_p"))
 
 
 @query("M5_column_big_move_model")
@@ -192,7 +199,7 @@ def _(m):
 
 @query("X4_text_terms")
 def _(m):
-    model = G.BigMoveModel("text", min_df=2, max_iter=10).fit(text_panel(m))
+    model = text_model(m, "count_uni").fit(text_panel(m))
     return model.terms(m.spark, 10)
 
 

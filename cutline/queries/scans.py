@@ -74,7 +74,7 @@ def _forum_folder(m):
     f = m.forum
     for sub in ("user", "assistant", "system"):
         one = f.where(F.col("sub") == sub)
-        one.where("turn = 0").select("created_et", F.lit("").alias("title"), "body").write.parquet(f"{root}/{sub}.posts.parquet")
+        one.where("turn = 0").select("created_et", "title", "body").write.parquet(f"{root}/{sub}.posts.parquet")
         one.where("turn > 0").select("created_et", "body").write.parquet(f"{root}/{sub}.comments.parquet")
     return root
 

@@ -90,7 +90,7 @@ def _(m):
     return T.lexicon_scores(d, m.lexicon).select(F.col("title_id").alias("doc_id"), r6("lm_net", 9).alias("lm_net"))
 
 
-@query("F12_ticker_mentions", W("forum", "universe", body="SELECT f.post_id, u.symbol FROM forum f, universe u WHERE regexp_matches(f.body, '\\b' || u.symbol || '\\b')"))
+@query("F12_ticker_mentions", W("forum", "universe", body="SELECT f.post_id, u.symbol FROM forum f, universe u WHERE regexp_matches(concat_ws(' ', f.title, f.body), '\\b' || u.symbol || '\\b')"))
 def _(m):
     return mentioned_symbols(m.forum, m.universe, ["post_id"])
 

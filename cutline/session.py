@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "cutline", cpus: str = "*") -> SparkSession:
-    return (SparkSession.builder.master(os.environ.get("CUTLINE_MASTER", f"local[{cpus}]")).appName(app)
-            .config("spark.sql.shuffle.partitions", "8")
-            .config("spark.sql.adaptive.enabled", "true")
-            .config("spark.sql.adaptive.skewJoin.enabled", "true")
-            .config("spark.sql.session.timeZone", "UTC")
-            .config("spark.ui.enabled", "false")
-            .config("spark.ui.showConsoleProgress", "false")
-            .config("spark.driver.memory", os.environ.get("CUTLINE_DRIVER_MEMORY", "8g"))
-            .getOrCreate())
+    """A session with the settings the library expects. Partition counts and memory are set for local masters only; on a cluster
+    they are the cluster's."""
+    master = os.environ.get("CUTLINE_MASTER", f"local[{cpus}]")
+    builder = (SparkSession.builder.master(master).appName(app)
+               .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
+    if master.startswith("local"):
+        builder = (builder.config("spark.sql.shuffle.partitions", "8")
+                   .config("spark.driver.memory", os.environ.get("CUTLINE_DRIVER_MEMORY", "8g")))
+    return builder.getOrCreate()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

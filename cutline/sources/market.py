@@ -118,6 +118,8 @@ class Market:
             F.concat_ws("-", "conv_id", "turn").alias("post_id"), "conv_id", "turn", F.col("role").alias("sub"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
                 F.lit(0), F.lit(0), ((F.col("conv_id") * 7919 + F.col("turn") * 37) % 43200).cast("int"))).alias("created_et"),
+            F.when(F.col("turn") == 0, F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Thread on $S0"), ((F.col("conv_id") * 3 + 1) % 10).cast("string")))
+                   .otherwise("Daily talk")).alias("title"),
             F.when(F.col("conv_id") % 2 == 0, F.concat(tag, F.col("text"))).otherwise(F.col("text")).alias("body"))
 
     @cached_property

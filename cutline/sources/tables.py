@@ -87,8 +87,7 @@ def forum_scan(spark: SparkSession, folder: str, kind: str = "comments", since=N
         return df.select(*cols, name.alias("sub"), F.lit(k).alias("kind"))
 
     df = one(kind) if kind != "both" else one("posts").unionByName(one("comments"), allowMissingColumns=True)
-    df = asof(df, since, until, clock="created_et")
-    return df.orderBy("created_et") if kind == "both" else df
+    return asof(df, since, until, clock="created_et")
 
 
 def forum_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -156,3 +156,20 @@ def test_macd_bollinger_cross(prices):
         d = x.close.rolling(5).mean() - x.close.rolling(20).mean()
         want = ((np.sign(d).shift() < 0) & (np.sign(d) > 0)).sum()
         assert g.where(f"symbol = '{s}' and event = 'golden'").count() == want
+
+
+@pytest.mark.parametrize("alpha", [1e-5, 0.0009, 0.3, 0.97, 1.0])
+def test_smoothing_keeps_its_whole_history(spark, alpha):
+    from pyspark.sql import functions as F
+
+    from cutline.operators.series import ema
+    n = 60_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("i"), ((F.col("id") * 7919) % 101).cast("double").alias("x"))
+    got = ema(rows, ["k"], "i", {"s": ("x", 0, None)}, {"s": alpha}).where("i % 1000 = 999").orderBy("i").collect()
+    s, want = 0.0, []
+    for i in range(n):
+        v = float(i * 7919 % 101)
+        s = v if i == 0 else alpha * v + (1 - alpha) * s
+        if i % 1000 == 999:
+            want.append(s)
+    assert all(abs(r.s - w) <= 1e-9 * max(1, abs(w)) for r, w in zip(got, want, strict=True))

@@ -144,3 +144,37 @@ def test_resource_files(spark, tmp_path):
     assert sorted(tuple(r) for r in S.lexicon_csv(spark, str(tmp_path / "l.csv")).collect()) == [("negative", "BAD"), ("positive", "GOOD")]
     (tmp_path / "s.json").write_text('{"x": ["A"], "y": ["B", "A"]}')
     assert sorted(r[0] for r in S.universe(spark, None, json_path=str(tmp_path / "s.json")).collect()) == ["A", "B"]
+
+
+def test_unicode_spaces_are_cleaned(spark):
+    rows = titles(spark, "Profit\u00a0up\u00a0", "\u2003Profit up&nbsp;", "plain").withColumn("c", X.clean_title("title")).orderBy("id").collect()
+    assert [r.c for r in rows] == ["Profit\u00a0up", "Profit up", "plain"]
+
+
+def test_post_titles_name_tickers(spark):
+    posts = spark.createDataFrame([(1, "Is $AAPL cheap", "no idea"), (2, None, "buy $MSFT"), (3, "daily talk", "")], "post_id int, title string, body string")
+    universe = spark.createDataFrame([("AAPL",), ("MSFT",)], "symbol string")
+    assert {(r.post_id, r.symbol) for r in mentioned_symbols(posts, universe, ["post_id"]).collect()} == {(1, "AAPL"), (2, "MSFT")}
+
+
+@pytest.mark.parametrize("name", ["tfidf_uni", "tfidf_bi", "tfidf_stop", "count_uni", "tfidf_char", "lm_vocab"])
+def test_text_model_uses_the_table_s_weights(spark, name):
+    from pyspark.ml.functions import vector_to_array
+
+    from cutline.plans.signals import BigMoveModel
+    texts = ["profit profit falls the market", "market rises", "the profit of the market rises rises rises", "falls not falls", ""] * 3
+    rows = spark.createDataFrame([(i, t, i % 5) for i, t in enumerate(texts)], "id int, titles_r1 string, label int")
+    words = ["profit", "falls"]
+    model = BigMoveModel("text", min_df=2, max_iter=3, vectorizer=name, vocabulary=words).fit(rows)
+    x = model._features(model._text(rows).where("_tok IS NOT NULL")).select("id", vector_to_array("features").alias("v")).collect()
+    vocabulary = spark.createDataFrame([(w,) for w in words], "word string")
+    want = {(r.id, r.term): r.weight for r in term_weights(rows.where("titles_r1 <> ''"), "id", "titles_r1", name, 2, 1.0, vocabulary).collect()}
+    got = {(r.id, model.inputs[0].vocabulary[k]): w for r in x for k, w in enumerate(r.v) if w}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_unknown_vectorisers_are_rejected():
+    from cutline.plans.signals import BigMoveModel
+    for bad in ("nonsense", "lm_vocab"):
+        with pytest.raises(ValueError):
+            BigMoveModel("text", vectorizer=bad)
