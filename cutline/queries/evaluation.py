@@ -257,24 +257,29 @@ def _(m):
     return K.check_output(pred, m.raw("documents").select(F.col("doc_id").alias("symbol")))
 
 
-@query("E18_point_in_time_equality")
+E18_COLUMNS = ["gap_pct", "gap_rank", "vol5", "vol20", "atr14", "beta60", "zgap", "mkt_gap", "resid_gap", "reg_mkt_gap", "reg_gap_disp",
+               "earn", "surp_sign", "surp_abs", "an_n", "an_up", "an_down", "news_n", "tone_mean", "tone_min", "tone_max", "news_missing", "label"]
+
+
+@query("E18_point_in_time_equality", "SELECT c AS \"column\", CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS null_mismatch, CAST(0 AS DOUBLE) AS max_diff, CAST(0 AS BIGINT) AS violations "
+       f"FROM (VALUES {', '.join(f"('{c}')" for c in E18_COLUMNS)}) t(c) WHERE (SELECT count(*) FROM events) > 0")
 def _(m):
-    """Core panel rows recomputed from tables cut at one cutoff equal the full-history rows."""
+    """Panel rows of every block, recomputed from tables cut at one cutoff, and their labels equal the full-history rows."""
     from ..operators.calendar import at_cutoff
-    from ..plans.panel import build_panel
+    from ..plans.panel import build_panel, label_panel
     from ..sources.tables import asof, hash_sample
-    cols = ["gap_pct", "gap_rank", "vol5", "vol20", "atr14", "beta60", "zgap", "mkt_gap", "resid_gap", "reg_mkt_gap", "reg_gap_disp"]
-    groups = ("core", "scale", "cross", "regime")
-    full = cut_lineage(build_panel({"daily": m.daily, "price": m.price}, m.cal, m.universe, groups))
+    tables = {"daily": m.daily, "price": m.price, "earnings": m.events_month, "analyst": m.events_month, "news": m.news}
+    groups = ("core", "scale", "cross", "event", "analyst", "news", "regime")
+    build = lambda t, cal: label_panel(build_panel(t, cal, m.universe, groups, tie="o_orderkey"), m.daily, CUTS)
+    full = cut_lineage(build(tables, m.cal))
     out = None
     for (day,) in hash_sample(m.cal.select("target"), "target", 2, 11).collect():
         cut = at_cutoff(F.lit(day))
-        cut_tables = {"daily": asof(m.daily, until=cut), "price": asof(m.price, until=cut)}
-        part = build_panel(cut_tables, m.cal.where(F.col("target") <= F.lit(day)), m.universe, groups)
-        r = K.compare_panels(part.where(F.col("target") == F.lit(day)), full.where(F.col("target") == F.lit(day)), ["symbol", "target"], cols)
+        part = build({name: asof(t, until=cut) for name, t in tables.items()}, m.cal.where(F.col("target") <= F.lit(day)))
+        r = K.compare_panels(part.where(F.col("target") == F.lit(day)), full.where(F.col("target") == F.lit(day)), ["symbol", "target"], E18_COLUMNS)
         out = r if out is None else out.unionByName(r)
     return out.groupBy("column").agg(F.max("unmatched").alias("unmatched"), F.max("null_mismatch").alias("null_mismatch"),
-                                     F.max("max_diff").alias("max_diff"), F.max("violations").alias("violations"))
+                                     (F.round(F.max("max_diff"), 9) + 0.0).alias("max_diff"), F.max("violations").alias("violations"))
 
 
 @query("E18_no_bar_after_cutoff", W("bars", body="""SELECT count(*) AS late_bars FROM bars WHERE session = 'pre' AND hour(datetime) >= 9

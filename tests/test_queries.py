@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, both, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_point_in_time_equality(spark, both):
     rows = both[0]["E18_point_in_time_equality"](spark, SF).collect()
-    assert len(rows) == 11 and all(r["violations"] == r["unmatched"] == r["null_mismatch"] == 0 for r in rows)
+    assert len(rows) == 23 and all(r["violations"] == r["unmatched"] == r["null_mismatch"] == 0 for r in rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
