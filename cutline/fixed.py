@@ -97,3 +97,44 @@ FEATURE_GROUPS = {
 # fixed values: adoption thresholds of a candidate against its baseline
 ADOPTION = {"min_positive_folds": 3, "reject_negative_folds": 2, "reject_fold_tol": 0.005, "worst_fold_tol": 0.02, "flip_tol": 0.02,
             "extreme_band": 0.25, "min_gain": 0.0, "multiplicity": None, "family_size": None, "alpha": 0.05}
+
+# ---- fixed values: research groups, joined from outside tables ------------------
+RESEARCH_FORUMS = ("Daytrading", "StockMarket", "Superstonk", "ValueInvesting", "investing", "options", "stocks", "wallstreetbets")
+RESEARCH_GROUPS = {
+    "reddit": ["mentions_abn", *(f"act_{s}_abn" for s in RESEARCH_FORUMS)],
+    "news_llm_anon": ["llm_anon_sign", "llm_anon_severity", "llm_anon_unexpected", "llm_anon_n"],
+    "news_llm_raw": ["llm_raw_sign", "llm_raw_severity", "llm_raw_unexpected", "llm_raw_n"],
+    "reddit_llm": ["llm_reddit_bull", "llm_reddit_hype", "llm_reddit_n"],
+    "finbert": ["fb_net_r1", "fb_neg_share_r1", "fb_n_r1"],
+    "finbert_emb": [f"fb_pc{i}" for i in range(32)],
+}
+
+# ---- fixed values: search grids (first, last, step) and what a spec leaves open ----
+K_GRID = (0.5, 8.0, 0.25)
+SYM2_GRID = (0.05, 0.98, 0.03)
+DECOMP_GRID = (0.05, 0.95, 0.05)
+CONFIDENCE_GRID = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3)
+FACTOR_GRID = (0.6, 1.6, 0.1)
+SLOPE_GRID = (-1.0, 1.0, 0.1)
+SPEC_DEFAULTS = {"signal": {"type": "gap"}, "decision": {"type": "k"}, "regime": {"type": "none"}, "selection": {"criterion": "pooled"},
+                 "tune_frac": 0.2, "tune_on": "auto", "seed": 0}
+
+# ---- fixed values: event classes of conditional tables ---------------------------
+# rules: the first condition that holds names the class, the last name is for all others
+# quartiles: names of the four quartiles of a column; agreement: a column's direction against the gap
+EVENT_RULES = {
+    "analyst": (("an_up > an_down", "upgrade"), ("an_down > an_up", "downgrade"), "none"),
+    "earnings": (("earn > 0 AND surp_sign > 0", "beat"), ("earn > 0", "miss_or_meet"), "none"),
+    "txt_relevance": (("n_first_r2 > 0", "R2 new"), ("n_first_r1 > 0", "R1 new"), ("n_first_r0 > 0", "R0 tag only"), "none"),
+    "txt_first_r1": (("n_first_r1 >= 3", "3+"), ("n_first_r1 >= 1", "1-2"), "0"),
+    "txt_event": (("ev_any_r1 = 1", "event"), ("n_scored_r1 > 0", "no event"), "no article"),
+    "txt_novelty": (("novelty_r1 >= 0.7D", "high"), ("novelty_r1 >= 0.4D", "middle"), ("novelty_r1 IS NOT NULL", "low"), "no article"),
+}
+EVENT_QUARTILES = {
+    "news_volume": ("news_abn", "q1 low", "q2", "q3", "q4 high"),
+    "reddit_mentions": ("mentions_abn", "q1", "q2", "q3", "q4 surge"),
+}
+EVENT_AGREEMENT = {
+    "news_tone_vs_gap": "tone_mean", "annotation_anon_vs_gap": "ann_anon_sign", "annotation_raw_vs_gap": "ann_raw_sign",
+    "txt_lm_vs_gap": "lm_net_r1", "txt_gdelt_vs_gap": "tone_mean_r1", "txt_finbert_vs_gap": "fb_net_r1",
+}

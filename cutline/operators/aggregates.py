@@ -53,11 +53,19 @@ def correlation(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average-tie ranks; ranks come from the split rank tables."""
-    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    rank = lambda c: value_ranks(x, [], c).select(c, (F.col("_before") + (F.col("_cnt") + 1) / 2).alias(f"_r{c}"))
-    y = x.join(rank("_a"), "_a").join(rank("_b"), "_b")
-    return y.agg(F.corr("_r_a", "_r_b").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    """Correlation of average-tie ranks. Rows collapse to counted value pairs before they meet the rank tables; the mean rank is
+    known, so the centred sums need one pass."""
+    pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+             .agg(F.count(F.lit(1)).alias("_pairs")))
+
+    def ranks(c):
+        r = value_ranks(pairs, [], c, copies="_pairs")
+        return r.select(c, (F.col("_before") + (F.col("_cnt") + 1) / 2 - (F.col("_n") + 1) / 2).alias(f"_r{c}"))
+
+    x = pairs.join(ranks("_a"), "_a").join(ranks("_b"), "_b")
+    w = F.col("_pairs")
+    dot = lambda p, q: F.sum(w * F.col(p) * F.col(q))
+    return x.agg(F.try_divide(dot("_r_a", "_r_b"), F.sqrt(dot("_r_a", "_r_a")) * F.sqrt(dot("_r_b", "_r_b"))).alias("spearman"), F.coalesce(F.sum(w), F.lit(0).cast("long")).alias("n"))
 
 
 def majority_vote(df: DataFrame, id_col: str, votes, out: str = "vote") -> DataFrame:

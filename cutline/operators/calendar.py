@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed import CUTOFF_INTERVAL
-from ..session import pin_small
+from ..session import cut_lineage
 
 
 def at_cutoff(day) -> Column:
@@ -15,7 +15,7 @@ def trading_calendar(daily: DataFrame, date: str = "date_et", start=None) -> Dat
     """(date, target, lo, cutoff, widx): base day, next trading day, window [lo, cutoff), ordinal.
 
     The window runs over distinct dates only (a few hundred per year), never over rows. The result is
-    pinned: every raw table is joined to it, and must not be shuffled for that.
+    written once: every raw table is joined to it, and by its file size the planner knows that it can be broadcast.
     """
     w = W.orderBy("date")
     days = daily.select(F.col(date).cast("date").alias("date")).distinct()
@@ -24,7 +24,7 @@ def trading_calendar(daily: DataFrame, date: str = "date_et", start=None) -> Dat
     cal = (days.withColumn("target", F.lead("date").over(w))
            .withColumn("widx", (F.row_number().over(w) - 1).cast("int"))
            .where(F.col("target").isNotNull()))
-    return pin_small(cal).select("date", "target", at_cutoff("date").alias("lo"), at_cutoff("target").alias("cutoff"), "widx")
+    return cut_lineage(cal).select("date", "target", at_cutoff("date").alias("lo"), at_cutoff("target").alias("cutoff"), "widx")
 
 
 def strict_after_calendar(cal: DataFrame) -> DataFrame:

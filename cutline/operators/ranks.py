@@ -1,11 +1,10 @@
 """Exact order statistics per group without sorting any group in one task.
 
-Values are first collapsed to (group, value, count) with map-side combine, then each
-group is split over value buckets.  The bucket of a value is a fixed monotone function
-of the value alone, so every evaluation of the plan agrees on it.  Bucket totals (at
-most about ten thousand rows per group) give the offset of each bucket; inside a bucket a
-window finishes the ranks.  A group holding a third of all rows is therefore spread
-over its buckets, and a single very frequent value is one row.
+Values are first collapsed to (group, value, count) with map-side combine. Each group is split over
+value buckets of a fixed monotone function, and each bucket over equal parts of the range its own values span,
+so that narrow distributions spread as well. Bucket and part totals (about ten thousand and one thousand rows at
+most) give offsets; inside a part a window finishes the ranks. Both splits are exact functions of the
+data, so every evaluation of the plan agrees on them. A single very frequent value is one row.
 """
 
 from functools import reduce
@@ -13,29 +12,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKETS_PER_UNIT = 256
+PARTS = 1024
 
 
 def value_bucket(v) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * BUCKETS_PER_UNIT).cast("int")
 
 
-def value_ranks(df: DataFrame, keys, value: str) -> DataFrame:
-    """One row per (keys, distinct value): _cnt copies, _before smaller values, _n in the group."""
+def value_ranks(df: DataFrame, keys, value: str, copies: str | None = None) -> DataFrame:
+    """One row per (keys, distinct value): _cnt copies, _before smaller values, _n in the group.
+    A row counts once, or as often as its column ``copies`` says."""
     keys = list(keys)
     v = F.col(value)
+    bucket = [*keys, "_vbucket"]
     counts = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-              .groupBy(*keys, v.cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_cnt"))
+              .groupBy(*keys, v.cast("double").alias(value)).agg((F.sum(copies) if copies else F.count(F.lit(1))).alias("_cnt"))
               .withColumn("_vbucket", value_bucket(F.col(value))))
-    per_group = W.partitionBy(*keys)
-    offsets = (counts.groupBy(*keys, "_vbucket").agg(F.sum("_cnt").alias("_vtotal"))
-               .select(*keys, "_vbucket",
-                       (F.sum("_vtotal").over(per_group.orderBy("_vbucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_vtotal"))
-                       .alias("_off"),
-                       F.sum("_vtotal").over(per_group).alias("_n")))
-    inside = W.partitionBy(*keys, "_vbucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (counts.withColumn("_in", F.sum("_cnt").over(inside) - F.col("_cnt"))
-            .join(offsets, [*keys, "_vbucket"])
-            .select(*keys, value, "_cnt", (F.col("_off") + F.col("_in")).alias("_before"), "_n"))
+    ahead = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = (counts.groupBy(*bucket).agg(F.sum("_cnt").alias("_vtotal"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+               .select(*bucket, "_lo", "_hi", F.coalesce(F.sum("_vtotal").over(ahead(keys, "_vbucket")), zero).alias("_off"),
+                       F.sum("_vtotal").over(W.partitionBy(*keys)).alias("_n")))
+    share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    spread = counts.join(offsets, bucket).withColumn("_part", F.floor(share * PARTS).cast("int")).drop("_lo", "_hi")
+    parts = spread.groupBy(*bucket, "_part").agg(F.sum("_cnt").alias("_ptotal"))
+    parts = parts.select(*bucket, "_part", F.coalesce(F.sum("_ptotal").over(ahead(bucket, "_part")), zero).alias("_poff"))
+    inside = F.coalesce(F.sum("_cnt").over(ahead([*bucket, "_part"], value)), zero)
+    return (spread.withColumn("_in", inside).join(parts, [*bucket, "_part"])
+            .select(*keys, value, "_cnt", (F.col("_off") + F.col("_poff") + F.col("_in")).alias("_before"), "_n"))
 
 
 def _value_at(value, pos):

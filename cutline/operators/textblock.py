@@ -26,15 +26,16 @@ def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
 
 
 def with_mentions(df: DataFrame, title: str, patterns: DataFrame, out: str = "mentioned") -> DataFrame:
-    """Distinct companies named in the title, as an array, computed inside the row: no join, no shuffle
-    and no copy of the text per token."""
-    entries = patterns.groupBy("token").agg(F.collect_list(F.struct("mentioned", "pattern")).alias("who"))
-    packed = entries.agg(F.map_from_entries(F.collect_list(F.struct("token", "who")))).scalar()
-    x = df.withColumn("_dict", packed)
-    words = F.array_intersect(tokens(F.lower(title), r"(?U)\w+"), F.map_keys("_dict"))
-    cand = F.array_distinct(F.flatten(F.transform(words, lambda t: F.element_at("_dict", t))))
-    hits = F.filter(cand, lambda e: F.rlike(F.col(title), e["pattern"]))
-    return x.withColumn(out, F.array_distinct(F.transform(hits, lambda e: e["mentioned"]))).drop("_dict")
+    """Distinct companies named in the title, as a sorted array (empty for a missing title).
+
+    Every distinct title is looked at once: its words meet the patterns' tokens, the regex verifies the few candidates,
+    and the companies go back to all rows with that title. The planner decides by size how the patterns travel."""
+    titles = df.select(F.col(title).alias("_title")).where("_title IS NOT NULL").distinct()
+    words = titles.select("_title", F.explode(F.array_distinct(tokens(F.lower("_title"), r"(?U)\w+"))).alias("token"))
+    hits = words.join(patterns, "token").where(F.rlike(F.col("_title"), F.col("pattern")))
+    named = hits.groupBy("_title").agg(F.sort_array(F.collect_set("mentioned")).alias(out))
+    x = df.join(named, df[title] == named["_title"], "left").drop("_title")
+    return x.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def article_table(news: DataFrame, cal: DataFrame, universe: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def representative_features(reps: DataFrame, scores: DataFrame | None) -> DataFr
 
 
 # ---- novelty ------------------------------------------------------------------------
-BLOCK_TITLES = 128
+BLOCK_TITLES = 512
 VOCAB_SLICE = 2048
 
 

@@ -4,14 +4,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..fixed import FEATURE_GROUPS
+from ..fixed import FEATURE_GROUPS, RESEARCH_GROUPS
 from ..functions.scalars import hash_int, is_extreme
 from .scoring import score
 
 
 def group_of_features(features, extra: dict | None = None) -> dict:
     """Features by the first group that lists them; regime columns and unlisted ones stand alone."""
-    named = {c: g for g, cols in reversed({**FEATURE_GROUPS, **(extra or {})}.items()) if g != "regime" for c in cols}
+    named = {c: g for g, cols in reversed({**FEATURE_GROUPS, **RESEARCH_GROUPS, **(extra or {})}.items()) if g != "regime" for c in cols}
     order = dict.fromkeys(named.get(f, f) for f in features)
     return {g: [f for f in features if named.get(f, f) == g] for g in order}
 
@@ -88,3 +88,9 @@ def faithfulness(tune_imp: DataFrame, test_imp: DataFrame, group="grp", value="d
     is_top = F.col(group) == F.col("top_group")
     return m.groupBy("top_group").agg(F.max(F.when(is_top, F.col("_v"))).alias("top_drop"),
                                       F.avg(F.when(~is_top, F.col("_v"))).alias("others_mean_drop"))
+
+
+def term_frequency(tables) -> DataFrame:
+    """(term, direction, splits, mean_coef): in how many splits' lists of strongest terms a term stands."""
+    rows = reduce(DataFrame.unionByName, [t.withColumn("split", F.lit(i)) for i, t in enumerate(tables)])
+    return rows.groupBy("term", "direction").agg(F.count_distinct("split").alias("splits"), F.avg("coef").alias("mean_coef"))

@@ -4,7 +4,7 @@ Missing inputs are median-imputed and flagged, since Spark's trees take no missi
 """
 
 import numpy as np
-from pyspark.ml import Pipeline as Stages
+from pyspark.ml import Pipeline as Stages, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Imputer, Normalizer,
@@ -18,7 +18,7 @@ from ..fixed import CLASS_CENTERS, FLAT, RET_CLIP
 from ..functions.scalars import clip, finite, is_extreme, missing_flag
 from ..functions.text import char_ngrams
 from ..operators.termweights import HASH_SPACE, NAMES as VECTORISERS, document_limits, term_list
-from ..session import cut_lineage
+from ..session import checkpoint_folder, cut_lineage
 
 TREE_DEFAULTS = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 40}
 
@@ -69,10 +69,25 @@ class _Learned:
         return prepared(df, self.features)
 
     def _use(self, df):
+        checkpoint_folder(df.sparkSession)
         self.features = _trainable(df, self.features)
         return self._input(df)
 
 
+    def stages(self) -> dict:
+        return {"model": self.model}
+
+    def settings(self) -> dict:
+        return {"features": self.features, "stages": sorted(self.stages())}
+
+    def restore(self, settings: dict, path: str) -> None:
+        self.features = settings["features"]
+        self._take({name: PipelineModel.load(f"{path}/{name}") for name in settings["stages"]})
+
+    def _take(self, stages: dict) -> None:
+        self.model = stages["model"]
+
+
 class RegressSignal(_Learned):
     """Boosted trees with absolute loss on the clipped return."""
 
@@ -135,6 +150,12 @@ class DecompSignal(_Learned):
             self.heads["mag"] = self._head(x, F.when(ext, 2).when(move, 1).otherwise(0), seed, multi=True)
         return self
 
+    def stages(self):
+        return dict(self.heads)
+
+    def _take(self, stages):
+        self.heads = stages
+
     def transform(self, df):
         x = self._input(df)
         drop = ["features", "rawPrediction", "probability", "prediction", *[f"x_{f}_i" for f in self.features]]
@@ -242,11 +263,25 @@ class BigMoveModel:
             y = self.model.transform(self._features(prepared(df, self.columns))).withColumn(out, p)
         return y.select(*df.columns, out)
 
+    def stages(self) -> dict:
+        first, second = self.inputs if self.input == "text" else (self.inputs, None)
+        have = {"first": first, "second": second, "model": self.model}
+        return {n: m if isinstance(m, PipelineModel) else PipelineModel([m]) for n, m in have.items() if m is not None}
+
+    def settings(self) -> dict:
+        made = {"input": self.input, "columns": self.columns, "C": self.C, "vectorizer": self.vectorizer, "vocabulary": self.vocabulary}
+        return {"made": made, "stages": sorted(self.stages())}
+
+    def restore(self, settings: dict, path: str) -> None:
+        got = {name: PipelineModel.load(f"{path}/{name}") for name in settings["stages"]}
+        self.model = got["model"].stages[0]
+        self.inputs = (got["first"], got.get("second")) if self.input == "text" else got["first"]
+
     def terms(self, spark, n=25) -> DataFrame:
         """Top and bottom coefficients with their terms."""
         if self.input != "text" or self.vectorizer == "hashing":
             raise ValueError("only models over named terms can list them")
-        vocab, coef = self.inputs[0].vocabulary, self.model.coefficients.toArray()
+        vocab, coef = self.stages()["first"].stages[0].vocabulary, self.model.coefficients.toArray()
         order = np.argsort(coef, kind="stable")
         rows = ([(vocab[i], float(coef[i]), "up") for i in order[::-1][:n]] + [(vocab[i], float(coef[i]), "down") for i in order[:n]])
         return spark.createDataFrame(rows, "term string, coef double, direction string")

@@ -171,14 +171,28 @@ def _(m):
 SGN = "(CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END + CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END)"
 
 
+def annotation_signs(m):
+    """Annotation features of the raw and of the anonymised records."""
+    a = annotations(m)
+    blank = F.to_json(F.struct(F.lit("none").alias("earnings_result"), F.lit("none").alias("guidance_action"), F.lit("none").alias("analyst_action"), F.lit(0).alias("severity"), F.lit(0).alias("unexpectedness")))
+    anon = a.withColumn("record", F.when(F.col("doc_id") % 2 == 0, F.col("record")).otherwise(blank))
+    return tuple(N.news_annotation_features(x, "record") for x in (a, anon))
+
+
+@query("B9_variant_errors", W("tags", body=f"""SELECT {R('avg(abs(raw - anon))')} AS mae_sign, {R('avg(abs(sev_raw - sev_anon))')} AS mae_severity, count(*) AS n FROM (SELECT sign(sum(sign({SGN}))) AS raw, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS anon,
+  avg(doc_id % 4) AS sev_raw, avg(CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 ELSE 0 END) AS sev_anon FROM tags GROUP BY symbol, target)"""))
+def _(m):
+    from ..operators.joins import join_variants
+    raw, anon = (x.select("symbol", "target", "sign", "severity") for x in annotation_signs(m))
+    x = N.variant_error(join_variants(raw, anon, ["symbol", "target"], "_raw", "_anon"), [("sign_raw", "sign_anon"), ("severity_raw", "severity_anon")])
+    return x.select(r6("mae_sign_raw").alias("mae_sign"), r6("mae_severity_raw").alias("mae_severity"), "n")
+
+
 @query("B9_variant_comparison", W("tags", "panel", body=f"""WITH v AS (SELECT symbol, target, sign(sum(sign({SGN}))) AS raw, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS anon FROM tags GROUP BY 1, 2)
   SELECT (sign(v.raw) * sign(gap_pct))::INT AS agree, count(*) AS n, {R('avg(rest)')} AS rest_mean, {R('avg(CAST(v.raw = v.anon AS INT))')} AS sign_agreement FROM v JOIN panel p USING (symbol, target) GROUP BY 1"""))
 def _(m):
     from ..operators.joins import join_variants
-    a = annotations(m)
-    blank = F.to_json(F.struct(F.lit("none").alias("earnings_result"), F.lit("none").alias("guidance_action"), F.lit("none").alias("analyst_action"), F.lit(0).alias("severity"), F.lit(0).alias("unexpectedness")))
-    raw = N.news_annotation_features(a, "record").select("symbol", "target", "sign")
-    anon = N.news_annotation_features(a.withColumn("record", F.when(F.col("doc_id") % 2 == 0, F.col("record")).otherwise(blank)), "record").select("symbol", "target", "sign")
+    raw, anon = (x.select("symbol", "target", "sign") for x in annotation_signs(m))
     x = join_variants(raw, anon, ["symbol", "target"], "_raw", "_anon").join(label_panel(gap_rows(m), m.daily, CUTS), ["symbol", "target"])
     return N.variant_summary(x, "sign_raw", "sign_anon", "gap_pct", "rest")
 
@@ -204,7 +218,8 @@ def event_panel(m):
     tot = men.groupBy("symbol", "target").agg(F.sum("mentions").alias("mentions"))
     keys = ["symbol", "target"]
     x = x.join(ewm_abnormal(tot, "symbol", "mentions", m.cal).drop("mentions"), keys, "left")
-    ann = N.news_annotation_features(annotations(m), "record").select(*keys, F.col("sign").alias("ann_raw_sign"), F.col("sign").alias("ann_anon_sign"))
+    raw, anon = annotation_signs(m)
+    ann = raw.select(*keys, F.col("sign").alias("ann_raw_sign")).join(anon.select(*keys, F.col("sign").alias("ann_anon_sign")), keys, "full")
     n = tagged(assign_window(m.news, m.cal, "known_at").select("symbols", "target", F.col("doc_id").alias("title_id")), m.universe)
     x = x.join(ann, keys, "left").join(score_features(n, scores_of(m)).select(*keys, "fb_net_r1"), keys, "left")
     x = cut_lineage(label_panel(x, m.daily, CUTS))

@@ -182,7 +182,7 @@ def _(m):
 
 
 PAIR = f"(SELECT b.fold, b.draw, b.symbol, b.target, b.label, b.pred AS base, c.pred AS cand FROM {PL} b JOIN {PL} c USING (fold, draw, symbol, target) WHERE b.candidate = 'base' AND c.candidate = 'damped')"
-REPS, BLOCK = 40, 8
+REPS, BLOCK = 400, 8
 BOOT = f"""WITH pr AS (SELECT * FROM {PAIR}), dy AS (SELECT fold, draw, target, row_number() OVER (PARTITION BY fold, draw ORDER BY target) - 1 AS day_no FROM (SELECT DISTINCT fold, draw, target FROM pr)),
   un AS (SELECT fold, draw, count(*) AS d FROM dy GROUP BY 1, 2),
   st AS (SELECT fold, draw, rep, k, d, {H("'0'", 'fold', 'CAST(draw AS VARCHAR)', 'CAST(rep AS VARCHAR)', 'CAST(k AS VARCHAR)')} % (d - {BLOCK} + 1) AS s FROM (SELECT *, unnest(range(0, CAST(ceil(d / {BLOCK}.0) AS INT))) AS k FROM (SELECT *, unnest(range({REPS})) AS rep FROM un))),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
+from ..operators.ranks import quantiles
 from ..operators import indicators as I, sequences as Q, textblock as T
 from ..plans import explain as X, signals as G
 from ..plans.model import Candidate, default_candidate
@@ -41,7 +42,7 @@ def _(m):
 @query("M3_five_class_signal")
 def _(m):
     p = ml_panel(m)
-    s = G.Classify5Signal(FEATS, {"numTrees": 8, "minInstancesPerNode": 5}).fit(p)
+    s = G.Classify5Signal(FEATS, {"minInstancesPerNode": 5}).fit(p)
     return s.transform(p).select("symbol", "target", "label", "signal")
 
 
@@ -69,7 +70,7 @@ def text_panel(m):
 def text_model(m, name):
     words = [r["word"] for r in m.lexicon.select("word").distinct().collect()] if name == "lm_vocab" else None
     limits = {} if name in ("tfidf_df", "hashing", "lm_vocab") else {"min_df": 2}
-    return G.BigMoveModel("text", vectorizer=name, vocabulary=words, max_iter=30, **limits)
+    return G.BigMoveModel("text", vectorizer=name, vocabulary=words, **limits)
 
 
 for _name in G.VECTORISERS:
@@ -83,18 +84,36 @@ for _name in G.VECTORISERS:
 @query("M5_column_big_move_model")
 def _(m):
     p = ml_panel(m)
-    model = G.BigMoveModel("columns", FEATS, max_iter=10).fit(p)
+    model = G.BigMoveModel("columns", FEATS).fit(p)
     return model.transform(p).groupBy("label").agg(F.count("p_big").alias("scored"), F.avg("p_big").alias("mean_p"))
 
 
 @query("R4_text_regime")
 def _(m):
     p = text_panel(m)
-    spec = k_spec(regime={"type": "textclf", "params": {"input": "text", "vectorizer": "count_uni", "min_df": 2, "max_iter": 10}})
+    spec = k_spec(regime={"type": "textclf", "params": {"input": "text", "vectorizer": "count_uni", "min_df": 2}})
     c = Candidate(spec).fit(p)
     return score(c.predict(p)).withColumn("regime", F.lit(str(c.regime.state())))
 
 
+@query("S18_learned_save_restore", W("panel", body="SELECT unnest(['regress', 'textclf']) AS candidate, 0::BIGINT AS differing, count(*) AS n FROM panel WHERE label IS NOT NULL"))
+def _(m):
+    """Predictions of candidates with learned parts before saving and after loading."""
+    from .scans import scratch
+    regress = {"signal": {"type": "regress", "features": FEATS, "params": {"maxIter": 10, "minInstancesPerNode": 5}}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
+    text = k_spec(regime={"type": "textclf", "params": {"input": "text", "vectorizer": "tfidf_uni", "min_df": 2}})
+    out = None
+    for name, spec, rows in (("regress", regress, ml_panel(m)), ("textclf", text, text_panel(m).where("label IS NOT NULL"))):
+        path = scratch(m, f"candidate_{name}")
+        c = Candidate(spec).fit(rows)
+        c.save(m.spark, path)
+        key = ["symbol", "target"]
+        again = Candidate.load(m.spark, path).predict(rows).select(*key, F.col("pred").alias("again"))
+        x = c.predict(rows).select(*key, "pred").join(again, key).agg(F.lit(name).alias("candidate"), F.count_if(~F.col("pred").eqNullSafe(F.col("again"))).alias("differing"), F.count(F.lit(1)).alias("n"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 IND = ["ret1", "ret5", "rsi14", "macd_hist", "pct_b", "band_width", "vol_ratio"]
 
 
@@ -106,7 +125,7 @@ def indicators(m):
 @query("M6_forest_baseline")
 def _(m):
     x = indicators(m)
-    model = G.forest_baseline(x, IND, {"numTrees": 20, "maxDepth": 5})
+    model = G.forest_baseline(x, IND)
     return G.forest_importances(m.spark, model, IND)
 
 
@@ -151,7 +170,7 @@ def _(m):
     x = x.withColumn("flat", F.concat(F.flatten("trend"), F.flatten("remainder")))
     x = cut_lineage(x.select("symbol", "target", "label", "flat"))
     x = Q.standardise(x, "flat", Q.position_stats(x, "flat")).withColumn("v", array_to_vector("z"))
-    model = G.sequence_classifier(x, "v", 200, hidden=8, max_iter=5)
+    model = G.sequence_classifier(x, "v", 200)
     return score(model.transform(x).withColumn("pred", F.col("prediction").cast("int")))
 
 
@@ -161,7 +180,7 @@ def _(m):
     from pyspark.ml.functions import array_to_vector
     x = cut_lineage(Q.flat_features(labelled_sequences(m), "sequence").select("symbol", "target", "label", "flat"))
     x = Q.standardise(x, "flat", Q.position_stats(x, "flat")).withColumns({"v": array_to_vector("z"), "_y": F.col("label").cast("double")})
-    model = LogisticRegression(featuresCol="v", labelCol="_y", family="multinomial", maxIter=10).fit(x)
+    model = LogisticRegression(featuresCol="v", labelCol="_y", family="multinomial").fit(x)
     return score(model.transform(x).withColumn("pred", F.col("prediction").cast("int")))
 
 
@@ -187,14 +206,14 @@ def _(m):
     p = ml_panel(m)
     c = Candidate(k_spec(regime={"type": "tercile", "params": {"var": "reg_med_absgap"}})).fit(p)
     groups = X.group_of_features(c.features)
-    return X.permutation_importance(c.predict, p, groups, 5, 5)
+    return X.permutation_importance(c.predict, p, groups, 5, 30)
 
 
 @query("X3_partial_dependence")
 def _(m):
     p = ml_panel(m)
     c = Candidate(k_spec(regime={"type": "linear", "params": {"var": "reg_med_absgap"}})).fit(p)
-    return X.pdp_ice(c.explain, p, "reg_med_absgap", 5)
+    return X.pdp_ice(c.explain, p, "reg_med_absgap", 10)
 
 
 @query("X4_text_terms")
@@ -203,6 +222,16 @@ def _(m):
     return model.terms(m.spark, 10)
 
 
+@query("X4_term_frequency")
+def _(m):
+    """How many of the splits (up to the first third, the second, and all days) a term is among the strongest of."""
+    p = text_panel(m)
+    days = p.select(F.unix_date("target").cast("double").alias("d")).distinct()
+    edges = quantiles(days, [], "d", {"a": 1 / 3, "b": 2 / 3, "c": 1.0}).first()
+    fitted = [text_model(m, "count_uni").fit(p.where(F.unix_date("target") <= e)).terms(m.spark, 25) for e in edges]
+    return X.term_frequency(fitted)
+
+
 @query("X5_row_decomposition", W("panel", body=f"""SELECT symbol, target, {R('gap_pct')} AS signal, 1.0::DOUBLE AS factor, {R('gap_pct')} AS scaled, CASE WHEN gap_pct IS NULL THEN 2 ELSE {grade_sql('gap_pct', [c / 5.25 for c in CUTS])} END AS pred FROM panel"""))
 def _(m):
     from .rules import fit_panel

@@ -103,21 +103,28 @@ def _(m):
 @query("D6_four_threshold_rule")
 def _(m):
     p = cut_lineage(weekly_signal(m))
-    r = D.fit_rule("4t", p, "signal", cfg={"cuts": CUTS, "n_q": 40})
+    r = D.fit_rule("4t", p, "signal", cfg={"cuts": CUTS})
     start = D.fit_rule("asym", p, "signal", cfg={"cuts": CUTS})
     x = p.select("label", F.explode(F.array(F.struct(F.lit("4t").alias("rule"), r.apply("signal").alias("pred")),
                                             F.struct(F.lit("asym").alias("rule"), start.apply("signal").alias("pred")))).alias("z")).select("label", "z.*")
     return score(x, ["rule"])
 
 
-@query("D7_decomp_rule")
+DQ = "SELECT unnest(quantile_cont({0}, list_transform(range(1, 20), lambda i: i / 20.0::DOUBLE))) AS v FROM heads"
+
+
+@query("D7_decomp_rule", W("daily_w", body=f"""SELECT {R('t_move', 5)} AS t_move, {R('t_ext', 5)} AS t_ext, c, {R('score')} AS score FROM (WITH
+  heads AS (SELECT label, 1 - exp(-abs(s) / 20) AS pm, 1 - exp(-abs(s) / 60) AS pe, 1 / (1 + exp(-s / 30)) AS pu FROM {SIG} WHERE s IS NOT NULL),
+  tm AS (SELECT DISTINCT v FROM ({DQ.format('pm')})), te AS (SELECT DISTINCT v FROM ({DQ.format('pe')})), cs AS (SELECT unnest([0.0, 0.05, 0.1, 0.15, 0.2, 0.3])::DOUBLE AS c),
+  src AS (SELECT tm.v AS t_move, te.v AS t_ext, c, label, CASE WHEN pm < tm.v THEN 2 ELSE 2 + (CASE WHEN pu >= 0.5 THEN 1 ELSE -1 END) * (1 + CAST(pe >= te.v AND abs(pu - 0.5) >= c AS INT)) END AS pred FROM heads, tm, te, cs)
+  SELECT t_move, t_ext, c, score FROM ({weighted_score_sql('SELECT * FROM src', 't_move, t_ext, c')}) ORDER BY round(score, 12) DESC, t_move, t_ext, c LIMIT 1)"""))
 def _(m):
     p = cut_lineage(weekly_signal(m).withColumns({
         "p_move": 1 - F.exp(-F.abs("signal") / 20), "p_ext": 1 - F.exp(-F.abs("signal") / 60),
         "p_up": 1 / (1 + F.exp(-F.col("signal") / 30))}).where("signal IS NOT NULL"))
     r = D.fit_rule("decomp", p, ("p_move", "p_ext", "p_up"), cfg={"conf_gate": True})
     x = p.withColumn("pred", r.apply(("p_move", "p_ext", "p_up")))
-    return score(x).withColumns({"t_move": F.lit(r.t_move), "t_ext": F.lit(r.t_ext), "c": F.lit(r.c)})
+    return score(x).select(r6(F.lit(r.t_move), 5).alias("t_move"), r6(F.lit(r.t_ext), 5).alias("t_ext"), F.lit(float(r.c)).alias("c"), r6("score").alias("score"))
 
 
 CHUNK = "(SELECT *, CAST(target >= (SELECT d FROM days WHERE r = floor(n * 1 / 3.0)) AS INT) + CAST(target >= (SELECT d FROM days WHERE r = floor(n * 2 / 3.0)) AS INT) AS chunk FROM sig)"
@@ -131,7 +138,14 @@ def _(m):
     return score(x, ["chunk"]).select("chunk", r6("score").alias("score"))
 
 
-@query("D8_objective_selects_k")
+KP = "coalesce(CAST(s >= -25.0::DOUBLE / k AS INT) + CAST(s >= -6.0::DOUBLE / k AS INT) + CAST(s >= 6.0::DOUBLE / k AS INT) + CAST(s >= 25.0::DOUBLE / k AS INT), 2)"
+
+
+@query("D8_objective_selects_k", W("daily_w", body=f"""SELECT criterion, k FROM (WITH sig AS (SELECT * FROM {SIG}), days AS (SELECT target AS d, row_number() OVER (ORDER BY target) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT target FROM sig)),
+  src AS (SELECT k, chunk, label, {KP} AS pred FROM {CHUNK}, {KG}), parts AS ({weighted_score_sql('SELECT * FROM src', 'k, chunk')}),
+  vals AS (SELECT 'pooled' AS criterion, k, score AS v FROM ({weighted_score_sql('SELECT k, label, pred FROM src', 'k')}) UNION ALL SELECT 'mean', k, avg(score) FROM parts GROUP BY k
+    UNION ALL SELECT 'mean_sd', k, avg(score) - stddev_pop(score) FROM parts GROUP BY k UNION ALL SELECT 'min', k, min(score) FROM parts GROUP BY k)
+  SELECT criterion, k FROM vals QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY round(v, 12) DESC NULLS LAST, k) = 1)"""))
 def _(m):
     p = cut_lineage(weekly_signal(m))
     rows = [(c, D.fit_rule("k", p, "signal", obj=D.Objective(c), cfg={"cuts": CUTS}, day="target").params["k"])
@@ -208,8 +222,10 @@ def _(m):
     return predict_universe(default_candidate(CUTS), fit_panel(m), dense_grid(m.universe, "symbol", m.cal).select("symbol", "target"))
 
 
-@query("M10_residual_blend")
+@query("M10_residual_blend", W("daily_w", body=f"""SELECT alpha, k, {R('score')} AS score FROM (WITH a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha), x AS (SELECT * FROM {WV}),
+  mixed AS (SELECT alpha, label, s + alpha * coalesce(r - 30, 0.0) AS s FROM x, a), src AS (SELECT alpha, k, label, {KP} AS pred FROM mixed, {KG})
+  SELECT alpha, k, score FROM ({weighted_score_sql('SELECT * FROM src', 'alpha, k')}) ORDER BY round(score, 12) DESC, alpha, k LIMIT 1)"""))
 def _(m):
     p = cut_lineage(weekly_regime(m).withColumn("resid", F.col("r") - 30))
     a, rule, val = fit_blend(p, "signal", "resid", cfg={"cuts": CUTS})
-    return m.spark.createDataFrame([(a, rule.params["k"], round(val, 6))], "alpha double, k double, score double")
+    return m.spark.createDataFrame([(a, rule.params["k"], val)], "alpha double, k double, score double").withColumn("score", r6("score"))

@@ -257,9 +257,12 @@ def _(m):
 
 @query("T5_projection_group_mean")
 def _(m):
+    """32 components fitted on the earlier half of the vectors, applied to all."""
+    from ..operators.ranks import quantiles
     from ..plans.vectors import fit_projection, mean_vector, project
     e = m.raw("embeddings")
-    model = fit_projection(e.where("label < 5"), "embedding", 8)
+    edge = quantiles(e, [], "vec_id", {"edge": 0.5}).first()["edge"]
+    model = fit_projection(e.where(F.col("vec_id") <= edge), "embedding", 32)
     z = mean_vector(project(e, "embedding", model, "pc"), ["label"], "pc")
     return z.select("label", F.transform("mean", lambda v: F.round(F.abs(v), 6)).alias("abs_mean"), "n")
 

@@ -2,9 +2,12 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_private: dict[str, str] = {}
+
 
 def get_spark(app: str = "cutline", cpus: str = "*") -> SparkSession:
     """A session with the settings the library expects. Partition counts and memory are set for local masters only; on a cluster
@@ -22,28 +25,41 @@ def get_spark(app: str = "cutline", cpus: str = "*") -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir``. Only a local session that names none (tests) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _private:
+        _private[app] = tempfile.mkdtemp(prefix="cutline-shared-")
+    return _private[app]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cutline-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and continue from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only a local session that
-    names none (tests) gets a private one.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cutline-ckpt-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
-
-
-def pin_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """A table of at most ``max_rows`` rows as a local relation, so the planner knows its exact size and
-    broadcasts it by its own threshold instead of shuffling the large side. A larger table is
-    returned unchanged and joins by shuffle."""
-    table = df.limit(max_rows + 1).toArrow()
-    return df if table.num_rows > max_rows else df.sparkSession.createDataFrame(table)
+    """The rows written as Parquet to the shared folder, and read from there: computed once, lost executors cost nothing, later
+    reads take only the columns they need, and the planner knows the size from the files."""
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let iterative learners cut their lineage in the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_own_folder(spark))
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove what ``cut_lineage`` wrote in this application; call it when no returned DataFrame is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_table(spark: SparkSession, columns: dict) -> DataFrame:

@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import ratio_change
 from ..operators.calendar import trading_calendar
-from ..session import local_table, pin_small
-from .tables import read_spread
+from ..session import cut_lineage, local_table
 
 SYMBOLS = [f"S{i:02d}" for i in range(10)]
 ALIASES = {s: [f"Company {chr(65 + i)}"] for i, s in enumerate(SYMBOLS) if i < 8}
 LEXICON = {"positive": ["BEATS", "HE", "ON", "AN", "EST"], "negative": ["TRIMS", "THE", "ION", "LA"],
            "uncertainty": ["TALKS", "AND", "ER"]}
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 CUTS = (-25.0, -6.0, 6.0, 25.0)
 
 
@@ -29,8 +27,8 @@ class Market:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        """A whole input table; text tables are spread over the session's slots when small."""
-        return read_spread(self.spark, f"{self.dir}/{name}.parquet", TEXT_KEYS.get(name))
+        """A whole input table."""
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def price(self) -> DataFrame:
@@ -124,11 +122,11 @@ class Market:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return pin_small(self.daily.select("symbol").distinct())
+        return cut_lineage(self.daily.select("symbol").distinct())
 
     @cached_property
     def universe_w(self) -> DataFrame:
-        return pin_small(self.daily_w.select("symbol").distinct())
+        return cut_lineage(self.daily_w.select("symbol").distinct())
 
     @cached_property
     def aliases(self) -> DataFrame:

@@ -14,17 +14,6 @@ DAILY_SCHEMA = T.StructType([
 NEWS_LIGHT = ["known_at", "symbols", "source", "url", "title", "tone", "positive", "negative"]
 
 
-def read_spread(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Read parquet; when the files give fewer splits than the session has slots, spread the rows by
-    ``key`` so that text work uses all of them. Large inputs have more splits than slots and are
-    left as they are."""
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    if key is not None and df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots, key)
-    return df
-
-
 def symbol_filter(df: DataFrame, symbols) -> DataFrame:
     """Keep wanted symbols; on comma-joined tags keep the row if any tag is wanted."""
     if symbols is None:
@@ -33,8 +22,11 @@ def symbol_filter(df: DataFrame, symbols) -> DataFrame:
         want = symbols.select(F.col(symbols.columns[0]).alias("_want")).distinct()
         if "symbol" in df.columns:
             return df.join(want, df["symbol"] == want["_want"], "left_semi")
-        arr = want.agg(F.sort_array(F.collect_set("_want"))).scalar()
-        return df.where(F.arrays_overlap(F.split(F.coalesce("symbols", F.lit("")), ","), arr))
+        # every distinct tag list is judged once; rows then meet the lists that name a wanted symbol
+        lists = df.select("symbols").distinct()
+        hit = lists.select("symbols", F.explode(F.split(F.coalesce("symbols", F.lit("")), ",")).alias("_tag"))
+        hit = hit.join(want, hit["_tag"] == want["_want"], "left_semi").select("symbols").distinct()
+        return df.join(hit, "symbols", "left_semi").select(df.columns)
     symbols = [symbols] if isinstance(symbols, str) else sorted(symbols)
     if "symbol" in df.columns:
         return df.where(F.col("symbol").isin(*symbols))
