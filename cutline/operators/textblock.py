@@ -28,14 +28,15 @@ def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
 def with_mentions(df: DataFrame, title: str, patterns: DataFrame, out: str = "mentioned") -> DataFrame:
     """Distinct companies named in the title, as a sorted array (empty for a missing title).
 
-    Every distinct title is looked at once: its words meet the patterns' tokens, the regex verifies the few candidates,
-    and the companies go back to all rows with that title. The planner decides by size how the patterns travel."""
-    titles = df.select(F.col(title).alias("_title")).where("_title IS NOT NULL").distinct()
-    words = titles.select("_title", F.explode(F.array_distinct(tokens(F.lower("_title"), r"(?U)\w+"))).alias("token"))
-    hits = words.join(patterns, "token").where(F.rlike(F.col("_title"), F.col("pattern")))
-    named = hits.groupBy("_title").agg(F.sort_array(F.collect_set("mentioned")).alias(out))
-    x = df.join(named, df[title] == named["_title"], "left").drop("_title")
-    return x.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    Words meet the patterns' tokens under a hash of the title, so the text itself is neither copied nor shuffled for
+    that; the few candidates come back to the row, where the regex decides. The planner decides by size how the patterns travel."""
+    key = F.xxhash64(title).alias("_title")
+    words = df.select(key, F.explode(F.array_distinct(tokens(F.lower(title), r"(?U)\w+"))).alias("token"))
+    named = words.join(patterns, "token").groupBy("_title").agg(F.collect_set(F.struct("mentioned", "pattern")).alias("_who"))
+    x = df.withColumn("_title", key).join(named, "_title", "left")
+    hits = F.filter("_who", lambda e: F.rlike(F.col(title), e["pattern"]))
+    names = F.array_sort(F.array_distinct(F.transform(hits, lambda e: e["mentioned"])))
+    return x.withColumn(out, F.coalesce(names, F.array().cast("array<string>"))).drop("_title", "_who")
 
 
 def article_table(news: DataFrame, cal: DataFrame, universe: DataFrame, patterns: DataFrame) -> DataFrame:
