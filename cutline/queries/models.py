@@ -35,28 +35,28 @@ def _(m):
 @query("M2_absolute_error_regression")
 def _(m):
     p = ml_panel(m)
-    spec = {"name": "regress", "signal": {"type": "regress", "features": FEATS, "params": {"maxIter": 5, "minInstancesPerNode": 5}}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
+    spec = {"name": "regress", "signal": {"type": "regress", "features": FEATS}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
     return score(Candidate(spec).fit(p).predict(p))
 
 
 @query("M3_five_class_signal")
 def _(m):
     p = ml_panel(m)
-    s = G.Classify5Signal(FEATS, {"minInstancesPerNode": 5}).fit(p)
+    s = G.Classify5Signal(FEATS).fit(p)
     return s.transform(p).select("symbol", "target", "label", "signal")
 
 
 @query("M4_decomposition_heads")
 def _(m):
     p = ml_panel(m)
-    spec = {"name": "decomp", "signal": {"type": "decomp", "features": FEATS, "params": {"maxIter": 3, "minInstancesPerNode": 5}}, "decision": {"type": "decomp"}}
+    spec = {"name": "decomp", "signal": {"type": "decomp", "features": FEATS}, "decision": {"type": "decomp"}}
     return score(Candidate(spec).fit(p).predict(p))
 
 
 @query("M4_decomposition_multiclass")
 def _(m):
     p = ml_panel(m)
-    s = G.DecompSignal(FEATS, {"maxIter": 3, "minInstancesPerNode": 5, "magnitude": "multiclass"}).fit(p)
+    s = G.DecompSignal(FEATS, {"magnitude": "multiclass"}).fit(p)
     return s.transform(p).select("symbol", "target", "label", "p_move", "p_ext", "p_up")
 
 

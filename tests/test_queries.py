@@ -13,7 +13,8 @@ NAMES = ["S1_asof_scan", "S5_forum_scan_both", "P11_clip_winsorise", "J1_window_
          "A2_last_non_null_per_column", "A12_representative_features", "A22_conditional_table", "W5_rolling_beta", "W10_abnormal_count_ewm",
          "W15_macd", "W16_rsi", "W24_sequence_windows", "K4_stratified_sample", "K8_universe_draws", "F6_cluster_key", "T3_novelty",
          "T4_tfidf_uni", "D2_k_rule_scores", "R1_tercile_scaling", "E2_extended_metrics", "E13_block_bootstrap_reps", "B2_full_panel",
-         "B3_universe_panels", "B5_exploratory_panel", "X5_row_decomposition"]
+         "B3_universe_panels", "B5_exploratory_panel", "X5_row_decomposition", "F9_company_mentions", "A39_spearman", "D7_decomp_rule",
+         "D8_objective_selects_k", "M10_residual_blend", "B9_variant_errors", "S18_learned_save_restore"]
 
 
 @pytest.fixture(scope="module")

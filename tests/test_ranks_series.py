@@ -173,3 +173,32 @@ def test_smoothing_keeps_its_whole_history(spark, alpha):
         if i % 1000 == 999:
             want.append(s)
     assert all(abs(r.s - w) <= 1e-9 * max(1, abs(w)) for r, w in zip(got, want, strict=True))
+
+
+def test_ranks_of_narrow_and_tiny_values_spread_over_parts(spark):
+    """Values within a hair's breadth share one bucket of the fixed function; their own range splits them."""
+    for values in ([1.7e9 + i / 7 for i in range(3000)], [i * 1e-12 for i in range(-500, 500)], [5.0] * 50 + [5.0 + 1e-9 * (i % 40) for i in range(400)]):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        got = {r["v"]: (r["_cnt"], r["_before"], r["_n"]) for r in value_ranks(df, [], "v").collect()}
+        ordered = sorted(values)
+        assert got == {v: (ordered.count(v), ordered.index(v), len(values)) for v in set(values)}
+
+
+def test_spearman_with_a_value_that_holds_a_third_of_the_rows(spark):
+    from cutline.operators.aggregates import spearman
+    g = np.random.default_rng(4)
+    x = pd.DataFrame({"a": np.where(g.random(900) < 1 / 3, 0.0, g.integers(0, 50, 900)), "b": g.integers(0, 9, 900).astype(float)})
+    x.loc[:9, "b"] = np.nan
+    got = spearman(spark.createDataFrame(x).withColumn("b", F.nanvl("b", F.lit(None))), "a", "b").first()
+    both = x.dropna()
+    want = np.corrcoef(both["a"].rank(), both["b"].rank())[0, 1]
+    assert got["n"] == len(both) and abs(got["spearman"] - want) < 1e-12
+
+
+def test_lineage_cut_goes_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from cutline import session
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    x = session.cut_lineage(spark.range(10).withColumn("y", F.lit("a")))
+    assert x.count() == 10 and list(tmp_path.rglob("*.parquet")) and x.columns == ["id", "y"]
+    session.drop_intermediates(spark)
+    assert not list(tmp_path.rglob("*.parquet"))

@@ -178,3 +178,19 @@ def test_unknown_vectorisers_are_rejected():
     for bad in ("nonsense", "lm_vocab"):
         with pytest.raises(ValueError):
             BigMoveModel("text", vectorizer=bad)
+
+
+def test_mentions_of_missing_and_repeated_titles(spark):
+    from cutline.operators.textblock import mention_patterns, with_mentions
+    rows = [(1, "Acme buys $BB today"), (2, None), (3, ""), (4, "Acme buys $BB today"), (5, "acmed nothing"), (6, "ACME's gain")]
+    got = {r["id"]: r["mentioned"] for r in with_mentions(spark.createDataFrame(rows, "id int, title string"), "title",
+                                                          mention_patterns(spark, ["AAX", "BB"], {"AAX": ["Acme"]})).collect()}
+    assert got == {1: ["AAX", "BB"], 2: [], 3: [], 4: ["AAX", "BB"], 5: [], 6: ["AAX"]}
+
+
+def test_wanted_symbols_meet_comma_joined_tags(spark):
+    from cutline.sources.tables import symbol_filter
+    news = spark.createDataFrame([(1, "A,BB"), (2, "B"), (3, None), (4, "BB"), (5, "A,BB")], "id int, symbols string")
+    want = spark.createDataFrame([("BB",), ("BB",)], "symbol string")
+    out = symbol_filter(news, want)
+    assert sorted(r["id"] for r in out.collect()) == [1, 4, 5] and out.columns == ["id", "symbols"]
