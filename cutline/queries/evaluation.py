@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window as SW, functions as F
 
-from ..fixed import ADOPTION
+from ..fixed import ADOPTION, FEATURE_GROUPS
 from ..functions import scalars as C
 from ..plans import compare as P, contract as K, scoring as E, splits as L
 from ..session import cut_lineage
@@ -261,27 +261,48 @@ E18_COLUMNS = ["gap_pct", "gap_rank", "vol5", "vol20", "atr14", "beta60", "zgap"
                "earn", "surp_sign", "surp_abs", "an_n", "an_up", "an_down", "news_n", "tone_mean", "tone_min", "tone_max", "news_missing", "label"]
 
 
-@query("E18_point_in_time_equality", "SELECT c AS \"column\", CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS null_mismatch, CAST(0 AS DOUBLE) AS max_diff, CAST(0 AS BIGINT) AS violations "
-       f"FROM (VALUES {', '.join(f"('{c}')" for c in E18_COLUMNS)}) t(c) WHERE (SELECT count(*) FROM events) > 0")
-def _(m):
-    """Panel rows of every block, recomputed from tables cut at one cutoff, and their labels equal the full-history rows."""
+ZEROS = ("SELECT c AS \"column\", CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS null_mismatch, CAST(0 AS DOUBLE) AS max_diff, CAST(0 AS BIGINT) AS violations "
+         "FROM (VALUES {}) t(c) WHERE (SELECT count(*) FROM events) > 0")
+E18_DAYS = 8
+E18_TEXT = FEATURE_GROUPS["txt_text"]
+E18_ALL = [c for columns in FEATURE_GROUPS.values() for c in columns if c not in E18_TEXT] + ["label"]
+
+
+def point_in_time(m, groups, numeric, exact=(), days=E18_DAYS):
+    """Panel rows of these groups, recomputed from tables cut at the cutoff of each sampled day, beside the full-history rows."""
     from ..operators.calendar import at_cutoff
+    from ..operators.textblock import article_table
     from ..plans.panel import build_panel, label_panel
     from ..sources.tables import asof, hash_sample
     tables = {"daily": m.daily, "price": m.price, "earnings": m.events_month, "analyst": m.events_month, "news": m.news}
-    groups = ("core", "scale", "cross", "event", "analyst", "news", "regime")
-    build = lambda t, cal: label_panel(build_panel(t, cal, m.universe, groups, tie="o_orderkey"), m.daily, CUTS)
+
+    def build(t, cal):
+        text = {"articles": article_table(t["news"], cal, m.universe, m.patterns), "aliased": m.aliases, "lexicon": m.lexicon}
+        return label_panel(build_panel(t, cal, m.universe, groups, text=text, tie="o_orderkey"), m.daily, CUTS)
+
     full = cut_lineage(build(tables, m.cal))
     out = None
-    for (day,) in hash_sample(m.cal.select("target"), "target", 2, 11).collect():
+    for (day,) in hash_sample(m.cal.select("target"), "target", days, 11).collect():
         cut = at_cutoff(F.lit(day))
         part = build({name: asof(t, until=cut) for name, t in tables.items()}, m.cal.where(F.col("target") <= F.lit(day)))
-        r = K.compare_panels(part.where(F.col("target") == F.lit(day)), full.where(F.col("target") == F.lit(day)), ["symbol", "target"], E18_COLUMNS)
+        r = K.compare_panels(part.where(F.col("target") == F.lit(day)), full.where(F.col("target") == F.lit(day)), ["symbol", "target"], numeric, exact)
         out = r if out is None else out.unionByName(r)
     return out.groupBy("column").agg(F.max("unmatched").alias("unmatched"), F.max("null_mismatch").alias("null_mismatch"),
                                      (F.round(F.max("max_diff"), 9) + 0.0).alias("max_diff"), F.max("violations").alias("violations"))
 
 
+@query("E18_point_in_time_equality", ZEROS.format(", ".join(f"('{c}')" for c in E18_COLUMNS)))
+def _(m):
+    """Columns of the blocks without text, and the labels."""
+    return point_in_time(m, ("core", "scale", "cross", "event", "analyst", "news", "regime"), E18_COLUMNS)
+
+
+@query("E18_point_in_time_all_columns", ZEROS.format(", ".join(f"('{c}')" for c in [*E18_ALL, *E18_TEXT])))
+def _(m):
+    """Every column of the feature registry, joined titles by null-safe equality, and the labels."""
+    return point_in_time(m, tuple(FEATURE_GROUPS), E18_ALL, E18_TEXT)
+
+
 @query("E18_no_bar_after_cutoff", W("bars", body="""SELECT count(*) AS late_bars FROM bars WHERE session = 'pre' AND hour(datetime) >= 9
   AND known_at < CAST(datetime AS DATE) + INTERVAL '9 hours 30 minutes'"""))
 def _(m):
