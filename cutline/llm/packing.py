@@ -1,5 +1,6 @@
 """Token sequences by cutting stock: a linear program over length-histogram patterns, priced by a knapsack."""
 
+import json
 import re
 import zlib
 from array import array
@@ -29,15 +30,31 @@ PIECE = re.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?
 WORD_PIECE = re.compile(f" [{_LETTER}]+")
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """The tokens a vocabulary's JSON adds to its ranks, with their id: they are matched in the raw text before anything is split."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    odd = [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens with conditions are not supported: {odd}")
+    return {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+
+
 class Encoder:
-    """Texts to the bytes of their ids (little-endian unsigned 32 bits), remembering the pieces met before."""
+    """Texts to the bytes of their ids (little-endian unsigned 32 bits), remembering the pieces met before.
 
-    def __init__(self, path: str):
+    With the JSON of the vocabulary its added tokens get their own ids; without it their letters are text like any other.
+    """
+
+    def __init__(self, path: str, vocabulary: str | None = None):
         with open(path, "rb") as lines:
             ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._newline = ranks[b"\n"]
         self._known: dict[str, bytes] = {}
+        self._added = added_tokens(vocabulary) if vocabulary else {}
+        # the longest of several that begin at one place
+        self._literal = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
 
     def _ids(self, text: str) -> bytes:
         return array("I", self._encode(text)).tobytes()
@@ -60,6 +77,13 @@ class Encoder:
                 self._known[piece] = self._ids(piece)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self._literal is None or not any(map(self._literal.search, texts)):
+            return self._plain(texts)
+        cut = [self._literal.split(t) for t in texts]  # text and token in turn
+        ids = iter(self._plain([part for parts in cut for part in parts[::2]]))
+        return [b"".join(self._added[part] if k % 2 else next(ids) for k, part in enumerate(parts)) for parts in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         split = [PIECE.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
         new = list(set().union(*filter(None, split)).difference(self._known))
         if new:
@@ -71,20 +95,20 @@ class Encoder:
         return [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, vocabulary: str | None = None) -> Encoder:
     """The worker's encoder for a vocabulary; read once per process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, vocabulary) not in _encoders:
+        _encoders[path, vocabulary] = Encoder(path, vocabulary)
+    return _encoders[path, vocabulary]
 
 
-def token_pieces(docs: DataFrame, ranks: str, length: int) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks: str, length: int, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, doc_tokens, crcs): ids of each text and one id 0; crcs has the CRC-32 of every run of ``length`` ids."""
     def run(batches):
-        encode = encoder(ranks)
+        encode = encoder(ranks, vocabulary)
         for batch in batches:
             counts, crcs = [], []
             for at in range(0, batch.num_rows, 64):
@@ -189,9 +213,10 @@ def _places(patterns: list, grains: int) -> tuple[np.ndarray, ...]:
     return (table[:, 0] << 40) + table[:, 1], table[:, 1], table[:, 2], table[:, 3]
 
 
-def pack(docs: DataFrame, ranks: str, length: int = 1024, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, length: int = 1024, grain: int = GRAIN, vocabulary: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` tokens with little padding.
 
+    ranks is the rank file; vocabulary, the JSON beside it, names the added tokens that are matched inside a text.
     A document's ids end with one id 0. Runs of ``length`` ids fill sequences of their own; the rest of each document is one
     piece. The histogram of these pieces, in units of ``grain`` tokens, is all the driver sees: at most length / grain counts.
     Its patterns go to the pieces by their rank within their size, which comes from counts per chunk and a
@@ -201,7 +226,7 @@ def pack(docs: DataFrame, ranks: str, length: int = 1024, grain: int = GRAIN) ->
     texts are the single id 0. Repeated rows are packed one by one; a null doc_id is an id like others. An empty table gives an empty
     result. Other columns are not read.
     """
-    rows = token_pieces(docs, ranks, length)
+    rows = token_pieces(docs, ranks, length, vocabulary)
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "tokens")
     n = rows.count()
     unit = F.ceil(F.col("tail") / grain).cast("int")

@@ -51,7 +51,7 @@ def op4(spark, sf_dir):
     import public_tokenizers
 
     from .packing import pack
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def fold(modulus: int):

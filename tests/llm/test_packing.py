@@ -103,3 +103,21 @@ def test_repeated_rows_and_empty_table(spark):
     rows = P.pack(docs, RANKS, 16).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 1, 1] and len({(r.sequence_id, r.offset) for r in rows}) == 4
     assert P.pack(docs.where("false"), RANKS).count() == 0
+
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+MATCHING = Tokenizer.from_file(JSON)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "é", "…", "'s", "12"]), max_size=12).map("".join))
+def test_added_tokens_inside_a_text(text):
+    assert list(np.frombuffer(P.encoder(RANKS, JSON)([text, "b"])[0], "<u4")) == MATCHING.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_matches_added_tokens(spark, tmp_path):
+    import __spark_entry__ as entry
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = entry.queries()["op4_packing"](spark, str(tmp_path)).first()
+    assert row.doc_tokens == 5 and row.ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes())
