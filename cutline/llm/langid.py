@@ -112,11 +112,15 @@ class Tournament:
 
     def play(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner and its score, the product of its matches' logistic margins."""
+        return self.matches(x)[:2]
+
+    def matches(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``play``, and the winner's smallest margin in any of its matches (infinite without a match)."""
         if not self.pairs:
-            return np.zeros(len(x), np.int64), np.ones(len(x))
+            return np.zeros(len(x), np.int64), np.ones(len(x)), np.full(len(x), np.inf)
         margin = x @ self.weights[:, :-1].T + self.weights[:, -1]
         wins, width = np.zeros((len(x), len(self.names))), np.zeros((len(x), len(self.names)))
-        log_score = np.zeros((len(x), len(self.names)))
+        log_score, least = np.zeros((len(x), len(self.names))), np.full((len(x), len(self.names)), np.inf)
         for k, (a, b) in enumerate(self.pairs):
             m = margin[:, k].astype(np.float64)
             wins[:, a] += m >= 0
@@ -125,8 +129,11 @@ class Tournament:
             width[:, b] -= m
             log_score[:, a] -= np.logaddexp(0, -SLOPE * m)
             log_score[:, b] -= np.logaddexp(0, SLOPE * m)
+            least[:, a] = np.minimum(least[:, a], m)
+            least[:, b] = np.minimum(least[:, b], -m)
         best = np.argmax(wins + np.tanh(width / len(self.names)) / 4, axis=1)
-        return best, np.exp(log_score[np.arange(len(x)), best])
+        at = np.arange(len(x))
+        return best, np.exp(log_score[at, best]), least[at, best]
 
 
 @dataclass
@@ -134,22 +141,30 @@ class LanguageModel:
     families: Tournament
     inside: dict[str, Tournament]
     slots: int = SLOTS
+    floor: float = -np.inf  # the smallest margin of a clear text, see ``clear_margin``
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        labels, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, score and the winner's smallest match margin of each text."""
         if not self.families.names:
-            return labels, scores
-        x, has = features([t or "" for t in texts], self.slots)
-        family, sure = self.families.play(x)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        return self.judge_rows(*features([t or "" for t in texts], self.slots))
+
+    def judge_rows(self, x: np.ndarray, has: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        labels, scores, least = [UNDETERMINED] * len(x), np.zeros(len(x)), np.full(len(x), -np.inf)
+        family, sure, outer = self.families.matches(x)
         for f, name in enumerate(self.families.names):
             at = np.nonzero((family == f) & has)[0]
             if at.size:
                 own = self.inside[name]
-                best, inner = own.play(x[at])
+                best, inner, margin = own.matches(x[at])
                 scores[at] = sure[at] * inner
+                least[at] = np.minimum(outer[at], margin)
                 for i, k in zip(at.tolist(), best.tolist()):
                     labels[i] = own.names[k]
-        return labels, scores
+        return labels, scores, least
 
 
 def groups_of(texts: list, size: int = 1 << 19, most: int = 256):
@@ -164,9 +179,32 @@ def groups_of(texts: list, size: int = 1 << 19, most: int = 256):
         yield at, len(texts)
 
 
-def fit_languages(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, slots: int = SLOTS) -> LanguageModel:
+def fit_rows(x: np.ndarray, y: np.ndarray, slots: int = SLOTS) -> LanguageModel:
+    names = sorted(set(y.tolist()))
+    home = np.array([family_of(label) for label in y.tolist()], object)
+    families = sorted(set(home.tolist()))
+    inside = {f: Tournament.fit([n for n in names if family_of(n) == f], x[home == f], y[home == f]) for f in families}
+    return LanguageModel(Tournament.fit(families, x, home), inside, slots)
+
+
+def clear_margin(x: np.ndarray, y: np.ndarray, slots: int = SLOTS, parts: int = 5) -> float:
+    """A winner's match margin well below that of all rightly recognised rows, each judged by machines that have not seen it: by half
+    of the smallest. A margin of one match means the same with any number of languages, unlike a product over matches."""
+    part, clear = np.zeros(len(y), np.int64), []
+    for label in set(y.tolist()):
+        part[y == label] = np.arange((y == label).sum()) % parts
+    for k in range(parts):
+        seen, held = part != k, part == k
+        if held.any() and seen.any():
+            labels, _, least = fit_rows(x[seen], y[seen], slots).judge_rows(x[held], np.ones(held.sum(), bool))
+            clear.append(least[np.array(labels, object) == y[held]])
+    least = np.concatenate(clear).min(initial=np.inf) if clear else np.inf
+    return float(least - abs(least) / 2) if np.isfinite(least) else -np.inf
+
+
+def fit_languages(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, slots: int = SLOTS, calibrate: bool = False) -> LanguageModel:
     """Fit on a bounded sample of the rows whose lang is not null: about ``sample_per_label`` texts of every language, chosen by
-    the hash of doc_id. Tasks turn the texts into vectors, so the driver meets only vectors of fixed size."""
+    the hash of doc_id. Tasks turn the texts into vectors, so the driver meets only vectors of fixed size. ``calibrate`` also sets the floor of clear texts."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("doc_id", F.lit("languages")).alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -186,16 +224,16 @@ def fit_languages(docs: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, slo
     table = drawn.mapInArrow(run, "x binary, lang string").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     y = np.array(table.column("lang").to_pylist(), object)
     x = np.array([np.frombuffer(v, np.float16) for v in table.column("x").to_pylist()]).astype(np.float32).reshape(len(y), slots)
-    names = sorted(set(y.tolist()))
-    home = np.array([family_of(label) for label in y.tolist()], object)
-    families = sorted(set(home.tolist()))
-    inside = {f: Tournament.fit([n for n in names if family_of(n) == f], x[home == f], y[home == f]) for f in families}
-    return LanguageModel(Tournament.fit(families, x, home), inside, slots)
+    model = fit_rows(x, y, slots)
+    if calibrate:
+        model.floor = clear_margin(x, y, slots)
+    return model
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, reject: bool = False) -> DataFrame:
     """The rows with lang_pred and lang_score (0 to 1) added from the whole text alone.
 
+    With ``reject`` a text whose winner has a match margin under the model's floor is ``und`` as well; its score stays.
     ``und`` with score 0 where the text is null or has no letter, or the model has learned nothing. Columns of these two names are
     replaced; all others, repeated rows and nulls pass unchanged. An empty table gives an empty result.
     """
@@ -207,8 +245,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             texts, labels, scores = batch.column(at).to_pylist(), [], []
             for a, b in groups_of(texts):
-                own = model.predict(texts[a:b])
-                labels += own[0]
+                own = model.judge(texts[a:b])
+                labels += [UNDETERMINED if reject and m < model.floor else label for label, m in zip(own[0], own[2].tolist())]
                 scores.append(own[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=names)
 

@@ -1,5 +1,6 @@
 """Language ID: features against plain counting, machines on known cases, held-out accuracy."""
 
+import random
 import zlib
 
 import numpy as np
@@ -57,3 +58,32 @@ def test_small_texts(spark, text, label):
                                                                              ("la maison est sur la colline et le chien", "fr"))]
     model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.predict([text])[0] == [label]
+
+
+FOUR, TEN = "en de fr es".split(), "en de nl sv da no is af lb fy".split()
+
+
+def language_rows(names, n=60):
+    """Texts over each language's own letters; some of the first language's words in all of them, as in related languages."""
+    rnd, rows = random.Random(7), []
+    own = {name: ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for name in names}
+    common = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(30)]
+    for name in names:
+        for _ in range(n):
+            rows.append((len(rows), " ".join(rnd.choice(own[name] if rnd.random() < .5 else common) for _ in range(60)), name))
+    return rows, own, common
+
+
+@pytest.mark.parametrize("names", [FOUR, TEN])
+def test_clear_texts_stay_and_unclear_ones_go(spark, names):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as P
+    rows, _, _ = language_rows(names)
+    rnd = random.Random(9)
+    odd = [(9000 + i, " ".join("".join(rnd.choice("qrstuvwxyz") for _ in range(5)) for _ in range(60)), None) for i in range(40)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows + odd, schema).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = {r.doc_id for r in P.language_id(spark, docs, "").collect()}
+    assert len([r for r in rows if r[0] in kept]) >= .98 * len(rows)
+    assert len([r for r in odd if r[0] in kept]) <= 4
