@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .contamination import CONTAMINATION_SQL, contamination
 from .mixing import MIX_SQL, mix
 
 QUERIES: dict = {}
@@ -100,3 +101,10 @@ def op9(spark, sf_dir):
 def op1(spark, sf_dir):
     from .covertree import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_benchmark_decontamination", CONTAMINATION_SQL.format(documents="documents", benchmark="benchmark"))
+def op12(spark, sf_dir):
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
