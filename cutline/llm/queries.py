@@ -108,3 +108,12 @@ def op12(spark, sf_dir):
     rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    from .alignment import align
+    rows = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
