@@ -117,3 +117,9 @@ def op13(spark, sf_dir):
     from .alignment import align
     rows = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
     return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    from .variants import variant_groups
+    return variant_groups(table(spark, sf_dir, "documents"), drop_every=199)
