@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
@@ -11,7 +13,9 @@ from .common import written
 WINDOW = 50
 SEED_WORDS = 8                     # words of a minimiser
 RUN = 512                          # windows of one packed string at most; longer runs continue in the next string
-HOT = 4096                         # a minimiser of more documents is counted by window digests, spread by hash
+HOT = 1 << 15                      # a minimiser of more windows is counted by window digests, spread by hash
+TEXT_BYTES = 1 << 20               # bytes of texts held at once in a task
+SORT_BYTES = 1 << 22               # bytes of packed strings whose windows are sorted at once; a group of HOT windows at most stays whole
 _BASE = 0x9E3779B97F4A7C15         # odd, so that it has an inverse modulo 2**64
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
@@ -65,48 +69,59 @@ def runs(values: np.ndarray):
             yield s, min(s + RUN, b)
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch with about TEXT_BYTES of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _in_groups(texts: list, window: int, m: int, size: int = 1 << 18):
-    """For each text None (shorter than a window) or (joined words, starts, ends, minimisers). Short texts are hashed together:
+    """(number, joined words, starts, ends, minimisers) of each text of a window or more. Short texts are hashed together:
     windows across two texts are computed and left out."""
     def done(group):
         joined = b" ".join(x[1] for x in group)
         starts, ends = offsets(joined.split(b" "))
         values, word, byte = minimisers(joined, starts, ends, window, m), 0, 0
         for i, text, n in group:
-            out[i] = text, starts[word:word + n] - byte, ends[word:word + n] - byte, values[word:word + n - window + 1]
+            yield i, text, starts[word:word + n] - byte, ends[word:word + n] - byte, values[word:word + n - window + 1]
             word, byte = word + n, byte + len(text) + 1
 
-    out, group, held = [None] * len(texts), [], 0
+    group, held = [], 0
     for i, text in enumerate(texts):
         tokens = text.split() if text else ()
         if len(tokens) >= window:
             group.append((i, b" ".join(tokens), len(tokens)))
             held += len(group[-1][1])
             if held > size:
-                done(group)
+                yield from done(group)
                 group, held = [], 0
     if group:
-        done(group)
-    return out
+        yield from done(group)
 
 
 def _references(docs: DataFrame, window: int, m: int) -> DataFrame:
-    """(minimiser, doc_id, tid, lo, hi): each minimiser of each document once; lo and hi digest its word sequence."""
+    """(minimiser, windows, doc_id, tid, lo, hi): each minimiser of each document once; lo and hi digest its word sequence."""
+    names = ["minimiser", "windows", "doc_id", "tid", "lo", "hi"]
+
     def run(batches):
         for batch in batches:
-            found, rows, digests = np.zeros(batch.num_rows, np.int64), [], []
-            for i, x in enumerate(_in_groups(batch.column(2).to_pylist(), window, m)):
-                if x is not None:
-                    values = x[3][np.append(True, x[3][1:] != x[3][:-1])]
-                    rows.append(np.unique(values))
-                    found[i] = rows[-1].size
-                    digests.append(xxhash.xxh3_128_digest(x[0]))
-            if rows:
-                at = pa.array(np.repeat(np.arange(found.size), found))
-                digest = np.repeat(np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), found[found > 0], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), batch.column(0).take(at), batch.column(1).take(at),
-                                                  pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["minimiser", "doc_id", "tid", "lo", "hi"])
-    return docs.mapInArrow(run, "minimiser long, doc_id long, tid long, lo long, hi long")
+            for part in _slices(batch, 2):
+                rows, found, counts, digests = [], [], [], []
+                for i, joined, _, _, values in _in_groups(part.column(2).to_pylist(), window, m):
+                    value, n = np.unique(values, return_counts=True)
+                    rows.append(np.full(value.size, i))
+                    found.append(value)
+                    counts.append(n)
+                    digests.append(np.repeat(np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64)[None, :], value.size, axis=0))
+                if rows:
+                    at, digest = pa.array(np.concatenate(rows)), np.concatenate(digests)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(counts)), part.column(0).take(at), part.column(1).take(at),
+                                                      pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=names)
+    return docs.mapInArrow(run, "minimiser long, windows long, doc_id long, tid long, lo long, hi long")
 
 
 _PACKED = "minimiser long, doc_id long, tid long, start int, packed binary, lo long, hi long"
@@ -114,62 +129,95 @@ _PACKED = "minimiser long, doc_id long, tid long, start int, packed binary, lo l
 
 def _packed(docs: DataFrame, window: int, m: int) -> DataFrame:
     """The shared runs: as a packed string, or where the minimiser is hot as one digest per window."""
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[n.split()[1]] for n in _PACKED.split(", ")]
+    names = [n.split()[0] for n in _PACKED.split(", ")]
+
     def run(batches):
         for batch in batches:
-            out = {n.split()[0]: [] for n in _PACKED.split(", ")}
-
-            def put(*row):
-                for column, value in zip(out.values(), row):
-                    column.append(value)
-
-            docs, tids, texts, wanted = (c.to_pylist() for c in batch.columns)
-            for doc, tid, (joined, starts, ends, values), shared in zip(docs, tids, _in_groups(texts, window, m), wanted):
-                hot = {s["minimiser"]: s["hot"] for s in shared}
-                for a, b in runs(values):
-                    is_hot = hot.get(key := int(values[a]))
-                    if is_hot is None:
-                        continue
-                    if not is_hot:
-                        put(key, doc, tid, a, joined[starts[a]:ends[b + window - 2]], None, None)
-                        continue
-                    for w in range(a, b):
-                        lo, hi = np.frombuffer(xxhash.xxh3_128_digest(joined[starts[w]:ends[w + window - 1]]), np.int64).tolist()
-                        put(key, doc, tid, w, None, lo, hi)
-            yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(out[n.split()[0]], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[n.split()[1]])
-                                              for n in _PACKED.split(", ")})
+            for part in _slices(batch, 2):
+                out = [[] for _ in names]
+
+                def put(*row):
+                    for column, value in zip(out, row):
+                        column.append(value)
+
+                docs, tids, texts, wanted = (c.to_pylist() for c in part.columns)
+                for i, joined, starts, ends, values in _in_groups(texts, window, m):
+                    hot = {s["minimiser"]: s["hot"] for s in wanted[i]}
+                    for a, b in runs(values):
+                        is_hot = hot.get(key := int(values[a]))
+                        if is_hot is None:
+                            continue
+                        if not is_hot:
+                            put(key, docs[i], tids[i], a, joined[starts[a]:ends[b + window - 2]], None, None)
+                            continue
+                        for w in range(a, b):
+                            lo, hi = np.frombuffer(xxhash.xxh3_128_digest(joined[starts[w]:ends[w + window - 1]]), np.int64).tolist()
+                            put(key, docs[i], tids[i], w, None, lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
     return docs.mapInArrow(run, _PACKED)
 
 
+def window_ranks(joined: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte past each word and its space, a number for each window of words; equal numbers mean equal words).
+
+    ``joined`` has a space after each word. Words are numbered, then runs of twice as many words from the numbers of two shorter
+    runs, by sorting: exact, and in memory a few numbers a word.
+    """
+    ends = np.nonzero(np.frombuffer(joined, np.uint8) == 32)[0] + 1
+    bounds = np.append(0, ends).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), ends.size, [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
+    ranks, width = words.dictionary_encode().indices.to_numpy().astype(np.int64), 1
+    while width < window:
+        step = min(width, window - width)
+        ranks = np.unique(ranks[:-step] * (ranks.size + 1) + ranks[step:], return_inverse=True)[1]
+        width += step
+    return ends, ranks
+
+
 def _repeats(table: pa.Table, window: int):
-    """Sort the windows of whole minimiser groups; spans of those that also start in a smaller document."""
-    rows, keys, docs = [], [], []
-    doc_ids, packed = table.column("doc_id").to_pylist(), table.column("packed").to_pylist()
-    for r, text in enumerate(packed):
-        starts, ends = offsets(text.split(b" "))
-        own = [text[s:e] for s, e in zip(starts[:starts.size - window + 1].tolist(), ends[window - 1:].tolist())]
-        keys += own
-        rows += [r] * len(own)
-        docs += [doc_ids[r]] * len(own)
-    repeated = np.zeros(len(keys), bool)
-    least, last = None, None
-    for i in sorted(range(len(keys)), key=lambda i: (keys[i], docs[i])):
-        if keys[i] != last:
-            last, least = keys[i], docs[i]
-        repeated[i] = docs[i] > least
-    rows, at = np.array(rows, np.int64), np.arange(len(keys))
-    first = np.concatenate([[True], rows[1:] != rows[:-1]]) if rows.size else np.zeros(0, bool)
-    place = at - np.maximum.accumulate(np.where(first, at, 0)) if rows.size else at
+    """Spans of the windows that also start in a smaller document, neighbours merged. Equal windows share a minimiser, so the table
+    may hold any number of whole groups."""
+    packed = table.column("packed").to_pylist()
+    ends, ranks = window_ranks(b" ".join(packed) + b" ", window)
+    past = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) + 1), "right")
+    del packed
+    n = np.diff(past, prepend=0)
+    windows = n - window + 1
+    row = np.repeat(np.arange(n.size, dtype=np.int32), windows)
+    place = np.arange(row.size) - np.repeat(np.cumsum(windows) - windows, windows)
+    ranks = ranks[place + np.repeat(past - n, windows)]
+    docs = table.column("doc_id").to_numpy()[row]
+    order = np.argsort(ranks, kind="stable")
+    first = np.nonzero(np.diff(ranks[order], prepend=-1))[0]
+    least = np.minimum.reduceat(docs[order], first)
+    repeated = np.empty(row.size, bool)
+    repeated[order] = docs[order] > np.repeat(least, np.diff(first, append=row.size))
     hit = np.nonzero(repeated)[0]
     if not hit.size:
         return None
-    begins = np.concatenate([[True], (np.diff(hit) > 1) | first[hit[1:]]])
+    begins = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(row[hit]) > 0)])
     stops = np.concatenate([begins[1:], [True]])
-    row = rows[hit[begins]]
-    start = table.column("start").to_numpy()[row].astype(np.int64)
-    return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(row)), table.column("tid").combine_chunks().take(pa.array(row)),
+    own = row[hit[begins]]
+    start = table.column("start").to_numpy()[own].astype(np.int64)
+    return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(own)), table.column("tid").combine_chunks().take(pa.array(own)),
                                        pa.array(start + place[hit[begins]]), pa.array(start + place[hit[stops]] + window)], names=["doc_id", "tid", "b", "e"])
 
 
+def _whole_groups(table: pa.Table):
+    """Parts of a table of whole minimiser groups, with about SORT_BYTES of packed strings each."""
+    if not table.num_rows:
+        return
+    keys = table.column("minimiser").to_numpy()
+    cuts = np.append(np.nonzero(np.diff(keys))[0] + 1, keys.size)
+    size = np.cumsum(pc.binary_length(table.column("packed")).to_numpy().astype(np.int64))[cuts - 1]
+    at = done = 0
+    while at < keys.size:
+        k = max(int(np.searchsorted(cuts, at, "right")), int(np.searchsorted(size, done + SORT_BYTES, "right")) - 1)
+        yield table.slice(at, int(cuts[k]) - at)
+        at, done = int(cuts[k]), int(size[k])
+
+
 def _spans_of_strings(strings: DataFrame, window: int) -> DataFrame:
     def run(batches):
         held = None
@@ -181,10 +229,12 @@ def _spans_of_strings(strings: DataFrame, window: int) -> DataFrame:
             keys = table.column("minimiser").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
             held = table.slice(cut)
-            if cut and (out := _repeats(table.slice(0, cut).combine_chunks(), window)) is not None:
+            for part in _whole_groups(table.slice(0, cut)):
+                if (out := _repeats(part, window)) is not None:
+                    yield out
+        for part in () if held is None else _whole_groups(held):
+            if (out := _repeats(part, window)) is not None:
                 yield out
-        if held is not None and (out := _repeats(held.combine_chunks(), window)) is not None:
-            yield out
     return (strings.select("minimiser", "doc_id", "tid", "start", "packed").repartition("minimiser").sortWithinPartitions("minimiser")
             .mapInArrow(run, "doc_id long, tid long, b long, e long"))
 
@@ -195,15 +245,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     1. Every document names its minimisers. Later copies of a whole word sequence are covered from end to end and drop out.
     2. A window in two documents has the same minimiser in both, so only minimisers of two or more documents matter.
     3. Runs with such a minimiser go to its bucket as packed strings; their windows are sorted and the smallest doc_id of equal
-       windows is known. A minimiser of more than HOT documents sends digests of 128 bits instead, grouped by hash.
+       windows is known. A minimiser of more than HOT windows sends digests of 128 bits instead, grouped by hash.
     """
     m = min(SEED_WORDS, window)
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
     refs = written(_references(keyed, window, m), "references")
     first = written(refs.groupBy("lo", "hi").agg(F.min("doc_id").alias("first")), "first")
     owner = first.select(F.col("first").alias("doc_id"), "lo", "hi")
-    own = written(refs.join(owner, ["doc_id", "lo", "hi"]).select("minimiser", "doc_id", "tid"), "own")
-    shared = (own.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    own = written(refs.join(owner, ["doc_id", "lo", "hi"]).select("minimiser", "windows", "doc_id", "tid"), "own")
+    shared = (own.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("windows").alias("n"))
               .where("a < b").select("minimiser", (F.col("n") > HOT).alias("hot")))
     wanted = own.join(shared, "minimiser").groupBy("doc_id", "tid").agg(F.collect_set(F.struct("minimiser", "hot")).alias("shared"))
     strings = written(_packed(keyed.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "shared"), window, m), "strings")
@@ -213,17 +263,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     warm = hot.join(least, ["lo", "hi"]).where("doc_id > least").select("doc_id", "tid", F.col("start").cast("long").alias("b"), (F.col("start") + window).cast("long").alias("e"))
     whole = (refs.select("doc_id", "tid", "lo", "hi").distinct().join(first, ["lo", "hi"]).where("doc_id > first")
              .select("doc_id", "tid", F.lit(0).cast("long").alias("b"), F.lit((1 << 62)).alias("e")))
-    return cold.unionByName(warm).unionByName(whole).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    return merged(cold.unionByName(warm).unionByName(whole))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Remove every word covered by a window of ``window`` words that also starts in a document with a smaller doc_id.
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc_id, tid, spans): the ranges of each document, overlapping and adjacent ones made one before they meet in a cell."""
+    row = W.partitionBy("doc_id", "tid").orderBy("b", "e")
+    reach = F.max("e").over(row.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("b") <= F.col("reach"), 0).otherwise(1)).over(row.rowsBetween(W.unboundedPreceding, 0))
+    islands = spans.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "tid", "island").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+    return islands.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
 
-    Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and the ``carry`` columns. Windows are
-    judged on the input. Null and empty texts have no words and keep the empty string; texts shorter than a window
-    are kept. Repeats inside one document, and repeated rows of one doc_id, remove nothing. A row without doc_id is neither
-    judged nor a source. An empty table gives an empty result. Columns not named in ``carry`` are not read.
-    """
+
+def _kept(tokens: list[bytes], cuts: list) -> list[bytes]:
+    out = np.zeros(len(tokens), bool)
+    for c in cuts or ():
+        out[c["b"]:c["e"]] = True
+    return [tokens[i] for i in np.nonzero(~out)[0].tolist()] if cuts else tokens
+
+
+def _with_spans(docs: DataFrame, window: int, carry: tuple[str, ...], original: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, the kept words (with ``original`` the text itself where nothing is removed) and ``carry``."""
     spans = repeated_spans(docs, window)
     own = {f"_carry{i}": c for i, c in enumerate(carry)}
     rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"), *[F.col(c).alias(a) for a, c in own.items()])
@@ -231,21 +291,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
 
     def run(batches):
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                tokens = (text or b"").split()
-                n_words.append(len(tokens))
-                if cuts:
-                    out = np.zeros(len(tokens), bool)
-                    for c in cuts:
-                        out[c["b"]:c["e"]] = True
-                    tokens = [tokens[i] for i in np.nonzero(~out)[0].tolist()]
-                n_removed.append(n_words[-1] - len(tokens))
-                kept.append(b" ".join(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                              pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *own])
+            for part in _slices(batch, 1):
+                n_words, n_removed, kept = [], [], []
+                for text, cuts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    tokens = (text or b"").split()
+                    n_words.append(len(tokens))
+                    tokens = _kept(tokens, cuts)
+                    n_removed.append(n_words[-1] - len(tokens))
+                    kept.append(text if original and not n_removed[-1] else b" ".join(tokens))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                                                  pa.array(kept, pa.binary()).cast(pa.string()), *part.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *own])
 
     schema = joined.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *own).schema
     for field in schema.fields:
         field.nullable = True
     return joined.mapInArrow(run, schema).select("doc_id", "n_words", "n_removed", "kept", *[F.col(a).alias(c) for a, c in own.items()])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Remove every word covered by a window of ``window`` words that also starts in a document with a smaller doc_id.
+
+    Returns doc_id, n_words, n_removed, kept (the kept words joined by one space) and the ``carry`` columns. Windows are
+    judged on the input. Null and empty texts have no words and keep the empty string; texts shorter than a window
+    are kept. Repeats inside one document, and repeated rows of one doc_id, remove nothing. A row without doc_id is neither
+    judged nor a source. An empty table gives an empty result. A very long text is read as a whole by one task, its windows are dealt by minimiser
+    like any others. Columns not named in ``carry`` are not read, and their names do not matter.
+    """
+    return _with_spans(docs, window, carry, original=False)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As ``remove_repeats``, but ``kept`` is the text itself, white space included, where nothing is removed (null stays null)."""
+    return _with_spans(docs, window, carry, original=True)

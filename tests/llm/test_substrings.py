@@ -1,6 +1,7 @@
 """Substring removal against brute force."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -43,7 +44,7 @@ def corpus(seed, window):
     return rows
 
 
-@pytest.mark.parametrize("window,hot", [(50, 4096), (50, 3), (5, 2)])
+@pytest.mark.parametrize("window,hot", [(50, 4096), (50, 3), (5, 2), (50, 60), (5, 40)])
 def test_removal_equals_brute_force(spark, monkeypatch, window, hot):
     monkeypatch.setattr(S, "HOT", hot)
     rows = corpus(window + hot, window)
@@ -52,6 +53,50 @@ def test_removal_equals_brute_force(spark, monkeypatch, window, hot):
     assert sorted(got, key=str) == brute(rows, window)
 
 
+@pytest.mark.parametrize("size", [1, 3000])
+def test_small_slices_change_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(S, "TEXT_BYTES", size)
+    monkeypatch.setattr(S, "SORT_BYTES", size)
+    rows = corpus(8, 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in S.remove_repeats(docs).collect()), key=str) == brute(rows, 50)
+
+
+def test_the_text_stays_where_nothing_is_removed(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage), (2, "tail  \n" + passage + "  x"), (3, " a  b\n"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.kept, r.n_removed) for r in S.cut_repeats(docs).collect()} == {1: (passage, 0), 2: ("tail x", 60), 3: (" a  b\n", 0), 4: (None, 0)}
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x"] * 1000 + words[70_000:70_500]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in S.remove_repeats(docs).collect()} == {1: (150_000, 0), 2: (1500, 500)}
+
+
+def test_equal_windows_have_equal_ranks():
+    rnd = random.Random(4)
+    words = [rnd.choice([b"a", b"bb", b"\xc3\xa9"]) for _ in range(500)]
+    for window in (1, 2, 5, 50):
+        _, ranks = S.window_ranks(b"".join(w + b" " for w in words), window)
+        keys = [tuple(words[i:i + window]) for i in range(len(words) - window + 1)]
+        assert len(ranks) == len(keys) and len(set(zip(ranks.tolist(), keys))) == len(set(keys)) == len(set(ranks.tolist()))
+
+
+def test_memory_of_a_million_windows():
+    rnd = random.Random(6)
+    words = [f"word{rnd.randrange(5000)}".encode() for _ in range(561)]
+    packed = [b" ".join(words[k % 7:]) + b" x" * (k % 7) for k in range(2000)]
+    table = S.pa.table({"doc_id": S.pa.array(range(2000), S.pa.int64()), "tid": S.pa.array(range(2000), S.pa.int64()), "start": S.pa.array([0] * 2000, S.pa.int32()), "packed": packed})
+    S._repeats(table.slice(0, 10), 50)
+    tracemalloc.start()
+    before = S.pa.total_allocated_bytes()
+    found = S._repeats(table, 50)
+    peak = tracemalloc.get_traced_memory()[1] + S.pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert found.num_rows > 1900 and peak < 110 * 2000 * 512, peak / 2000 / 512
+
+
 def test_carried_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "k")], "doc_id long, text string, n_words string")
     assert S.remove_repeats(docs.where("false")).count() == 0
