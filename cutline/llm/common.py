@@ -6,6 +6,8 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("binary").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, size: int, *columns: int):
+    """Parts of a batch whose named binary columns hold about ``size`` bytes together; one row at least."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        held += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy()
+    held, at = np.cumsum(held), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def lower_ascii(data: bytes) -> bytes:
     return data.lower()  # bytes.lower() changes A-Z only
 

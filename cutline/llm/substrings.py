@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 WINDOW = 50
 SEED_WORDS = 8                     # words of a minimiser
@@ -69,16 +69,6 @@ def runs(values: np.ndarray):
             yield s, min(s + RUN, b)
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """Parts of a batch with about TEXT_BYTES of text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _in_groups(texts: list, window: int, m: int, size: int = 1 << 18):
     """(number, joined words, starts, ends, minimisers) of each text of a window or more. Short texts are hashed together:
     windows across two texts are computed and left out."""
@@ -109,7 +99,7 @@ def _references(docs: DataFrame, window: int, m: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in slices(batch, TEXT_BYTES, 2):
                 rows, found, counts, digests = [], [], [], []
                 for i, joined, _, _, values in _in_groups(part.column(2).to_pylist(), window, m):
                     value, n = np.unique(values, return_counts=True)
@@ -134,7 +124,7 @@ def _packed(docs: DataFrame, window: int, m: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in slices(batch, TEXT_BYTES, 2):
                 out = [[] for _ in names]
 
                 def put(*row):
@@ -291,7 +281,7 @@ def _with_spans(docs: DataFrame, window: int, carry: tuple[str, ...], original:
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in slices(batch, TEXT_BYTES, 1):
                 n_words, n_removed, kept = [], [], []
                 for text, cuts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     tokens = (text or b"").split()
