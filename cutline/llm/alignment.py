@@ -4,7 +4,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,9 @@ class Aligner:
         self._b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self._a_length = np.zeros(max(self._a_bytes) + 1, np.int64)
+        self._a_length[list(self._a_bytes)] = list(map(len, self._a_bytes.values()))
+        self._b_length = np.array(list(map(len, self._b_bytes)))
         #: Pieces that hold a space after something else would cross cuts; then texts stay whole.
         self._cuts = not any(re.search("[^▁]▁", p) for p in names)
         self._blank = self._b.piece_to_id("▁")
@@ -59,50 +62,66 @@ class Aligner:
         self.groups: list[str] = []
         self.links: list[bytes] = []
 
-    def _align(self, text: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int], str, bytes]:
-        """One walk over both token lists: a link for each stretch between two token ends, a group between two shared ends."""
-        own_a, own_b = [self._a_bytes[i] for i in a], [self._b_bytes[i] for i in b]
-        if b"".join(own_a) != text or b"".join(own_b) != text:
-            return (0, 0, -1), "", b""
-        links, groups, i, j, from_i, from_j, end_a, end_b = array("q"), [], 0, 0, 0, 0, len(own_a[0]), len(own_b[0])
-        while i < len(a):
-            links.append(a[i] << 32 | b[j])
-            step = end_a - end_b
-            if step <= 0:
-                i += 1
-                end_a += len(own_a[i]) if i < len(a) else 0
-            if step >= 0:
-                j += 1
-                end_b += len(own_b[j]) if j < len(b) else 0
-            if not step:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                from_i, from_j = i, j
-        return (len(a), len(b), len(groups)), ";".join(groups), links.tobytes()
+    def _align(self, texts: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
+        """Remember the alignment of each text. The byte offsets of all texts form one line: a stretch between two neighbouring token ends is a
+        link, one between two shared ends a group."""
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        end_a, end_b, end = (np.cumsum(n) for n in (self._a_length[a], self._b_length[b], np.fromiter(map(len, texts), np.int64, len(texts))))
+        past_a, past_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (ids_a, ids_b))
+        ends = np.union1d(end_a, end_b)
+        links = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        past_links = np.searchsorted(ends, end, "right")
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        past_groups = np.searchsorted(shared, end, "right")
+        # the tokens in the order in which they are written: of each group first those in A, then those in B
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        place_a = np.arange(a.size) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(b.size) + np.searchsorted(group_a, group_b, "right")
+        order, mark = np.empty(a.size + b.size, np.int64), np.zeros(a.size + b.size, np.int64)
+        order[place_a], order[place_b] = a, b
+        mark[place_a] = np.isin(end_a, shared, assume_unique=True)          # the group's last token in A
+        mark[place_b] = 2 * np.isin(end_b, shared, assume_unique=True)
+        mark[place_b[past_b - 1]] = 3
+        said = "".join(chain.from_iterable(zip(map(str, order.tolist()), map(",|;\n".__getitem__, mark.tolist())))).split("\n")
+        sizes = zip(np.diff(past_a, prepend=0).tolist(), np.diff(past_b, prepend=0).tolist(), np.diff(past_groups, prepend=0).tolist())
+        bounds = [0, *past_links.tolist()]
+        self.sizes.extend(sizes)
+        self.groups.extend(said[:-1])
+        self.links.extend(links[x:y].tobytes() for x, y in zip(bounds, bounds[1:]))
 
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 1024):
-            some = new[at:at + 1024]
-            for text, a, b in zip(some, self._a.encode_batch([" " + t for t in some], add_special_tokens=False), self._b.encode(some, num_threads=1)):
-                size, groups, links = self._align(b" " + text.encode(), a.ids, b if text else [self._blank])
-                self._known[text] = len(self.sizes)
-                self.sizes.append(size)
-                self.groups.append(groups)
-                self.links.append(links)
+            names = new[at:at + 1024]
+            ids_a = [e.ids for e in self._a.encode_batch([" " + t for t in names], add_special_tokens=False)]
+            ids_b = [b if t else [self._blank] for t, b in zip(names, self._b.encode(names, num_threads=1))]
+            texts = [b" " + t.encode() for t in names]
+            good = [b"".join(map(self._a_bytes.__getitem__, a)) == t == b"".join(map(self._b_bytes.__getitem__, b)) for t, a, b in zip(texts, ids_a, ids_b)]
+            first = len(self.sizes)
+            if any(good):
+                self._align(*(list(compress(x, good)) for x in (texts, ids_a, ids_b)))
+            lost = [i for i, ok in enumerate(good) if not ok]
+            self.sizes.extend([(0, 0, -1)] * len(lost))
+            self.groups.extend([""] * len(lost))
+            self.links.extend([b""] * len(lost))
+            self._known.update(zip([*compress(names, good), *[names[i] for i in lost]], range(first, len(self.sizes))))
 
     def segments(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's segments; a text is the segments with a space before each."""
         cut = [t.split(" ") for t in texts] if self._cuts else [[t] for t in texts]
         known = self._known
-        new = set().union(*cut).difference(known)
-        for piece in [p for p in new if self._cuts and (not p or p[0].isspace() or p[-1].isspace())]:
-            known[piece] = UNCLEAN
-            new.discard(piece)
-        odd = [i for i, pieces in enumerate(cut) if self._cuts and any(known.get(p) == UNCLEAN for p in set(pieces))]
-        for i in odd:
-            cut[i] = CUT.split(texts[i])
-            new.update(p for p in cut[i] if known.get(p, UNCLEAN) == UNCLEAN)
-        self._learn(list(new))
-        return [np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)) for pieces in cut]
+        new = list(set().union(*cut).difference(known))
+        if self._cuts:
+            odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+            known.update(dict.fromkeys(odd, UNCLEAN))
+            new = [p for p in new if p not in known]
+        self._learn(new)
+        out = [np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)) for pieces in cut]
+        for i, numbers in enumerate(out):
+            if self._cuts and numbers.min() < 0:
+                pieces = CUT.split(texts[i])
+                self._learn(list({p for p in pieces if known.get(p, UNCLEAN) < 0}))
+                out[i] = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

@@ -84,15 +84,20 @@ def alpha_to_span(alpha: float) -> float:
     return 2.0 / alpha - 1.0
 
 
-def _carried(blocks: DataFrame, keys: list, end: str, d: float, out: str) -> DataFrame:
-    """What earlier blocks leave at the start of each block: carry = end + d**SCAN_ROWS * carry, over all of them.
+def scan_rows(decays) -> int:
+    """Rows of a scan block: SCAN_ROWS, or so few that no decay's inverse leaves double range inside a block."""
+    return min([SCAN_ROWS, *(max(1, int(300 / -math.log(d))) for d in decays if 0 < d < 1)])
+
+
+def _carried(blocks: DataFrame, keys: list, end: str, d: float, out: str, rows: int) -> DataFrame:
+    """What earlier blocks leave at the start of each block: carry = end + d**rows * carry, over all of them.
 
     Again a linear recurrence, so blocks form runs inside which powers stay within double range. A run is closed as
     a running sum; the run before it enters by its total. Runs further back weigh less than exp(-300).
     """
     if d <= 0:
         return blocks.withColumn(out, F.coalesce(F.lag(end).over(W.partitionBy(*keys).orderBy("_blk")), F.lit(0.0)))
-    rate = -SCAN_ROWS * math.log(d)  # decay per block, as an exponent
+    rate = -rows * math.log(d)  # decay per block, as an exponent
     size = max(1, int(min(300 / rate, 1 << 40))) if rate > 0 else 1 << 40
     x = blocks.withColumn("_run", F.floor(F.col("_blk") / size)).withColumn("_q", (F.col("_blk") % size).cast("double"))
     v = F.coalesce(end, F.lit(0.0))
@@ -110,13 +115,14 @@ def ema(df: DataFrame, keys, index: str, inputs: dict, alphas: dict) -> DataFram
     inputs: {out: (value column, seed index, seed value column or None)}, alphas: {out: a}.
     Rows before the seed index are NULL; the seed row is the seed value (default: the value).
 
-    The recurrence is linear, so it is evaluated in blocks of SCAN_ROWS rows: inside a block as
+    The recurrence is linear, so it is evaluated in blocks of at most SCAN_ROWS rows: inside a block as
     a running sum of x scaled by powers of (1-a), across blocks as the same sum over block
-    ends.  A missing input makes the
+    ends.  The closer a is to 1, the shorter the blocks, so that no power overflows.  A missing input makes the
     rest of that series NULL, as the recursion would.
     """
     keys = list(keys)
-    x = df.withColumn("_blk", F.floor(F.col(index) / SCAN_ROWS)).withColumn("_p", F.col(index) % SCAN_ROWS)
+    rows = scan_rows([1.0 - alphas[out] for out in inputs])
+    x = df.withColumn("_blk", F.floor(F.col(index) / rows)).withColumn("_p", F.col(index) % rows)
     run = W.partitionBy(*keys, "_blk").orderBy(index).rowsBetween(W.unboundedPreceding, 0)
     ends = []
     for out, (val, seed_at, seed) in inputs.items():
@@ -136,7 +142,7 @@ def ema(df: DataFrame, keys, index: str, inputs: dict, alphas: dict) -> DataFram
     blocks = x.groupBy(*keys, "_blk").agg(*ends)
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     for out in inputs:
-        blocks = (_carried(blocks, keys, f"_e_{out}", (1.0 - alphas[out]), f"_c_{out}")
+        blocks = (_carried(blocks, keys, f"_e_{out}", 1.0 - alphas[out], f"_c_{out}", rows)
                   .withColumn(f"_b_{out}", F.coalesce(F.sum(f"_n_{out}").over(before), F.lit(0))))
     x = x.join(blocks.drop(*[f"_e_{o}" for o in inputs], *[f"_n_{o}" for o in inputs]), [*keys, "_blk"])
     for out, (_, seed_at, _) in inputs.items():

@@ -158,7 +158,7 @@ def test_macd_bollinger_cross(prices):
         assert g.where(f"symbol = '{s}' and event = 'golden'").count() == want
 
 
-@pytest.mark.parametrize("alpha", [1e-5, 0.0009, 0.3, 0.97, 1.0])
+@pytest.mark.parametrize("alpha", [1e-5, 0.0009, 0.3, 0.97, 0.99, 0.997, 0.9999, 1 - 1e-12, 1.0])
 def test_smoothing_keeps_its_whole_history(spark, alpha):
     from pyspark.sql import functions as F
 
