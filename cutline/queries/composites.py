@@ -18,8 +18,9 @@ from .aggregates import WL, annotations, votes
 from .base import R, W, block_sql, clip_sql, cte, grade_sql, query
 from .joins import articles, gap_rows
 from .models import labelled_sequences, ml_panel
-from .rules import k_spec
+from .rules import KG, k_spec, weighted_score_sql
 from .scans import SCORES_SQL, scores_of
+from .sorts import H
 from .windows import SEQ, fold_sql, roll_sql
 
 r6 = C.r6
@@ -71,18 +72,34 @@ def _(m):
 
 
 MEMB = "(SELECT symbol, 'u0' AS universe_id FROM universe WHERE symbol <= 'S06' UNION ALL SELECT symbol, 'u1' FROM universe WHERE symbol >= 'S03')"
+NEWS_DAY = "(SELECT symbol, target, count(*)::DOUBLE AS news_n, avg(tone) AS tone_mean FROM news_u GROUP BY 1, 2)"
+TONE_DAY = "(SELECT symbol, target, avg(tone) AS tone_mean_r1, count(*)::DOUBLE AS n_scored_r1 FROM reps GROUP BY 1, 2)"
+LOO_G = "(SELECT CASE WHEN count(o.gap_pct) >= 3 THEN median(o.gap_pct) END FROM g o WHERE o.target = d.target AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)"
+MATRIX_GROUPS = ("event", "analyst", "news", "txt_tone_gdelt", "txt_meta")
 
 
-@query("B3_universe_panels", W("gap", "universe", "daily", body=f"""WITH g AS (SELECT gap.*, universe_id FROM gap JOIN {MEMB} USING (symbol))
-  SELECT w.*, {grade_sql('(l.ret * 100)', CUTS)} AS label FROM (SELECT d.symbol, d.target, d.universe_id, {R('(SELECT CASE WHEN count(o.gap_pct) >= 3 THEN median(o.gap_pct) END FROM g o WHERE o.target = d.target AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)')} AS mkt_gap,
+def text_of(m):
+    return {"articles": articles(m), "aliased": m.aliases, "lexicon": m.lexicon}
+
+
+@query("B3_universe_panels", W("gap", "universe", "daily", "ev_mt", "news_u", "reps", "tags", body=f"""WITH g AS (SELECT gap.*, universe_id FROM gap JOIN {MEMB} USING (symbol))
+  SELECT w.*, {grade_sql('(l.ret * 100)', CUTS)} AS label, CASE WHEN e.an_n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS earn, e.surp_pct_w, coalesce(an_n, 0.0) AS an_n, coalesce(an_up, 0.0) AS an_up, {R('an_tgt_chg', 4)} AS an_tgt_chg,
+    coalesce(news_n, 0.0) AS news_n, {R('tone_mean')} AS tone_mean, {R('tone_mean_r1')} AS tone_mean_r1, coalesce(n_scored_r1, 0.0) AS n_scored_r1, fb_net_r1
+  FROM (SELECT d.symbol, d.target, d.universe_id, {R(LOO_G)} AS mkt_gap,
   {R('CASE WHEN gap_pct IS NOT NULL THEN (rank() OVER (PARTITION BY universe_id, target ORDER BY gap_pct) + (count(*) OVER (PARTITION BY universe_id, target, gap_pct) - 1) / 2.0) / count(gap_pct) OVER (PARTITION BY universe_id, target) END')} AS gap_rank,
-  {R('median(gap_pct) OVER (PARTITION BY universe_id, target)')} AS reg_mkt_gap FROM g d) w JOIN daily l ON l.symbol = w.symbol AND l.date_et = w.target AND l.ret IS NOT NULL"""))
+  {R('median(gap_pct) OVER (PARTITION BY universe_id, target)')} AS reg_mkt_gap FROM g d) w JOIN daily l ON l.symbol = w.symbol AND l.date_et = w.target AND l.ret IS NOT NULL
+  LEFT JOIN {EV_M} e ON e.symbol = w.symbol AND e.target = w.target LEFT JOIN {NEWS_DAY} n ON n.symbol = w.symbol AND n.target = w.target LEFT JOIN {TONE_DAY} t ON t.symbol = w.symbol AND t.target = w.target
+  LEFT JOIN (SELECT symbol, target, {R('avg(p_pos - p_neg)')} AS fb_net_r1 FROM tags JOIN ({SCORES_SQL}) ON doc_id = title_id GROUP BY 1, 2) f ON f.symbol = w.symbol AND f.target = w.target"""))
 def _(m):
     u = m.universe
     memb = (u.where("symbol <= 'S06'").withColumn("universe_id", F.lit("u0"))
             .unionByName(u.where("symbol >= 'S03'").withColumn("universe_id", F.lit("u1"))))
-    x = universe_panel({"daily": m.daily, "price": m.price}, m.cal, memb, cuts=CUTS)
-    return x.select("symbol", "target", "universe_id", *[r6(c).alias(c) for c in ("mkt_gap", "gap_rank", "reg_mkt_gap")], "label")
+    n = tagged(assign_window(m.news, m.cal, "known_at").select("symbols", "target", F.col("doc_id").alias("title_id")), m.universe)
+    research = {"blocks": {"finbert": (score_features(n, scores_of(m)), ["symbol", "target"])}, "expected": {"finbert": ["fb_net_r1"]}}
+    x = universe_panel(all_tables(m), m.cal, memb, cuts=CUTS, groups=MATRIX_GROUPS, text=text_of(m), tie="o_orderkey", research=research)
+    x = rnd(x, {"mkt_gap": 6, "gap_rank": 6, "reg_mkt_gap": 6, "an_tgt_chg": 4, "tone_mean": 6, "tone_mean_r1": 6, "fb_net_r1": 6})
+    return x.select("symbol", "target", "universe_id", "mkt_gap", "gap_rank", "reg_mkt_gap", "label", "earn", "surp_pct_w", "an_n", "an_up", "an_tgt_chg",
+                    "news_n", "tone_mean", "tone_mean_r1", "n_scored_r1", "fb_net_r1")
 
 
 LOO_U = "(SELECT CASE WHEN count(o.r) >= 3 THEN median(o.r) END FROM u o WHERE o.date_et = d.date_et AND o.universe_id = d.universe_id AND o.symbol <> d.symbol)"
@@ -251,15 +268,36 @@ def _(m):
     return out
 
 
-FOLDS = [{"name": "a", "start": "2024-01-18", "end": "2024-01-24"}, {"name": "b", "start": "2024-01-24", "end": "2024-01-31"}]
-
-
-@query("E11_experiment_matrix")
+FOLDS = [{"name": "a", "start": "2024-01-12", "end": "2024-01-18"}, {"name": "b", "start": "2024-01-18", "end": "2024-01-24"}, {"name": "c", "start": "2024-01-24", "end": "2024-01-31"}]
+#: One searched candidate per block: price, cross, event, news, text.
+MATRIX = {"k": "gap_pct", "cross": "mkt_gap", "event": "surp_pct_w", "news": "tone_mean", "text": "tone_mean_r1"}
+K_AT = "coalesce(CAST(s >= -25.0::DOUBLE / k AS INT) + CAST(s >= -6.0::DOUBLE / k AS INT) + CAST(s >= 6.0::DOUBLE / k AS INT) + CAST(s >= 25.0::DOUBLE / k AS INT), 2)"
+DRAWN = lambda what: H("'1'", f"'{what}'", "CAST(draw AS VARCHAR)", "symbol")
+SIGNALS_SQL = "unnest([" + ", ".join(f"struct_pack(candidate := '{n}', s := {c}::DOUBLE)" for n, c in MATRIX.items()) + "], recursive := true)"
+
+
+@query("E11_experiment_matrix", W("gap", "universe", "daily", "ev_mt", "news_u", "reps", body=f"""WITH x AS (SELECT symbol, draw FROM universe, (SELECT unnest([0, 1, 2]) AS draw)),
+  u AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {DRAWN('unseen')}, symbol) AS r FROM x),
+  sn AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY {DRAWN('seen')}, symbol) AS rs, row_number() OVER (PARTITION BY draw ORDER BY {DRAWN('part')}, symbol) AS rp FROM u WHERE r > 2),
+  memb AS (SELECT symbol, 'test-' || draw AS universe_id, draw, 'test' AS side, false AS seen FROM u WHERE r <= 2 UNION ALL SELECT symbol, 'test-' || draw, draw, 'test', true FROM sn WHERE rs <= 3
+    UNION ALL SELECT symbol, 'train-' || draw || '-' || ntile((SELECT ceil((count(*) - 2) / 4.0) FROM universe)::INT) OVER (PARTITION BY draw ORDER BY rp), draw, 'train', true FROM sn),
+  g AS (SELECT gap.symbol, gap.target, gap_pct, universe_id FROM gap JOIN (SELECT DISTINCT symbol, universe_id FROM memb) USING (symbol)),
+  mg AS (SELECT d.*, {LOO_G} AS mkt_gap FROM g d),
+  p AS (SELECT mg.symbol, mg.target, m.draw, m.side, m.seen, {grade_sql('(l.ret * 100)', CUTS)} AS label, gap_pct, mkt_gap, surp_pct_w, tone_mean, tone_mean_r1 FROM mg JOIN memb m ON m.symbol = mg.symbol AND m.universe_id = mg.universe_id
+    JOIN daily l ON l.symbol = mg.symbol AND l.date_et = mg.target AND l.ret IS NOT NULL LEFT JOIN {EV_M} e ON e.symbol = mg.symbol AND e.target = mg.target
+    LEFT JOIN {NEWS_DAY} n ON n.symbol = mg.symbol AND n.target = mg.target LEFT JOIN {TONE_DAY} t ON t.symbol = mg.symbol AND t.target = mg.target),
+  sig AS (SELECT symbol, target, draw, side, seen, label, {SIGNALS_SQL} FROM p),
+  folds(fold, lo, hi) AS (VALUES {', '.join(f"('{f['name']}', DATE '{f['start']}', DATE '{f['end']}')" for f in FOLDS)}),
+  src AS (SELECT draw, fold, candidate, k, label, {K_AT} AS pred FROM sig, folds, {KG} WHERE side = 'train' AND target < lo - INTERVAL 2 DAY),
+  best AS (SELECT draw, fold, candidate, k FROM ({weighted_score_sql('SELECT * FROM src', 'draw, fold, candidate, k')}) QUALIFY row_number() OVER (PARTITION BY draw, fold, candidate ORDER BY round(score, 12) DESC NULLS LAST, k) = 1)
+  SELECT fold, draw::INT AS draw, candidate, symbol, target, seen, label, {K_AT} AS pred FROM sig JOIN folds ON side = 'test' AND target >= lo AND target < hi JOIN best USING (draw, fold, candidate)
+  UNION ALL SELECT fold, draw::INT, 'identity', symbol, target, seen, label, coalesce({grade_sql('gap_pct', CUTS)}, 2) FROM p JOIN folds ON side = 'test' AND target >= lo AND target < hi"""))
 def _(m):
     from ..plans.splits import universe_draws
-    draws = universe_draws(m.universe, 2, 2, 3, 4, 1)
-    specs = [k_spec(name="k") | {"name": "k"}, {**k_spec(), "name": "identity", "decision": {"type": "identity", "params": {"cuts": CUTS}}}]
-    return E.run_matrix({"daily": m.daily, "price": m.price}, m.cal, draws, FOLDS, specs, 2.5, CUTS, embargo_days=2)
+    draws = universe_draws(m.universe, 3, 2, 3, 4, 1)
+    specs = [{**k_spec(), "name": n, "signal": {"type": "gap", "params": {"col": c}}} for n, c in MATRIX.items()]
+    specs.append({**k_spec(), "name": "identity", "decision": {"type": "identity", "params": {"cuts": CUTS}}})
+    return E.run_matrix(all_tables(m), m.cal, draws, FOLDS, specs, 2.5, CUTS, embargo_days=2, groups=MATRIX_GROUPS, text=text_of(m), tie="o_orderkey")
 
 
 @query("E12_feature_group_deltas")
