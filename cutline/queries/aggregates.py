@@ -356,11 +356,11 @@ def _(m):
     return forum_annotation_features(x, "record").select("symbol", "target", r6("bull").alias("bull"), r6("hype").alias("hype"), "n")
 
 
-@query("A38_group_mean_vectors", f"""SELECT label, {R('avg(embedding[1])')} AS e0, {R('avg(embedding[64])')} AS e63, count(*) AS n FROM embeddings GROUP BY 1""")
+@query("A38_group_mean_vectors", f"""SELECT label, pos::INT AS pos, {R('avg(v)')} AS mean, count(*) AS n FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2""")
 def _(m):
     from ..plans.vectors import mean_vector
     x = mean_vector(m.raw("embeddings"), ["label"], "embedding")
-    return x.select("label", r6(F.col("mean")[0]).alias("e0"), r6(F.col("mean")[63]).alias("e63"), "n")
+    return x.select("label", F.posexplode("mean").alias("pos", "mean"), "n").withColumn("mean", r6("mean"))
 
 
 @query("A39_correlations", f"""SELECT l_returnflag AS grp, {R('corr(l_quantity, l_extendedprice)')} AS pearson, count(*) AS n FROM lineitem GROUP BY 1""")

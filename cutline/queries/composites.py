@@ -21,7 +21,7 @@ from .models import labelled_sequences, ml_panel
 from .rules import KG, k_spec, weighted_score_sql
 from .scans import SCORES_SQL, scores_of
 from .sorts import H
-from .windows import SEQ, fold_sql, roll_sql
+from .windows import SEQ_LIST, fold_sql, roll_sql, weighted_sums, weighted_sums_sql
 
 r6 = C.r6
 ALL = ("core", "scale", "cross", "event", "analyst", "news", "regime")
@@ -214,12 +214,10 @@ def _(m):
     return N.variant_summary(x, "sign_raw", "sign_anon", "gap_pct", "rest")
 
 
-@query("B10_labelled_sequences", W("daily_w", body=f"""SELECT symbol, target, label, {R("list_sum(list_transform(range(1, 21), lambda k: k * xs[k][1]))", 7)} AS wsum FROM (
-  SELECT symbol, date_et AS target, i, list([c1, c2, c3, c4, c5]) OVER (PARTITION BY symbol ORDER BY date_et ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS xs FROM ({SEQ})) JOIN (SELECT symbol, date_et AS target, label FROM {WL}) USING (symbol, target) WHERE i >= 21"""))
+@query("B10_labelled_sequences", W("daily_w", body=f"""SELECT symbol, target, label, {weighted_sums_sql('xs[k][{c}]', 'wsum')} FROM (
+  SELECT symbol, date_et AS target, i, xs FROM ({SEQ_LIST})) JOIN (SELECT symbol, date_et AS target, label FROM {WL}) USING (symbol, target) WHERE i >= 21"""))
 def _(m):
-    x = labelled_sequences(m)
-    ws = F.aggregate(F.transform("sequence", lambda r, i: r[0].cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
-    return x.select("symbol", "target", "label", r6(ws, 7).alias("wsum"))
+    return labelled_sequences(m).select("symbol", "target", "label", *weighted_sums("sequence", "wsum"))
 
 
 @query("P8_finite_windows", W("daily_w", body=f"""SELECT symbol, count(*) AS n FROM daily_w WHERE i >= 21 GROUP BY 1"""))

@@ -16,7 +16,7 @@ from .base import R, W, grade_sql, query
 from .joins import articles, core_panel, gap_rows
 from .rules import k_spec
 from .sorts import H
-from .windows import fold_sql, roll_sql, wilder_sql
+from .windows import SEQ_LIST, fold_sql, roll_sql, wilder_sql
 
 r6 = C.r6
 FEATS = ["gap_pct", "gap_rank", "vol5", "zgap", "mkt_gap", "resid_gap"]
@@ -149,12 +149,15 @@ def _(m):
     return G.persistence(x, CUTS).select("symbol", "date", "label", "pred")
 
 
-@query("M9_sequence_standardisation", W("daily_w", body=f"""SELECT {R('avg(z)', 4)} AS mean_first, {R('stddev_pop(z)', 4)} AS sd_first FROM (SELECT (xs - avg(xs) OVER ()) / greatest(stddev_pop(xs) OVER (), 1e-6) AS z FROM (
-  SELECT i, CAST(CAST(lag(close, 20) OVER w / lag(prev_close, 20) OVER w - 1 AS FLOAT) AS DOUBLE) AS xs FROM daily_w WINDOW w AS (PARTITION BY symbol ORDER BY date_et)) WHERE i >= 21)"""))
+@query("M9_sequence_standardisation", W("daily_w", body=f"""SELECT pos, {R('mean', 5)} AS mean, {R('sd', 5)} AS sd, {R('min((x - mean) / sd)', 4)} AS z_low, {R('max((x - mean) / sd)', 4)} AS z_high, {R('avg((x - mean) / sd * (x - mean) / sd)', 4)} AS z_square FROM (
+  SELECT pos, x, avg(x) OVER (PARTITION BY pos) AS mean, greatest(stddev_pop(x) OVER (PARTITION BY pos), 1e-6) AS sd FROM (
+  SELECT ((k - 1) * 5 + c - 1)::INT AS pos, xs[k][c] AS x FROM ({SEQ_LIST}), (SELECT unnest(range(1, 21)) AS k), (SELECT unnest(range(1, 6)) AS c) WHERE i >= 21)) GROUP BY pos, mean, sd"""))
 def _(m):
     x = cut_lineage(Q.flat_features(Q.sequence_windows(m.daily_w), "sequence"))
-    z = Q.standardise(x, "flat", Q.position_stats(x, "flat"))
-    return z.agg(r6(F.avg(F.col("z")[0]), 4).alias("mean_first"), r6(F.stddev_pop(F.col("z")[0]), 4).alias("sd_first"))
+    stats = cut_lineage(Q.position_stats(x, "flat"))
+    z = Q.standardise(x, "flat", stats).select(F.posexplode("z").alias("pos", "z"))
+    each = z.groupBy("pos").agg(r6(F.min("z"), 4).alias("z_low"), r6(F.max("z"), 4).alias("z_high"), r6(F.avg(F.col("z") * F.col("z")), 4).alias("z_square"))
+    return stats.select("pos", r6("mean", 5).alias("mean"), r6("sd", 5).alias("sd")).join(each, "pos")
 
 
 def labelled_sequences(m):

@@ -234,22 +234,34 @@ SEQ = ("SELECT symbol, date_et, i, " + ", ".join(f"CAST(CAST({e} AS FLOAT) AS DO
     ["close / prev_close - 1", "open / prev_close - 1", "high / prev_close - 1", "low / prev_close - 1", "ln(1 + volume)"], 1)) + " FROM daily_w")
 
 
-@query("W24_sequence_windows", W("daily_w", body=f"""SELECT symbol, date_et AS target, {R("len(xs) * 5")} AS n,
-  {R("list_sum(list_transform(range(1, 21), lambda k: k * xs[k][1]))", 7)} AS wsum1, {R("list_sum(list_transform(range(1, 21), lambda k: k * xs[k][5]))", 5)} AS wsum5 FROM (
-  SELECT symbol, date_et, i, list([c1, c2, c3, c4, c5]) OVER (PARTITION BY symbol ORDER BY date_et ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS xs FROM ({SEQ})) WHERE i >= 21"""))
+#: Digits a channel's sums are compared with: four returns and a logarithm of the volume.
+SEQ_DIGITS = (7, 7, 7, 7, 5)
+#: The 20 rows before each row as a list of channel lists.
+SEQ_LIST = f"SELECT symbol, date_et, i, list([c1, c2, c3, c4, c5]) OVER (PARTITION BY symbol ORDER BY date_et ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS xs FROM ({SEQ})"
+
+
+def weighted_sums_sql(cell: str, prefix: str, n: int = 20, digits=SEQ_DIGITS) -> str:
+    """Per channel the sum of a cell (of position k and channel c) weighted by its position: every position counts, and counts differently."""
+    return ", ".join(R(f"list_sum(list_transform(range(1, {n + 1}), lambda k: k * ({cell.format(c=c)})))", d) + f" AS {prefix}{c}" for c, d in enumerate(digits, 1))
+
+
+def weighted_sums(seq, prefix: str, digits=SEQ_DIGITS) -> list:
+    add = lambda ch: F.aggregate(F.transform(seq, lambda r, i: r[ch].cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return [r6(add(c), d).alias(f"{prefix}{c + 1}") for c, d in enumerate(digits)]
+
+
+@query("W24_sequence_windows", W("daily_w", body=f"""SELECT symbol, date_et AS target, {R("len(xs) * 5")} AS n, {weighted_sums_sql('xs[k][{c}]', 'wsum')} FROM ({SEQ_LIST}) WHERE i >= 21"""))
 def _(m):
     x = Q.sequence_windows(m.daily_w)
-    ws = lambda ch: F.aggregate(F.transform("sequence", lambda r, i: r[ch].cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     n = F.aggregate("sequence", F.lit(0), lambda a, r: a + F.size(r))
-    return x.select("symbol", "target", r6(n).alias("n"), r6(ws(0), 7).alias("wsum1"), r6(ws(4), 5).alias("wsum5"))
+    return x.select("symbol", "target", r6(n).alias("n"), *weighted_sums("sequence", "wsum"))
 
 
-@query("W24_padded_windows", W("daily_w", body=f"""SELECT symbol, date_et AS date, CAST(20 AS BIGINT) AS n, {R("list_sum(list_transform(xs, lambda r: r))", 7)} AS total FROM (
-  SELECT symbol, date_et, list(coalesce(c1, 0)) OVER (PARTITION BY symbol ORDER BY date_et ROWS 19 PRECEDING) AS xs FROM ({SEQ}))"""))
+@query("W24_padded_windows", W("daily_w", body=f"""SELECT symbol, date_et AS date, CAST(20 AS BIGINT) AS n, {weighted_sums_sql('CASE WHEN k > 20 - len(xs) THEN xs[k - 20 + len(xs)][{c}] ELSE 0 END', 'wsum')} FROM (
+  SELECT symbol, date_et, list([coalesce(c1, 0), coalesce(c2, 0), coalesce(c3, 0), coalesce(c4, 0), coalesce(c5, 0)]) OVER (PARTITION BY symbol ORDER BY date_et ROWS 19 PRECEDING) AS xs FROM ({SEQ}))"""))
 def _(m):
     x = Q.padded_windows(m.daily_w)
-    tot = F.aggregate("sequence", F.lit(0.0), lambda a, r: a + r[0].cast("double"))
-    return x.select("symbol", "date", F.size("sequence").cast("long").alias("n"), r6(tot, 7).alias("total"))
+    return x.select("symbol", "date", F.size("sequence").cast("long").alias("n"), *weighted_sums("sequence", "wsum"))
 
 
 @query("W25_window_index", W("cal_w", "ev_t", body="SELECT o_orderkey, widx FROM ev_t"))
@@ -258,12 +270,13 @@ def _(m):
     return assign_window(m.orders_ev, m.cal_w, "known_at").select("o_orderkey", "widx")
 
 
-@query("W26_trend_remainder", W("daily_w", body=f"""SELECT symbol, date_et AS target, {R("xs[1][1] - (3 * xs[1][1] + xs[2][1] + xs[3][1]) / 5", 4)} AS first_rest,
-  {R("(xs[18][1] + xs[19][1] + 3 * xs[20][1]) / 5", 4)} AS last_trend FROM (
-  SELECT symbol, date_et, i, list([c1, c2, c3, c4, c5]) OVER (PARTITION BY symbol ORDER BY date_et ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS xs FROM ({SEQ})) WHERE i >= 21"""))
+TREND = "(" + " + ".join(f"xs[greatest(1, least(20, k + ({d})))][{{c}}]" for d in range(-2, 3)) + ") / 5"
+
+
+@query("W26_trend_remainder", W("daily_w", body=f"""SELECT symbol, date_et AS target, {weighted_sums_sql(TREND, 'trend', digits=(5,) * 5)}, {weighted_sums_sql('xs[k][{c}] - ' + TREND, 'rest', digits=(5,) * 5)} FROM ({SEQ_LIST}) WHERE i >= 21"""))
 def _(m):
     x = Q.trend_remainder(Q.sequence_windows(m.daily_w), "sequence")
-    return x.select("symbol", "target", r6(F.col("remainder")[0][0], 4).alias("first_rest"), r6(F.col("trend")[19][0], 4).alias("last_trend"))
+    return x.select("symbol", "target", *weighted_sums("trend", "trend", (5,) * 5), *weighted_sums("remainder", "rest", (5,) * 5))
 
 
 @query("W27_remainder_return", W("panel", "ext", body=f"""SELECT p.symbol, p.target, {R('p.rest')} AS rest, {R('q.post_last / p.close_d0 - 1')} AS post_ret,
