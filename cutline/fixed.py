@@ -135,6 +135,6 @@ EVENT_QUARTILES = {
     "reddit_mentions": ("mentions_abn", "q1", "q2", "q3", "q4 surge"),
 }
 EVENT_AGREEMENT = {
-    "news_tone_vs_gap": "tone_mean", "annotation_anon_vs_gap": "ann_anon_sign", "annotation_raw_vs_gap": "ann_raw_sign",
+    "news_tone_vs_gap": "tone_mean", "llm_anon_vs_gap": "llm_anon_sign", "llm_raw_vs_gap": "llm_raw_sign",
     "txt_lm_vs_gap": "lm_net_r1", "txt_gdelt_vs_gap": "tone_mean_r1", "txt_finbert_vs_gap": "fb_net_r1",
 }

@@ -28,15 +28,21 @@ def interval_bin(c, edges) -> F.col:
     return out
 
 
-def conditional_table(df: DataFrame, category, gap: str = "gap_pct", bins=(0, 0.5, 1.0, 2.5, float("inf"))) -> DataFrame:
-    """Outcome by |gap| bin and event class."""
-    x = df.withColumns({"gap_bin": interval_bin(F.abs(gap), bins), "category": category})
-    return (x.where(F.col("gap_bin").isNotNull() & F.col("category").isNotNull()).groupBy("gap_bin", "category").agg(
+def conditional_tables(df: DataFrame, classes: dict, gap: str = "gap_pct", bins=(0, 0.5, 1.0, 2.5, float("inf"))) -> DataFrame:
+    """Outcome by event, |gap| bin and event class, for all of {event: class column} in one pass: a row becomes one per event."""
+    each = F.array(*[F.struct(F.lit(n).alias("event"), c.alias("category")) for n, c in classes.items()])
+    x = df.select(interval_bin(F.abs(gap), bins).alias("gap_bin"), "ret_pct", "rest", "label", F.inline(each))
+    return (x.where(F.col("gap_bin").isNotNull() & F.col("category").isNotNull()).groupBy("event", "gap_bin", "category").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("ret_pct") > 0).cast("double")).alias("up_rate"),
         F.avg(is_extreme("label").cast("double")).alias("M_rate"), F.avg("rest").alias("rest_mean"),
         F.avg("ret_pct").alias("ret_mean")))
 
 
+def conditional_table(df: DataFrame, category, gap: str = "gap_pct", bins=(0, 0.5, 1.0, 2.5, float("inf"))) -> DataFrame:
+    """Outcome by |gap| bin and class of one event."""
+    return conditional_tables(df, {"": category}, gap, bins).drop("event")
+
+
 def pivot_mean_size(df: DataFrame, row: str, col: str, values, y: str) -> DataFrame:
     return df.groupBy(row).pivot(col, list(values)).agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..fixed import EVENT_AGREEMENT, EVENT_QUARTILES, EVENT_RULES, EVENT_RX, FEATURE_GROUPS, RESEARCH_GROUPS
 from ..functions import scalars as C
 from ..operators import sequences as Q
-from ..operators.aggregates import conditional_table, majority_vote
+from ..operators.aggregates import conditional_tables, majority_vote
 from ..operators.calendar import assign_window
 from ..operators.events import analyst_features, earnings_features, news_dedup, news_features, tagged
 from ..operators.forum import activity_columns, ewm_abnormal, forum_counts
@@ -14,13 +15,14 @@ from ..plans.panel import (attach_research, build_panel, daily_block, explorator
                            score_features, universe_panel)
 from ..session import cut_lineage
 from ..sources.market import CUTS
-from .aggregates import WL, annotations, votes
+from .aggregates import EVS, FM, LEXQ, WL, annotations, votes
 from .base import R, W, block_sql, clip_sql, cte, grade_sql, query
 from .joins import articles, gap_rows
 from .models import labelled_sequences, ml_panel
 from .rules import KG, k_spec, weighted_score_sql
 from .scans import SCORES_SQL, scores_of
 from .sorts import H
+from .text import NT
 from .windows import SEQ_LIST, fold_sql, roll_sql, weighted_sums, weighted_sums_sql
 
 r6 = C.r6
@@ -64,11 +66,40 @@ def _(m):
                     (F.col("an_gap_agree") + 0.0).alias("an_gap_agree"), "news_n", "news_abn", "tone_mean", "tone_min", "tone_max", "tone_neg_tail", "news_missing")
 
 
-@query("B2_text_panel")
+def abnormal_sql(c: str) -> str:
+    return f"ln(1 + {c}) - ln(1 + CASE WHEN count({c}) OVER w >= 20 THEN avg({c}) OVER w END)"
+
+
+COUNTED = [f"n_{k}_r{r}" for r in range(3) for k in ("clu", "first")]
+SCORED = ("tone_mean_r1", "tone_neg_share_r1", "tone_sd_r1", "lm_net_r1", "lm_neg_share_r1", "lm_unc_r1")
+cte("sims", f"""SELECT a.symbol, a.widx, a.ckey, sum(a.x * b.x) AS sim FROM nv a JOIN nv b ON a.symbol = b.symbol AND a.w = b.w AND b.widx < a.widx AND b.widx >= a.widx - 20
+  GROUP BY a.symbol, a.widx, a.ckey, b.widx, b.ckey""", "nv")
+cte("nv", "SELECT symbol, widx, ckey, w, tf / sqrt(sum(tf * tf) OVER (PARTITION BY symbol, widx, ckey)) AS x FROM tf", "tf")
+cte("tf", f"SELECT symbol, widx, ckey, w, count(*)::DOUBLE AS tf FROM (SELECT symbol, widx, ckey, unnest({NT}) AS w FROM reps) GROUP BY ALL", "reps")
+cte("nov", "SELECT symbol, widx, max(1 - coalesce(best, 0)) AS novelty_r1 FROM (SELECT r.symbol, r.widx, r.ckey, (SELECT max(sim) FROM sims s WHERE s.symbol = r.symbol AND s.widx = r.widx AND s.ckey = r.ckey) AS best FROM reps r) GROUP BY 1, 2", "reps", "sims")
+cte("scored", f"""SELECT symbol, widx, avg(tone) AS tone_mean_r1, avg(CAST(tone < 0 AS INT)) AS tone_neg_share_r1, stddev_samp(tone) AS tone_sd_r1, avg(lm_net) AS lm_net_r1, avg(CAST(lm_net < 0 AS INT)) AS lm_neg_share_r1,
+  avg(lm_unc) AS lm_unc_r1, count(*)::DOUBLE AS n_scored_r1, {EVS}, md5(string_agg(title, ' || ' ORDER BY known_at, ckey)) AS joined FROM reps LEFT JOIN ({LEXQ}) USING (title_id) GROUP BY symbol, widx""", "reps", "lexicon")
+cte("txt", f"""SELECT *, {', '.join(f'{abnormal_sql(c)} AS {c}_abn' for c in COUNTED)} FROM (SELECT g.symbol, g.target, g.widx, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in COUNTED)}, coalesce(src, 0.0) AS n_src_r1, share AS tmpl_share_r0,
+   {', '.join(SCORED)}, coalesce(n_scored_r1, 0.0) AS n_scored_r1, {', '.join(f'ev_{e}_r1' for e in EVENT_RX)}, greatest({', '.join(f'ev_{e}_r1' for e in EVENT_RX)}) AS ev_any_r1, novelty_r1, coalesce(joined, md5('')) AS joined,
+   CAST(g.symbol IN ('S08', 'S09') AS DOUBLE) AS alias_missing FROM grid g
+   LEFT JOIN (SELECT symbol, widx, {', '.join(f"(count(*) FILTER (rel >= {c[-1]}{' AND is_first' if 'first' in c else ''}))::DOUBLE AS {c}" for c in COUNTED)} FROM clu GROUP BY 1, 2) c USING (symbol, widx)
+   LEFT JOIN (SELECT symbol, widx, avg(is_template) AS share FROM arts GROUP BY 1, 2) t USING (symbol, widx)
+   LEFT JOIN (SELECT symbol, widx, CAST(count(DISTINCT source) AS DOUBLE) AS src FROM arts WHERE rel >= 1 AND is_template = 0 GROUP BY 1, 2) s USING (symbol, widx)
+   LEFT JOIN scored USING (symbol, widx) LEFT JOIN nov USING (symbol, widx)) WINDOW w AS (PARTITION BY symbol ORDER BY widx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""", "grid", "clu", "arts", "scored", "nov")
+TEXT_GROUPS = ("txt_count", "txt_tone_gdelt", "txt_tone_lm", "txt_novelty", "txt_event", "txt_meta", "txt_text")
+TEXT_COLUMNS = [c for g in TEXT_GROUPS for c in FEATURE_GROUPS[g] if c != "titles_r1"]
+
+
+def text_of(m):
+    return {"articles": articles(m), "aliased": m.aliases, "lexicon": m.lexicon}
+
+
+@query("B2_text_panel", W("peer", "txt", body=f"""SELECT p.symbol, p.target, {', '.join(R('p.' + c) + f' AS {c}' for c in ('close_d0', 'gap_pct', 'gap_rank'))},
+  {', '.join(R('t.' + c, 8 if c.startswith(('lm_', 'novelty')) else 6) + f' AS {c}' for c in TEXT_COLUMNS)}, coalesce(t.joined, md5('')) AS titles_md5 FROM peer p LEFT JOIN txt t USING (symbol, target)"""))
 def _(m):
-    text = {"articles": articles(m), "aliased": m.aliases, "lexicon": m.lexicon}
-    groups = ("core", "txt_count", "txt_tone_gdelt", "txt_tone_lm", "txt_novelty", "txt_event", "txt_meta", "txt_text")
-    return build_panel(all_tables(m), m.cal, m.universe, groups, text=text)
+    x = build_panel(all_tables(m), m.cal, m.universe, ("core", *TEXT_GROUPS), text=text_of(m))
+    return x.select("symbol", "target", *[r6(c).alias(c) for c in ("close_d0", "gap_pct", "gap_rank")],
+                    *[r6(c, 8 if c.startswith(("lm_", "novelty")) else 6).alias(c) for c in TEXT_COLUMNS], F.md5("titles_r1").alias("titles_md5"))
 
 
 MEMB = "(SELECT symbol, 'u0' AS universe_id FROM universe WHERE symbol <= 'S06' UNION ALL SELECT symbol, 'u1' FROM universe WHERE symbol >= 'S03')"
@@ -78,10 +109,6 @@ LOO_G = "(SELECT CASE WHEN count(o.gap_pct) >= 3 THEN median(o.gap_pct) END FROM
 MATRIX_GROUPS = ("event", "analyst", "news", "txt_tone_gdelt", "txt_meta")
 
 
-def text_of(m):
-    return {"articles": articles(m), "aliased": m.aliases, "lexicon": m.lexicon}
-
-
 @query("B3_universe_panels", W("gap", "universe", "daily", "ev_mt", "news_u", "reps", "tags", body=f"""WITH g AS (SELECT gap.*, universe_id FROM gap JOIN {MEMB} USING (symbol))
   SELECT w.*, {grade_sql('(l.ret * 100)', CUTS)} AS label, CASE WHEN e.an_n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS earn, e.surp_pct_w, coalesce(an_n, 0.0) AS an_n, coalesce(an_up, 0.0) AS an_up, {R('an_tgt_chg', 4)} AS an_tgt_chg,
     coalesce(news_n, 0.0) AS news_n, {R('tone_mean')} AS tone_mean, {R('tone_mean_r1')} AS tone_mean_r1, coalesce(n_scored_r1, 0.0) AS n_scored_r1, fb_net_r1
@@ -225,27 +252,59 @@ def _(m):
     return Q.sequence_windows(m.daily_w).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+EVENT_GROUPS = ("core", "event", "analyst", "news", "txt_count", "txt_tone_gdelt", "txt_tone_lm", "txt_novelty", "txt_event", "txt_meta")
+
+
 def event_panel(m):
-    """Labelled panel with every column the event classes read."""
-    text = {"articles": articles(m), "aliased": m.aliases, "lexicon": m.lexicon}
-    x = build_panel(all_tables(m), m.cal, m.universe, ("core", "event", "analyst", "news", "txt_count", "txt_tone_gdelt", "txt_tone_lm", "txt_novelty", "txt_event", "txt_meta"), text=text, tie="o_orderkey")
+    """Labelled panel with every column the event classes read; research columns come attached by their registry names."""
+    x = build_panel(all_tables(m), m.cal, m.universe, EVENT_GROUPS, text=text_of(m), tie="o_orderkey")
     men, _ = forum_counts(m.forum, m.cal, m.universe)
     tot = men.groupBy("symbol", "target").agg(F.sum("mentions").alias("mentions"))
     keys = ["symbol", "target"]
-    x = x.join(ewm_abnormal(tot, "symbol", "mentions", m.cal).drop("mentions"), keys, "left")
     raw, anon = annotation_signs(m)
-    ann = raw.select(*keys, F.col("sign").alias("ann_raw_sign")).join(anon.select(*keys, F.col("sign").alias("ann_anon_sign")), keys, "full")
     n = tagged(assign_window(m.news, m.cal, "known_at").select("symbols", "target", F.col("doc_id").alias("title_id")), m.universe)
-    x = x.join(ann, keys, "left").join(score_features(n, scores_of(m)).select(*keys, "fb_net_r1"), keys, "left")
+    named = lambda t, v: t.select(*keys, F.col("sign").alias(f"llm_{v}_sign"))
+    blocks = {"reddit": (ewm_abnormal(tot, "symbol", "mentions", m.cal), keys), "news_llm_anon": (named(anon, "anon"), keys),
+              "news_llm_raw": (named(raw, "raw"), keys), "finbert": (score_features(n, scores_of(m)), keys)}
+    x = attach_research(x, blocks, {k: RESEARCH_GROUPS[k] for k in blocks})
     x = cut_lineage(label_panel(x, m.daily, CUTS))
     return with_quartiles(with_quartiles(x, "news_abn"), "mentions_abn")
 
 
-@query("P13_event_classes")
+def quartile_sql(c: str, names) -> str:
+    bin_ = f"greatest(len(list_filter({c}_e, lambda e: e < {c})) - 1, 0)"
+    return f"coalesce([{', '.join(repr(n) for n in names)}][CASE WHEN {c} IS NOT NULL THEN {bin_} END + 1], 'nan')"
+
+
+def event_sql(name: str) -> str:
+    if name in EVENT_RULES:
+        *rules, rest = EVENT_RULES[name]
+        return "CASE " + " ".join(f"WHEN {c.replace('7D', '7').replace('4D', '4')} THEN '{n}'" for c, n in rules) + f" ELSE '{rest}' END"
+    if name in EVENT_QUARTILES:
+        return quartile_sql(EVENT_QUARTILES[name][0], EVENT_QUARTILES[name][1:])
+    c = EVENT_AGREEMENT[name]
+    return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN 'no_event' WHEN sign({c}) * sign(gap_pct) > 0 THEN 'same_dir' WHEN sign({c}) * sign(gap_pct) < 0 THEN 'opposite' ELSE 'gap_0' END"
+
+
+#: Smoothed forum mentions of a symbol, the day before's smoothing against today's count.
+cte("mabn", f"""SELECT symbol, target, ln(1 + items) - ln(1 + lag(v) OVER (PARTITION BY symbol ORDER BY target)) AS mentions_abn FROM (SELECT symbol, unnest(ds) AS target, unnest(xs) AS items, unnest(sm) AS v FROM (SELECT symbol, ds, xs,
+  list_transform(range(1, len(xs) + 1), lambda k: list_reduce(xs[1:k], lambda s, x: {2 / 21!r} * x + (1 - {2 / 21!r}) * s)) AS sm FROM (SELECT symbol, list(items ORDER BY target) AS xs, list(target ORDER BY target) AS ds FROM (
+  SELECT g.symbol, g.target, CAST(coalesce(n, 0) AS DOUBLE) AS items FROM (SELECT DISTINCT f.symbol, cal.target FROM {FM} f, cal) g LEFT JOIN (SELECT symbol, target, count(*) AS n FROM {FM} GROUP BY ALL) USING (symbol, target)) GROUP BY 1)))""", "forum", "cal", "universe")
+cte("evp0", f"""SELECT p.symbol, p.target, p.gap_pct, p.ret_pct, p.label, p.rest, CASE WHEN e.an_n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS earn, surp_sign, coalesce(an_up, 0.0) AS an_up, coalesce(an_down, 0.0) AS an_down, tone_mean, news_abn, mentions_abn,
+   t.* EXCLUDE (symbol, target, widx), llm_raw_sign, llm_anon_sign, fb_net_r1 FROM panel p LEFT JOIN {EV_M} e USING (symbol, target) LEFT JOIN txt t USING (symbol, target) LEFT JOIN mabn USING (symbol, target)
+   LEFT JOIN (SELECT symbol, target, avg(tone) AS tone_mean FROM news_u GROUP BY 1, 2) n USING (symbol, target)
+   LEFT JOIN (SELECT symbol, target, {abnormal_sql('n')} AS news_abn FROM (SELECT g.*, coalesce(n, 0.0) AS n FROM grid g LEFT JOIN (SELECT symbol, target, count(*)::DOUBLE AS n FROM news_u GROUP BY 1, 2) USING (symbol, target))
+     WINDOW w AS (PARTITION BY symbol ORDER BY widx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) na USING (symbol, target)
+   LEFT JOIN (SELECT symbol, target, sign(sum(sign({SGN}))) AS llm_raw_sign, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS llm_anon_sign FROM tags GROUP BY 1, 2) a USING (symbol, target)
+   LEFT JOIN (SELECT symbol, target, avg(p_pos - p_neg) AS fb_net_r1 FROM tags JOIN ({SCORES_SQL}) ON doc_id = title_id GROUP BY 1, 2) f USING (symbol, target)""", "panel", "ev_mt", "txt", "mabn", "news_u", "grid", "tags")
+cte("evp", "SELECT *, " + ", ".join(f"list_sort(list_distinct((SELECT quantile_cont({c}, [0, 0.25, 0.5, 0.75, 1]) FROM evp0 WHERE {c} IS NOT NULL))) AS {c}_e" for c in ("news_abn", "mentions_abn")) + " FROM evp0", "evp0")
+EVENT_ROWS = "SELECT *, unnest([" + ", ".join(f"struct_pack(event := '{n}', category := {event_sql(n)})" for n in EVENTS) + "], recursive := true) FROM evp"
+
+
+@query("P13_event_classes", W("evp", body=f"SELECT symbol, target, event, category FROM ({EVENT_ROWS})"))
 def _(m):
-    x = cut_lineage(event_panel(m))
     rows = F.array(*[F.struct(F.lit(n).alias("event"), event_class(n).alias("category")) for n in EVENTS])
-    return x.select("symbol", "target", F.inline(rows)).groupBy("event", "category").agg(F.count(F.lit(1)).alias("n"))
+    return event_panel(m).select("symbol", "target", F.inline(rows))
 
 
 @query("P13_event_classes_core", W("panel", "ev_mt", body=f"""SELECT p.symbol, p.target, CASE WHEN an_up > an_down THEN 'upgrade' WHEN an_down > an_up THEN 'downgrade' ELSE 'none' END AS analyst,
@@ -256,14 +315,11 @@ def _(m):
     return x.select("symbol", "target", event_class("analyst").alias("analyst"), event_class("earnings").alias("earnings"))
 
 
-@query("A22_all_conditional_tables")
+@query("A22_all_conditional_tables", W("evp", body=f"""SELECT event, gap_bin, category, count(*) AS n, {R('avg(CAST(ret_pct > 0 AS INT))')} AS up_rate, {R('avg(CAST(label IN (0, 4) AS INT))')} AS M_rate, {R('avg(rest)')} AS rest_mean, {R('avg(ret_pct)', 5)} AS ret_mean
+  FROM (SELECT *, CASE WHEN abs(gap_pct) < 10 THEN 0 WHEN abs(gap_pct) < 30 THEN 1 WHEN gap_pct IS NOT NULL THEN 2 END AS gap_bin FROM ({EVENT_ROWS})) WHERE gap_bin IS NOT NULL GROUP BY 1, 2, 3"""))
 def _(m):
-    x = cut_lineage(event_panel(m))
-    out = None
-    for n in EVENTS:
-        t = conditional_table(x, event_class(n), bins=(0, 10, 30, float("inf"))).withColumn("event", F.lit(n))
-        out = t if out is None else out.unionByName(t)
-    return out
+    t = conditional_tables(event_panel(m), {n: event_class(n) for n in EVENTS}, bins=(0, 10, 30, float("inf")))
+    return t.withColumns({c: r6(c) for c in ("up_rate", "M_rate", "rest_mean")} | {"ret_mean": r6("ret_mean", 5)})
 
 
 FOLDS = [{"name": "a", "start": "2024-01-12", "end": "2024-01-18"}, {"name": "b", "start": "2024-01-18", "end": "2024-01-24"}, {"name": "c", "start": "2024-01-24", "end": "2024-01-31"}]
