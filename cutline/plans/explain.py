@@ -39,16 +39,30 @@ def block_permute(df: DataFrame, cols, mapping: DataFrame, day: str = "target")
     return df.select(*keep).join(mapping, day).join(donor, ["symbol", "source"], "left").drop("source")
 
 
+def counterfactual_rows(df: DataFrame, groups: dict, mapping: DataFrame, day: str = "target") -> DataFrame:
+    """Every row once per group and rep (columns grp, rep): the group's features are those of the same symbol on the mapped day, all others its own.
+    The table is read twice, whatever the number of groups."""
+    moved = list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    donor = df.select("symbol", F.col(day).alias("source"), *[F.col(c).alias(f"_d_{c}") for c in moved])
+    x = df.join(mapping, day).join(donor, ["symbol", "source"], "left").withColumn("grp", F.explode(F.array(*[F.lit(g) for g in groups])))
+    taken = {c: F.when(F.col("grp").isin(*[g for g, cols in groups.items() if c in cols]), F.col(f"_d_{c}")).otherwise(F.col(c)) for c in moved}
+    return x.withColumns(taken).select("grp", "rep", *df.columns)
+
+
 def permutation_importance(predict, df: DataFrame, groups: dict, reps: int, block_days: int, seed=0) -> DataFrame:
-    """(grp, rep, drop): score lost when one feature group is shuffled in day blocks."""
+    """(grp, rep, drop): score lost when one feature group is shuffled in day blocks. Groups and reps are a key: one prediction, one count."""
     base = score(predict(df)).select(F.col("score").alias("_base"))
-    mapping = permuted_days(df, block_days, reps, seed)
-    parts = []
-    for g, cols in groups.items():
-        x = predict(block_permute(df, cols, mapping))
-        parts.append(score(x, ["rep"]).select(F.lit(g).alias("grp"), "rep", "score"))
-    allp = reduce(DataFrame.unionByName, parts)
-    return allp.withColumn("_base", base.scalar()).select("grp", "rep", (F.col("_base") - F.col("score")).alias("drop"))
+    x = counterfactual_rows(df, groups, permuted_days(df, block_days, reps, seed))
+    each = score(predict(x), ["grp", "rep"])
+    return each.withColumn("_base", base.scalar()).select("grp", "rep", (F.col("_base") - F.col("score")).alias("drop"))
+
+
+def group_coverage(df: DataFrame, features, extra: dict | None = None) -> DataFrame:
+    """(grp, feature, present): the group of each feature and how many rows have a value, from one aggregate row."""
+    groups = group_of_features(features, extra)
+    counts = df.agg(*[F.count(c).alias(c) for c in features])
+    rows = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(c).alias("feature"), F.col(c).alias("present")) for g, cols in groups.items() for c in cols])
+    return counts.select(F.inline(rows))
 
 
 def pdp_ice(explain, df: DataFrame, feature: str, n_grid: int = 10) -> DataFrame:

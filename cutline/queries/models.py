@@ -14,7 +14,7 @@ from ..sources.market import CUTS
 from .aggregates import WL, weekly_labels
 from .base import R, W, grade_sql, query
 from .joins import articles, core_panel, gap_rows
-from .rules import k_spec
+from .rules import k_spec, weighted_score_sql
 from .sorts import H
 from .windows import SEQ_LIST, fold_sql, roll_sql, wilder_sql
 
@@ -204,19 +204,49 @@ def _(m):
     return x.select("symbol", "target", "rep", r6("gap_pct").alias("gap_pct"))
 
 
-@query("X2_permutation_importance")
+X1_FEATURES = ["gap_pct", "gap_rank", "vol5", "vol20", "mkt_gap", "resid_gap", "beta60", "reg_med_absgap", "reg_big_ratio"]
+X1_GROUPS = {"core": X1_FEATURES[:2], "scale": X1_FEATURES[2:4], "cross": X1_FEATURES[4:7], **{c: [c] for c in X1_FEATURES[7:]}}
+X1_ROWS = ", ".join(f"struct_pack(grp := '{g}', feature := '{c}', present := count({c}))" for g, cols in X1_GROUPS.items() for c in cols)
+
+
+@query("X1_feature_groups", W("panel", body=f"SELECT unnest(r, recursive := true) FROM (SELECT [{X1_ROWS}] AS r FROM panel)"))
 def _(m):
-    p = ml_panel(m)
-    c = Candidate(k_spec(regime={"type": "tercile", "params": {"var": "reg_med_absgap"}})).fit(p)
-    groups = X.group_of_features(c.features)
-    return X.permutation_importance(c.predict, p, groups, 5, 30)
+    return X.group_coverage(core_panel(m), X1_FEATURES)
+
+
+#: The gap rule with a scaling by the market's median gap: what the explanation queries explain.
+X_EDGES, X_FACTORS, X_MEDIAN = (8.0, 12.0), (0.7, 1.0, 1.4), 10.0
+
+
+def scaled_gap_rule():
+    from ..plans.regimes import TercileRegime
+    c = default_candidate(CUTS)
+    c.regime = TercileRegime("reg_med_absgap", X_EDGES, X_FACTORS, X_MEDIAN)
+    return c
+
 
+def scaled_sql(gap: str, r: str) -> str:
+    return f"({gap} * CASE WHEN coalesce({r}, {X_MEDIAN}) >= {X_EDGES[1]} THEN {X_FACTORS[2]}::DOUBLE WHEN coalesce({r}, {X_MEDIAN}) >= {X_EDGES[0]} THEN 1.0::DOUBLE ELSE {X_FACTORS[0]}::DOUBLE END)"
 
-@query("X3_partial_dependence")
+
+GAP_RULE = "coalesce(" + " + ".join(f"CAST(s >= {c}::DOUBLE / 5.25 AS INT)" for c in CUTS) + ", 2)"
+PLAIN_ROWS = f"SELECT 1 AS one, label, {GAP_RULE} AS pred FROM (SELECT label, {scaled_sql('gap_pct', 'reg_med_absgap')} AS s FROM panel)"
+
+
+@query("X2_permutation_importance", W("panel", body=f"""SELECT grp, rep, {R('base - score')} AS drop FROM (WITH pm AS ({PERM}),
+  x AS (SELECT grp, rep, label, CASE grp WHEN 'core' THEN {scaled_sql('q.gap_pct', 'p.reg_med_absgap')} WHEN 'reg_med_absgap' THEN {scaled_sql('p.gap_pct', 'q.reg_med_absgap')} ELSE {scaled_sql('p.gap_pct', 'p.reg_med_absgap')} END AS s
+   FROM panel p JOIN pm USING (target) LEFT JOIN (SELECT symbol, target AS source, gap_pct, reg_med_absgap FROM panel) q USING (symbol, source), (SELECT unnest(['core', 'reg_med_absgap', 'scale']) AS grp))
+  SELECT grp, rep, score, (SELECT score FROM ({weighted_score_sql(PLAIN_ROWS, 'one')})) AS base FROM ({weighted_score_sql(f'SELECT grp, rep, label, {GAP_RULE} AS pred FROM x', 'grp, rep')}))"""))
 def _(m):
-    p = ml_panel(m)
-    c = Candidate(k_spec(regime={"type": "linear", "params": {"var": "reg_med_absgap"}})).fit(p)
-    return X.pdp_ice(c.explain, p, "reg_med_absgap", 10)
+    groups = X.group_of_features(["gap_pct", "reg_med_absgap", "vol20"])
+    return X.permutation_importance(scaled_gap_rule().predict, ml_panel(m), groups, 4, 5).withColumn("drop", r6("drop"))
+
+
+@query("X3_partial_dependence", W("panel", body=f"""SELECT {R('grid')} AS grid, symbol, {R('avg(CAST(pred IN (0, 4) AS INT))')} AS pred_extreme, {R('avg(abs(s))')} AS mean_abs_signal FROM (SELECT grid, s, {GAP_RULE} AS pred, unnest(['ALL', symbol]) AS symbol FROM (
+  SELECT symbol, grid, {scaled_sql('gap_pct', 'grid')} AS s FROM panel, (SELECT DISTINCT unnest(quantile_cont(reg_med_absgap, [{', '.join(repr(0.05 + 0.9 * i / 9) for i in range(10))}])) AS grid FROM panel))) GROUP BY ALL"""))
+def _(m):
+    x = X.pdp_ice(scaled_gap_rule().explain, ml_panel(m), "reg_med_absgap", 10)
+    return x.select(*[r6(c).alias(c) for c in ("grid", "pred_extreme", "mean_abs_signal")], "symbol")
 
 
 @query("X4_text_terms")
