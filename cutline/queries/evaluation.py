@@ -235,12 +235,30 @@ def _(m):
     return P.verdict(x, ADOPTION).select("id", "decision", "reasons")
 
 
-@query("E16_candidate_comparison")
-def _(m):
-    return P.compare(predictions(m), "base", ["damped", "momentum"], ADOPTION, reps=REPS, block_days=BLOCK)
+def boot_sql(candidate: str) -> str:
+    return f"""SELECT '{candidate}' AS candidate, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high, stddev_pop(delta) AS se, least(1.0, 2 * least(avg(CAST(delta <= 0 AS INT)), avg(CAST(delta >= 0 AS INT)))) AS p
+  FROM ({BOOT.replace("c.candidate = 'damped'", f"c.candidate = '{candidate}'")} SELECT rep, avg(delta) AS delta FROM (SELECT a.fold, a.draw, a.rep, a.score - b.score AS delta FROM sc a JOIN sc b USING (fold, draw, rep) WHERE a.who = 'cand' AND b.who = 'base') GROUP BY 1)"""
 
 
 FINE = metrics_sql(SCOPED, ["candidate", "fold", "draw", "scope"], 14)
+CHANGES = f"""SELECT c.candidate, c.fold, c.draw, c.scope, c.score - b.score AS delta, c.flip_index - b.flip_index AS flip_diff, c.pred_extreme / NULLIF(b.pred_extreme, 0) AS extreme_ratio
+  FROM ({FINE}) c JOIN ({FINE}) b USING (fold, draw, scope) WHERE b.candidate = 'base' AND c.candidate <> 'base'"""
+E16_COLUMNS = ("delta", "ci_low", "ci_high", "se", "p", "p_holm", "unseen_delta", "flip_diff", "extreme_ratio")
+
+
+@query("E16_candidate_comparison", W("daily_w", body=f"""SELECT candidate, decision, coalesce(reasons, '') AS reasons, {', '.join(f"{R(f'ds[{i}]')} AS fold{i}" for i in (1, 2, 3))}, {', '.join(f'{R(c)} AS {c}' for c in E16_COLUMNS)} FROM (WITH ch AS ({CHANGES}),
+  fd AS (SELECT candidate, list(d ORDER BY fold) AS ds FROM (SELECT candidate, fold, avg(delta) AS d FROM ch WHERE scope = 'all' GROUP BY 1, 2) GROUP BY 1),
+  al AS (SELECT candidate, avg(delta) AS delta, avg(flip_diff) AS flip_diff, avg(extreme_ratio) AS extreme_ratio FROM ch WHERE scope = 'all' GROUP BY 1), us AS (SELECT candidate, avg(delta) AS unseen_delta FROM ch WHERE scope = 'unseen' GROUP BY 1),
+  bs AS ({boot_sql('damped')} UNION ALL {boot_sql('momentum')}),
+  hm AS (SELECT candidate, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY p, candidate ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, candidate) AS rn FROM bs)),
+  r AS (SELECT *, list_filter([CASE WHEN ci_high < 0 THEN 'interval below 0' END, CASE WHEN len(list_filter(ds, lambda d: d < -0.005)) >= 2 THEN 'negative folds' END], lambda v: v IS NOT NULL) AS fatal,
+   list_filter([CASE WHEN len(list_filter(ds, lambda d: d > 0)) < 3 THEN 'positive folds' END, CASE WHEN ci_low <= 0 THEN 'interval above 0' END, CASE WHEN unseen_delta IS NULL OR unseen_delta <= 0 THEN 'unseen change' END,
+    CASE WHEN list_min(ds) < -0.02 THEN 'worst fold' END, CASE WHEN flip_diff > 0.02 THEN 'flips' END, CASE WHEN extreme_ratio IS NULL OR abs(extreme_ratio - 1) > 0.25 THEN 'extreme share' END, CASE WHEN delta < 0 THEN 'mean gain' END], lambda v: v IS NOT NULL) AS missing
+   FROM bs JOIN hm USING (candidate) JOIN fd USING (candidate) JOIN al USING (candidate) LEFT JOIN us USING (candidate))
+  SELECT *, CASE WHEN len(fatal) > 0 THEN 'reject' WHEN len(missing) > 0 THEN 'hold' ELSE 'adopt' END AS decision, array_to_string(CASE WHEN len(fatal) > 0 THEN fatal ELSE missing END, '; ') AS reasons FROM r)"""))
+def _(m):
+    x = P.compare(predictions(m), "base", ["damped", "momentum"], ADOPTION, reps=REPS, block_days=BLOCK)
+    return x.select("candidate", "decision", "reasons", *[r6(F.get("folds", F.lit(i))["d"]).alias(f"fold{i + 1}") for i in range(3)], *[r6(c).alias(c) for c in E16_COLUMNS])
 
 
 @query("E16_unit_changes", W("daily_w", body=f"""SELECT c.candidate, c.fold, c.draw, c.scope, {R('c.score - b.score')} AS delta, {R('c.flip_index - b.flip_index')} AS flip_diff, {R('c.pred_extreme / NULLIF(b.pred_extreme, 0)')} AS extreme_ratio

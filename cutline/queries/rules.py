@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
+from ..operators.ranks import quantiles
 from ..plans import regimes as G, rules as D
 from ..plans.model import Candidate, default_candidate, fit_blend, predict_universe
 from ..plans.scoring import score
@@ -100,14 +101,23 @@ def _(m):
     return m.spark.createDataFrame([(r.params["k_up"], r.params["k_dn"])], "k_up double, k_dn double")
 
 
-@query("D6_four_threshold_rule")
+@query("D6_four_threshold_rule", "SELECT true AS not_below_asym, 0::BIGINT AS better_moves, true AS ascending")
 def _(m):
+    """The rule stands where no single bound can move to a better allowed value; every move is scored apart, by the grouped metric."""
     p = cut_lineage(weekly_signal(m))
-    r = D.fit_rule("4t", p, "signal", cfg={"cuts": CUTS})
-    start = D.fit_rule("asym", p, "signal", cfg={"cuts": CUTS})
-    x = p.select("label", F.explode(F.array(F.struct(F.lit("4t").alias("rule"), r.apply("signal").alias("pred")),
-                                            F.struct(F.lit("asym").alias("rule"), start.apply("signal").alias("pred")))).alias("z")).select("label", "z.*")
-    return score(x, ["rule"])
+    cfg = {"cuts": CUTS, "n_q": 24, "n_pass": 20}
+    r, start = D.fit_rule("4t", p, "signal", cfg=cfg), D.fit_rule("asym", p, "signal", cfg=cfg)
+    edges = quantiles(p, [], "signal", {f"q{i}": 0.005 + 0.99 * i / 23 for i in range(24)}).first()
+    moves = [("fitted", r.bounds), ("asym", start.bounds)]
+    for k in range(4):
+        low, high = [float("-inf"), *r.bounds][k], [*r.bounds, float("inf")][k + 1]
+        moves += [(f"{k}:{e}", (*r.bounds[:k], e, *r.bounds[k + 1:])) for e in edges if low < e < high]
+    each = F.array(*[F.struct(F.lit(n).alias("move"), C.grade_or_flat("signal", b).alias("pred")) for n, b in moves])
+    s = score(p.select("label", F.inline(each)), ["move"]).select("move", F.round("score", 12).alias("score"))
+    of = lambda n: F.max(F.when(F.col("move") == n, F.col("score")))
+    both = s.agg(of("fitted").alias("f"), of("asym").alias("a"), F.collect_list("score").alias("all"))
+    return both.select((F.col("f") >= F.col("a")).alias("not_below_asym"), F.size(F.filter("all", lambda v: v > F.col("f"))).cast("long").alias("better_moves"),
+                       F.lit(list(r.bounds) == sorted(r.bounds)).alias("ascending"))
 
 
 DQ = "SELECT unnest(quantile_cont({0}, list_transform(range(1, 20), lambda i: i / 20.0::DOUBLE))) AS v FROM heads"
@@ -204,15 +214,30 @@ def k_spec(**more):
     return {"name": "k", "signal": {"type": "gap"}, "decision": {"type": "k", "params": {"cuts": CUTS}}, **more}
 
 
-@query("R5_time_ordered_fit")
+REG = "reg_med_absgap"
+R5_GRADE = lambda s, k: "coalesce(" + " + ".join(f"CAST({s} >= {c}::DOUBLE / {k} AS INT)" for c in CUTS) + ", 2)"
+R5_K = lambda rows: f"(SELECT k FROM ({weighted_score_sql(f'SELECT k, label, {R5_GRADE("gap_pct", "k")} AS pred FROM {rows}, {KG}', 'k')}) ORDER BY round(score, 12) DESC NULLS LAST, k LIMIT 1)"
+R5_LATE = "(SELECT * FROM panel WHERE date_diff('day', DATE '1970-01-01', target) > (SELECT quantile_cont(d, 0.8) FROM (SELECT DISTINCT date_diff('day', DATE '1970-01-01', target)::DOUBLE AS d FROM panel)))"
+R5_LO_HI = f"""SELECT lo, hi, score FROM ({weighted_score_sql(f'''SELECT a.f AS lo, b.f AS hi, label, {R5_GRADE(f"gap_pct * CASE WHEN coalesce({REG}, med) >= e2 THEN b.f WHEN coalesce({REG}, med) >= e1 THEN 1.0::DOUBLE ELSE a.f END", "k")} AS pred FROM panel, best, e, md, f a, f b''', 'lo, hi')}) ORDER BY round(score, 12) DESC, lo, hi LIMIT 1"""
+R5_ALPHA = f"""SELECT alpha, score FROM ({weighted_score_sql(f'''SELECT alpha, label, {R5_GRADE(f"gap_pct * greatest(least(exp(alpha * coalesce(({REG} - m) / (q3 - q1), 0.0)), 2.0), 0.5)", "k")} AS pred FROM panel, best, e, al''', 'alpha')}) ORDER BY round(score, 12) DESC, alpha LIMIT 1"""
+
+
+@query("R5_time_ordered_fit", W("panel", body=f"""SELECT * FROM (WITH best AS {R5_K('panel')}, late AS {R5_K(R5_LATE)}, md AS (SELECT median({REG}) AS med FROM panel),
+  e AS (SELECT quantile_cont({REG}, 1 / 3.0::DOUBLE) AS e1, quantile_cont({REG}, 2 / 3.0::DOUBLE) AS e2, quantile_cont({REG}, 0.25) AS q1, median({REG}) AS m, quantile_cont({REG}, 0.75) AS q3 FROM (SELECT DISTINCT {REG} FROM panel WHERE {REG} IS NOT NULL)),
+  f AS (SELECT unnest([0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6])::DOUBLE AS f), al AS (SELECT unnest(list_transform(range(-10, 11), lambda i: i / 10.0::DOUBLE)) AS alpha), lh AS ({R5_LO_HI}), aa AS ({R5_ALPHA})
+  SELECT 'k' AS candidate, k, NULL::DOUBLE AS e1, NULL::DOUBLE AS e2, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS med, NULL::DOUBLE AS alpha FROM best UNION ALL SELECT 'k_tuned_late', k, NULL, NULL, NULL, NULL, NULL, NULL FROM late
+  UNION ALL SELECT 'tercile', k, {R('e1')}, {R('e2')}, lo, hi, {R('med')}, NULL FROM best, e, lh, md UNION ALL SELECT 'linear', k, NULL, NULL, NULL, NULL, {R('m')}, alpha FROM best, e, aa)"""))
 def _(m):
     p = cut_lineage(core_panel(m, ("core", "scale", "cross", "regime")))
     rows = []
-    for name, spec in {"k": k_spec(), "k_tuned_late": k_spec(tune_on="time"), "tercile": k_spec(regime={"type": "tercile", "params": {"var": "reg_med_absgap"}}),
-                       "linear": k_spec(regime={"type": "linear", "params": {"var": "reg_med_absgap"}})}.items():
+    for name, spec in {"k": k_spec(), "k_tuned_late": k_spec(tune_on="time"), "tercile": k_spec(regime={"type": "tercile", "params": {"var": REG}}),
+                       "linear": k_spec(regime={"type": "linear", "params": {"var": REG}})}.items():
         c = Candidate(spec).fit(p)
-        rows.append((name, float(c.rule.params["k"]), str(c.regime.state())))
-    return m.spark.createDataFrame(rows, "candidate string, k double, regime string")
+        s = c.regime.state()
+        e, f = s.get("edges", (None, None)), s.get("f", (None, None, None))
+        rows.append((name, float(c.rule.params["k"]), *e, f[0], f[2], s.get("median", s.get("med")), s.get("alpha")))
+    x = m.spark.createDataFrame(rows, "candidate string, k double, e1 double, e2 double, low double, high double, med double, alpha double")
+    return x.withColumns({c: r6(c) for c in ("e1", "e2", "med")})
 
 
 @query("R6_fitted_predictions", W("panel", "grid", body=f"""SELECT g.symbol, g.target, coalesce(CASE WHEN gap_pct IS NULL THEN 2 ELSE CAST(gap_pct >= -25.0 / 5.25 AS INT) + CAST(gap_pct >= -6.0 / 5.25 AS INT) + CAST(gap_pct >= 6.0 / 5.25 AS INT) + CAST(gap_pct >= 25.0 / 5.25 AS INT) END, 2) AS label
@@ -222,10 +247,20 @@ def _(m):
     return predict_universe(default_candidate(CUTS), fit_panel(m), dense_grid(m.universe, "symbol", m.cal).select("symbol", "target"))
 
 
-@query("M10_residual_blend", W("daily_w", body=f"""SELECT alpha, k, {R('score')} AS score FROM (WITH a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha), x AS (SELECT * FROM {WV}),
-  mixed AS (SELECT alpha, label, s + alpha * coalesce(r - 30, 0.0) AS s FROM x, a), src AS (SELECT alpha, k, label, {KP} AS pred FROM mixed, {KG})
+M10_ROWS = f"(SELECT symbol, date_et AS target, label, ret * 100 AS y, -lag(ret) OVER (PARTITION BY symbol ORDER BY date_et) * 100 AS s FROM {WL})"
+M10_DAY = "date_diff('day', DATE '1970-01-01', target)"
+
+
+@query("M10_residual_blend", W("daily_w", body=f"""SELECT alpha, k, {R('score')} AS score FROM (WITH a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha), x AS (SELECT * FROM {M10_ROWS}),
+  edge AS (SELECT quantile_cont(d, 0.5) AS e FROM (SELECT DISTINCT {M10_DAY}::DOUBLE AS d FROM x)), fitted AS (SELECT symbol, avg(y - s) AS r FROM x, edge WHERE {M10_DAY} <= e GROUP BY 1),
+  mixed AS (SELECT alpha, label, s + alpha * coalesce(r, 0.0) AS s FROM x LEFT JOIN fitted USING (symbol), edge, a WHERE {M10_DAY} > e), src AS (SELECT alpha, k, label, {KP} AS pred FROM mixed, {KG})
   SELECT alpha, k, score FROM ({weighted_score_sql('SELECT * FROM src', 'alpha, k')}) ORDER BY round(score, 12) DESC, alpha, k LIMIT 1)"""))
 def _(m):
-    p = cut_lineage(weekly_regime(m).withColumn("resid", F.col("r") - 30))
-    a, rule, val = fit_blend(p, "signal", "resid", cfg={"cuts": CUTS})
+    """The residual is fitted: what each symbol's move left over the signal on average in the earlier half. It is blended in on the later half."""
+    p = cut_lineage(weekly_signal(m))
+    d = F.unix_date("target").cast("double")
+    edge = quantiles(p.select(d.alias("d")).distinct(), [], "d", {"e": 0.5}).first()["e"]
+    fitted = p.where(d <= edge).groupBy("symbol").agg(F.avg(F.col("ret") * 100 - F.col("signal")).alias("resid"))
+    late = cut_lineage(p.where(d > edge).join(fitted, "symbol", "left"))
+    a, rule, val = fit_blend(late, "signal", "resid", cfg={"cuts": CUTS})
     return m.spark.createDataFrame([(a, rule.params["k"], val)], "alpha double, k double, score double").withColumn("score", r6("score"))

@@ -255,18 +255,39 @@ def _(m):
     return term_weights(m.raw("documents").select("doc_id", "text"), "doc_id", "text", "lm_vocab", vocabulary=m.lexicon)
 
 
+def early_vectors(m):
+    """Title vectors with the time of their article, and the vectors of the earlier half of the articles' days."""
+    from ..operators.ranks import quantiles
+    e = m.raw("embeddings").join(m.news.select(F.col("doc_id").alias("vec_id"), F.unix_date(F.to_date("known_at")).cast("double").alias("day")), "vec_id")
+    edge = quantiles(e, [], "day", {"edge": 0.5}).first()["edge"]
+    return e, e.where(F.col("day") <= edge)
+
+
 @query("T5_projection_group_mean")
 def _(m):
-    """32 components fitted on the earlier half of the vectors, applied to all."""
-    from ..operators.ranks import quantiles
+    """32 components fitted on the vectors of the earlier titles, applied to all."""
     from ..plans.vectors import fit_projection, mean_vector, project
-    e = m.raw("embeddings")
-    edge = quantiles(e, [], "vec_id", {"edge": 0.5}).first()["edge"]
-    model = fit_projection(e.where(F.col("vec_id") <= edge), "embedding", 32)
-    z = mean_vector(project(e, "embedding", model, "pc"), ["label"], "pc")
+    e, early = early_vectors(m)
+    z = mean_vector(project(e, "embedding", fit_projection(early, "embedding", 32), "pc"), ["label"], "pc")
     return z.select("label", F.transform("mean", lambda v: F.round(F.abs(v), 6)).alias("abs_mean"), "n")
 
 
+T5_ROWS = "(SELECT vec_id, embedding, date_diff('day', DATE '1970-01-01', CAST(known_at AS DATE))::DOUBLE AS day FROM embeddings JOIN news ON doc_id = vec_id)"
+
+
+@query("T5_projection_energy", W("news", body=f"""SELECT vec_id, {R('sum((v - mu) * (v - mu))', 5)} AS energy, {R('sum((v - mu) * (v - mu))', 5)} AS rebuilt FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM {T5_ROWS})
+  JOIN (SELECT pos, avg(v) AS mu FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM {T5_ROWS} WHERE day <= (SELECT quantile_cont(day, 0.5) FROM {T5_ROWS})) GROUP BY 1) USING (pos) GROUP BY 1"""))
+def _(m):
+    """Sign-free check of the projector: under all components a row keeps its length about the early mean; under 32 the kept part and the rest add up to it."""
+    from ..plans.vectors import fit_projection, project
+    e, early = early_vectors(m)
+    length = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
+    whole, part = fit_projection(early, "embedding", 64), fit_projection(early, "embedding", 32)
+    x = project(project(e, "embedding", whole, "all"), "embedding", part, "some")
+    kept, rest = length(F.col("some")), length(F.slice("all", 33, 32))
+    return x.select("vec_id", r6(length(F.col("all")), 5).alias("energy"), r6(kept + rest, 5).alias("rebuilt"))
+
+
 @query("T6_score_features", W("news", body=f"""SELECT symbol, {R('avg(p_pos - p_neg)')} AS fb_net_r1, {R('avg(CAST(p_neg > p_pos AND p_neg >= p_neu AS INT))')} AS fb_neg_share_r1, count(*) AS fb_n_r1 FROM (
   SELECT unnest(string_split(symbols, ',')) AS symbol, doc_id FROM news) n JOIN ({SCORES_SQL}) s ON n.doc_id = s.title_id GROUP BY 1"""))
 def _(m):
