@@ -15,7 +15,7 @@ from ..plans.panel import (attach_research, build_panel, daily_block, explorator
                            score_features, universe_panel)
 from ..session import cut_lineage
 from ..sources.market import CUTS
-from .aggregates import EVS, FM, LEXQ, WL, annotations, votes
+from .aggregates import EVS, FM, FT, LEXQ, WL, annotations, votes
 from .base import R, W, block_sql, clip_sql, cte, grade_sql, query
 from .joins import articles, gap_rows
 from .models import labelled_sequences, ml_panel
@@ -153,31 +153,55 @@ cte("de", """SELECT d.*, (SELECT CASE WHEN (SELECT count(*) FROM daily g WHERE g
   greatest(high - low, abs(high - prev_close), abs(low - prev_close)) / close AS tr, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date_et) - 1 AS ret5 FROM daily d""", "daily")
 
 
-@query("B5_exploratory_panel", W("de", "cal", "ext", body=f"""WITH f AS (SELECT *, {roll_sql('stddev_samp', 'ret', 5, 2)} AS vol5, {roll_sql('stddev_samp', 'ret', 20, 10)} AS vol20,
+B5_SQL = f"""SELECT * FROM (WITH f AS (SELECT *, {roll_sql('stddev_samp', 'ret', 5, 2)} AS vol5, {roll_sql('stddev_samp', 'ret', 20, 10)} AS vol20,
    ({roll_sql('avg', 'ret * mk', 60, 30)} - {roll_sql('avg', 'ret', 60, 30)} * {roll_sql('avg', 'mk', 60, 30)}) / NULLIF({roll_sql('avg', 'mk * mk', 60, 30)} - {roll_sql('avg', 'mk', 60, 30)} * {roll_sql('avg', 'mk', 60, 30)}, 0) AS beta60 FROM de),
   a AS (SELECT symbol, date_et, v AS atr14 FROM ({fold_sql(1 / 14, 'tr', 'de')})),
   p AS (SELECT f.symbol, c.target, f.vol5, f.vol20, f.ret5, f.beta60, a.atr14, t.ret * 100 AS ret_pct, {grade_sql('(t.ret * 100)', CUTS)} AS label, e.pre_last / f.close - 1 AS gap, e.pre_last_leak / f.close - 1 AS gap_leak, q.post_last / f.close - 1 AS post_ret
    FROM f JOIN a USING (symbol, date_et) JOIN cal c ON c.date = f.date_et JOIN daily t ON t.symbol = f.symbol AND t.date_et = c.target AND t.ret IS NOT NULL LEFT JOIN ext e ON e.symbol = f.symbol AND e.day = c.target LEFT JOIN ext q ON q.symbol = f.symbol AND q.day = c.date)
   SELECT symbol, target, {R('vol5', 5)} AS vol5, {R('vol20', 5)} AS vol20, {R('ret5')} AS ret5, {R('atr14')} AS atr14, {R('ret_pct', 5)} AS ret_pct, label, {R('gap')} AS gap, {R('gap_leak')} AS gap_leak, {R('post_ret')} AS post_ret,
-   {R('gap / NULLIF(vol20, 0)', 4)} AS zgap, {R('mg')} AS mkt_gap, {R('gap - coalesce(beta60, 1) * mg')} AS resid_gap FROM (SELECT p.*, (SELECT CASE WHEN (SELECT count(*) FROM p g WHERE g.target = p.target) >= 3 THEN median(o.gap) END FROM p o WHERE o.target = p.target AND o.symbol <> p.symbol) AS mg FROM p)"""))
+   {R('gap / NULLIF(vol20, 0)', 4)} AS zgap, {R('mg')} AS mkt_gap, {R('gap - coalesce(beta60, 1) * mg')} AS resid_gap FROM (SELECT p.*, (SELECT CASE WHEN (SELECT count(*) FROM p g WHERE g.target = p.target) >= 3 THEN median(o.gap) END FROM p o WHERE o.target = p.target AND o.symbol <> p.symbol) AS mg FROM p))"""
+
+
+@query("B5_exploratory_panel", W("de", "cal", "ext", body=B5_SQL))
 def _(m):
     x = exploratory_panel({"daily": m.daily, "price": m.price}, m.cal, CUTS)
     cols = {"vol5": 5, "vol20": 5, "ret5": 6, "atr14": 6, "ret_pct": 5, "gap": 6, "gap_leak": 6, "post_ret": 6, "zgap": 4, "mkt_gap": 6, "resid_gap": 6}
     return rnd(x, cols).select("symbol", "target", "label", *cols)
 
 
-@query("B5_enriched_exploratory_panel")
+def ewm_sql(counts: str, key: str) -> str:
+    """(key, target, items, abn): counts (key, target, n) on the dense grid, today's against the day before's smoothing."""
+    return f"""SELECT {key}, target, items, ln(1 + items) - ln(1 + lag(v) OVER (PARTITION BY {key} ORDER BY target)) AS abn FROM (SELECT {key}, unnest(ds) AS target, unnest(xs) AS items, unnest(sm) AS v FROM (SELECT {key}, ds, xs,
+  list_transform(range(1, len(xs) + 1), lambda k: list_reduce(xs[1:k], lambda s, x: {2 / 21!r} * x + (1 - {2 / 21!r}) * s)) AS sm FROM (SELECT {key}, list(items ORDER BY target) AS xs, list(target ORDER BY target) AS ds FROM (
+  SELECT g.{key}, g.target, CAST(coalesce(n, 0) AS DOUBLE) AS items FROM (SELECT DISTINCT c.{key}, cal.target FROM ({counts}) c, cal) g LEFT JOIN ({counts}) USING ({key}, target)) GROUP BY 1)))"""
+
+
+B5_BLOCKS = {"surp_sign": 6, "surp_abs": 6, "surp_pct_w": 6, "an_tgt_chg": 4, "tone_mean": 6, "tone_min": 6, "tone_max": 6, "tone_std": 6, "tone_neg_tail": 6, "tone_pos_tail": 6, "news_n": 6, "news_n_abn": 6,
+             "mentions": 6, "mentions_abn": 6, "act_user_abn": 6, "act_assistant_abn": 6, "act_system_abn": 6}
+B5_ZEROS = ("earn", "an_n", "an_up", "an_down", "an_init", "news_raw")
+cte("b5", B5_SQL, "de", "cal", "ext")
+
+
+@query("B5_enriched_exploratory_panel", W("b5", "ev_mt", "news_u", "cal", "forum", "universe", body=f"""SELECT b.symbol, b.target, b.gap, b.label, {', '.join(R(c, d) + f' AS {c}' for c, d in B5_BLOCKS.items())}, CASE WHEN e.an_n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS earn,
+  coalesce(an_n, 0.0) AS an_n, coalesce(an_up, 0.0) AS an_up, coalesce(an_down, 0.0) AS an_down, coalesce(an_init, 0.0) AS an_init, coalesce(news_raw, 0.0) AS news_raw FROM b5 b
+  LEFT JOIN {EV_M} e USING (symbol, target) LEFT JOIN (SELECT symbol, target, (count(*) FILTER (action = 'init'))::DOUBLE AS an_init FROM ev_mt GROUP BY 1, 2) i USING (symbol, target)
+  LEFT JOIN (SELECT symbol, target, avg(tone) AS tone_mean, min(tone) AS tone_min, max(tone) AS tone_max, stddev_samp(tone) AS tone_std, (count(*) FILTER (tone < -5))::DOUBLE AS tone_neg_tail, (count(*) FILTER (tone > 5))::DOUBLE AS tone_pos_tail,
+    sum(copies)::DOUBLE AS news_raw FROM news_u GROUP BY 1, 2) n USING (symbol, target)
+  LEFT JOIN (SELECT symbol, target, items AS news_n, abn AS news_n_abn FROM ({ewm_sql('SELECT symbol, target, count(*) AS n FROM news_u GROUP BY 1, 2', 'symbol')})) na USING (symbol, target)
+  LEFT JOIN (SELECT symbol, target, items AS mentions, abn AS mentions_abn FROM ({ewm_sql(f'SELECT symbol, target, count(*) AS n FROM {FM} GROUP BY 1, 2', 'symbol')})) ma USING (symbol, target)
+  LEFT JOIN (SELECT target, {', '.join(f"max(abn) FILTER (sub = '{s}') AS act_{s}_abn" for s in ('user', 'assistant', 'system'))} FROM ({ewm_sql(f'SELECT sub, target, count(*) AS n FROM {FT} GROUP BY 1, 2', 'sub')}) GROUP BY 1) act USING (target)"""))
 def _(m):
     x = exploratory_panel({"daily": m.daily, "price": m.price}, m.cal, CUTS)
     men, act = forum_counts(m.forum, m.cal, m.universe)
     tot = men.groupBy("symbol", "target").agg(F.sum("mentions").alias("mentions"))
     news = news_features(news_dedup(m.news, m.cal, m.universe))
     keys = ["symbol", "target"]
-    x = (x.join(earnings_features(m.events_month, m.cal), keys, "left").join(analyst_features(m.events_month, m.cal, True), keys, "left")
+    x = (x.join(earnings_features(m.events_month, m.cal, tie="o_orderkey"), keys, "left").join(analyst_features(m.events_month, m.cal, True), keys, "left")
          .join(news.drop("news_n"), keys, "left").join(ewm_abnormal(news.select("symbol", "target", "news_n"), "symbol", "news_n", m.cal), keys, "left")
          .join(ewm_abnormal(tot, "symbol", "mentions", m.cal), keys, "left")
          .join(activity_columns(ewm_abnormal(act, "sub", "items", m.cal), ["user", "assistant", "system"]), "target", "left"))
-    return x.fillna(0, ["earn", "an_n", "an_up", "an_down", "an_init", "news_raw"])
+    x = x.fillna(0, list(B5_ZEROS))
+    return x.select("symbol", "target", r6("gap").alias("gap"), "label", *[r6(c, d).alias(c) for c, d in B5_BLOCKS.items()], *B5_ZEROS)
 
 
 @query("B6_research_columns", W("gap", "tags", body=f"""SELECT g.symbol, g.target, fb_net_r1, fb_n_r1, CAST(NULL AS DOUBLE) AS ann_sign FROM gap g LEFT JOIN (SELECT symbol, target, {R('avg(p_pos - p_neg)')} AS fb_net_r1, count(*) AS fb_n_r1
@@ -287,9 +311,7 @@ def event_sql(name: str) -> str:
 
 
 #: Smoothed forum mentions of a symbol, the day before's smoothing against today's count.
-cte("mabn", f"""SELECT symbol, target, ln(1 + items) - ln(1 + lag(v) OVER (PARTITION BY symbol ORDER BY target)) AS mentions_abn FROM (SELECT symbol, unnest(ds) AS target, unnest(xs) AS items, unnest(sm) AS v FROM (SELECT symbol, ds, xs,
-  list_transform(range(1, len(xs) + 1), lambda k: list_reduce(xs[1:k], lambda s, x: {2 / 21!r} * x + (1 - {2 / 21!r}) * s)) AS sm FROM (SELECT symbol, list(items ORDER BY target) AS xs, list(target ORDER BY target) AS ds FROM (
-  SELECT g.symbol, g.target, CAST(coalesce(n, 0) AS DOUBLE) AS items FROM (SELECT DISTINCT f.symbol, cal.target FROM {FM} f, cal) g LEFT JOIN (SELECT symbol, target, count(*) AS n FROM {FM} GROUP BY ALL) USING (symbol, target)) GROUP BY 1)))""", "forum", "cal", "universe")
+cte("mabn", f"SELECT symbol, target, abn AS mentions_abn FROM ({ewm_sql(f'SELECT symbol, target, count(*) AS n FROM {FM} GROUP BY 1, 2', 'symbol')})", "forum", "cal", "universe")
 cte("evp0", f"""SELECT p.symbol, p.target, p.gap_pct, p.ret_pct, p.label, p.rest, CASE WHEN e.an_n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS earn, surp_sign, coalesce(an_up, 0.0) AS an_up, coalesce(an_down, 0.0) AS an_down, tone_mean, news_abn, mentions_abn,
    t.* EXCLUDE (symbol, target, widx), llm_raw_sign, llm_anon_sign, fb_net_r1 FROM panel p LEFT JOIN {EV_M} e USING (symbol, target) LEFT JOIN txt t USING (symbol, target) LEFT JOIN mabn USING (symbol, target)
    LEFT JOIN (SELECT symbol, target, avg(tone) AS tone_mean FROM news_u GROUP BY 1, 2) n USING (symbol, target)
