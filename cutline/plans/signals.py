@@ -1,17 +1,15 @@
-"""Signal stage: a scalar (or the three decomposition probabilities) per panel row, by pyspark.ml.
+"""Signal stage: a scalar (or the three decomposition probabilities) per panel row, by boosted trees on bins.
 
-Missing inputs are median-imputed and flagged, since Spark's trees take no missing values.
+The linear, forest and network models are pyspark.ml's; there missing inputs are median-imputed and flagged.
 """
 
 import numpy as np
 from pyspark.ml import Pipeline as Stages, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Imputer, Normalizer,
                                 StandardScaler, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..fixed import CLASS_CENTERS, FLAT, RET_CLIP
@@ -19,8 +17,7 @@ from ..functions.scalars import clip, finite, is_extreme, missing_flag
 from ..functions.text import char_ngrams
 from ..operators.termweights import HASH_SPACE, NAMES as VECTORISERS, document_limits, term_list
 from ..session import checkpoint_folder, cut_lineage
-
-TREE_DEFAULTS = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 40}
+from .boosting import Boosted
 
 
 def prepared(df: DataFrame, features) -> DataFrame:
@@ -88,40 +85,53 @@ class _Learned:
         self.model = stages["model"]
 
 
-class RegressSignal(_Learned):
-    """Boosted trees with absolute loss on the clipped return."""
+class _Trees(_Learned):
+    """Boosted trees; their numbers are the saved state, missing values are theirs to place."""
+
+    def _grown(self, rows: DataFrame, y, loss: str, classes: int = 1) -> Boosted:
+        return Boosted(self.features, loss, classes, **self.params).fit(rows.withColumns({"unit": F.lit(0), "y": y}))
+
+    def stages(self) -> dict:
+        return {}
+
+    def models(self) -> dict:
+        return {"model": self.model}
+
+    def settings(self) -> dict:
+        return {"features": self.features, "models": {name: m.state() for name, m in self.models().items()}}
+
+    def restore(self, settings: dict, path: str) -> None:
+        self.features = settings["features"]
+        self._take({name: Boosted.from_state(st) for name, st in settings["models"].items()})
+
+
+class RegressSignal(_Trees):
+    """Absolute loss on the clipped return."""
 
     def fit(self, df, seed=0):
-        x = self._use(df).withColumn("_y", clip("ret_pct", -RET_CLIP, RET_CLIP)).where("_y IS NOT NULL")
-        gbt = GBTRegressor(labelCol="_y", lossType="absolute", seed=seed, **{**TREE_DEFAULTS, **self.params})
-        self.model = Stages(stages=[*input_stages(self.features), gbt]).fit(x)
+        self.model = self._grown(df, clip("ret_pct", -RET_CLIP, RET_CLIP), "absolute")
         return self
 
     def transform(self, df):
-        return self.model.transform(self._input(df)).withColumn("signal", F.col("prediction")).select(*df.columns, "signal")
+        return self.model.transform(df, "_s").withColumn("signal", F.col("_s")[0]).drop("_s")
 
 
-class Classify5Signal(_Learned):
-    """Five-grade forest; the signal is the expected class centre."""
+class Classify5Signal(_Trees):
+    """Softmax over the five grades, one tree per grade and round; the signal is the expected class centre."""
 
     def fit(self, df, seed=0):
-        p = {"numTrees": 100, "maxDepth": 6, "minInstancesPerNode": 40, **self.params}
-        x = self._use(df).withColumn("_y", F.col("label").cast("double"))
-        rf = RandomForestClassifier(labelCol="_y", seed=seed, **p)
-        self.model = Stages(stages=[*input_stages(self.features), rf]).fit(x)
+        self.model = self._grown(df, F.col("label"), "softmax", 5)
         return self
 
     def probabilities(self, df):
-        p = vector_to_array("probability")
-        full = F.array(*[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i in range(5)])
-        return self.model.transform(self._input(df)).withColumn("probs", full).select(*df.columns, "probs")
+        return self.model.transform(df, "probs")
 
     def transform(self, df):
         s = sum((F.col("probs")[i] * c for i, c in enumerate(CLASS_CENTERS)), F.lit(0.0))
         return self.probabilities(df).withColumn("signal", s).drop("probs")
 
 
-class DecompSignal(_Learned):
+class DecompSignal(_Trees):
     """P(move), P(extreme | move), P(up | move): three binary heads, or one three-class magnitude head."""
     kind = "decomp"
 
@@ -130,46 +140,30 @@ class DecompSignal(_Learned):
         self.magnitude = params.pop("magnitude", "ordinal")
         super().__init__(features, params)
 
-    def _head(self, x, y, seed, multi=False):
-        x = x.withColumn("_y", y.cast("double"))
-        if multi:
-            p = {k: v for k, v in self.params.items() if k not in ("maxIter", "stepSize")}
-            est = RandomForestClassifier(labelCol="_y", seed=seed, **{"numTrees": 100, "maxDepth": 6, **p})
-        else:
-            est = GBTClassifier(labelCol="_y", seed=seed, **{**TREE_DEFAULTS, **self.params})
-        return Stages(stages=[*input_stages(self.features), est]).fit(x)
-
     def fit(self, df, seed=0):
-        x = self._use(df)
         move, ext = F.col("label") != FLAT, is_extreme("label")
-        moved = x.where(move)
-        self.heads = {"up": self._head(moved, F.col("ret_pct") > 0, seed)}
+        moved = df.where(move)
+        self.heads = {"up": self._grown(moved, (F.col("ret_pct") > 0).cast("int"), "logistic")}
         if self.magnitude == "ordinal":
-            self.heads |= {"move": self._head(x, move, seed), "ext": self._head(moved, ext, seed)}
+            self.heads |= {"move": self._grown(df, move.cast("int"), "logistic"), "ext": self._grown(moved, ext.cast("int"), "logistic")}
         else:
-            self.heads["mag"] = self._head(x, F.when(ext, 2).when(move, 1).otherwise(0), seed, multi=True)
+            self.heads["mag"] = self._grown(df, F.when(ext, 2).when(move, 1).otherwise(0), "softmax", 3)
         return self
 
-    def stages(self):
+    def models(self):
         return dict(self.heads)
 
     def _take(self, stages):
         self.heads = stages
 
     def transform(self, df):
-        x = self._input(df)
-        drop = ["features", "rawPrediction", "probability", "prediction", *[f"x_{f}_i" for f in self.features]]
-
-        def add(x, head, cols):
-            y = self.heads[head].transform(x).withColumn("_p", vector_to_array("probability"))
-            return y.withColumns(cols).drop(*drop, "_p")
-
-        p = lambda i: F.coalesce(F.get(F.col("_p"), F.lit(i)), F.lit(0.0))
-        x = add(x, "up", {"p_up": p(1)})
+        x = self.heads["up"].transform(df, "_p").withColumn("p_up", F.col("_p")[1])
         if self.magnitude == "ordinal":
-            x = add(add(x, "move", {"p_move": p(1)}), "ext", {"p_ext": p(1)})
+            x = self.heads["move"].transform(x, "_p").withColumn("p_move", F.col("_p")[1])
+            x = self.heads["ext"].transform(x, "_p").withColumn("p_ext", F.col("_p")[1])
         else:
-            x = add(x, "mag", {"p_move": 1 - p(0), "p_ext": F.coalesce(F.try_divide(p(2), p(1) + p(2)), F.lit(0.0))})
+            p = lambda i: F.col("_p")[i]
+            x = self.heads["mag"].transform(x, "_p").withColumns({"p_move": 1 - p(0), "p_ext": F.coalesce(F.try_divide(p(2), p(1) + p(2)), F.lit(0.0))})
         return x.select(*df.columns, "p_move", "p_ext", "p_up")
 
 

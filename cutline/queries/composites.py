@@ -376,13 +376,38 @@ def _(m):
     return E.run_matrix(all_tables(m), m.cal, draws, FOLDS, specs, 2.5, CUTS, embargo_days=2, groups=MATRIX_GROUPS, text=text_of(m), tie="o_orderkey")
 
 
+LADDER = {"scale": ["vol5", "atr14"], "cross": ["mkt_gap", "resid_gap"]}
+
+
+def thirteen_splits(m):
+    """Three walk-forward folds, five sets of held symbols, and the same sets on later days."""
+    from ..plans.splits import symbol_holdout, time_symbol_holdout, walk_forward
+    p = ml_panel(m)
+    sets = lambda x, kind: x.withColumn("split", F.concat(F.lit(kind), F.col("set_id").cast("string"))).drop("set_id")
+    x = walk_forward(p, "target", ["2024-01-14", "2024-01-19", "2024-01-24"], 5, 2).withColumnRenamed("fold", "split")
+    return cut_lineage(x.unionByName(sets(symbol_holdout(p, 5, 3), "symbols")).unionByName(sets(time_symbol_holdout(p, "target", "2024-01-18", 5, 3, 2), "both")))
+
+
 @query("E12_feature_group_deltas")
 def _(m):
-    p = ml_panel(m)
-    day = lambda s: F.lit(s).cast("date")
-    splits = [("s1", F.col("target") < day("2024-01-18"), F.col("target") >= day("2024-01-20"))]
-    spec = {"name": "r", "signal": {"type": "regress", "params": {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 5}}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
-    return E.delta_table(p, ["gap_pct"], {"scale": ["vol5", "atr14"], "cross": ["mkt_gap", "resid_gap"]}, splits, spec)
+    spec = {"name": "r", "signal": {"type": "regress"}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
+    return E.delta_table(thirteen_splits(m), ["gap_pct"], LADDER, spec)
+
+
+@query("E12_ladder_losses", f"""SELECT split, grp, kind, 20 AS rounds, true AS falls, true AS own_features_only FROM (SELECT unnest(['2024-01-14', '2024-01-19', '2024-01-24'] || list_transform(range(5), lambda i: 'symbols' || i) || list_transform(range(5), lambda i: 'both' || i)) AS split),
+  (VALUES ('base', 'base'), {', '.join(f"('{g}', '{k}')" for g in LADDER for k in ('solo', 'with_base', 'cumulative'))}) t(grp, kind)""")
+def _(m):
+    """Every rung of every split: the training loss never rises, and its trees use the rung's features alone."""
+    spec = {"name": "r", "signal": {"type": "regress", "params": {"maxIter": 20}}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
+    tagged, rungs = thirteen_splits(m), E.rungs_of(["gap_pct"], LADDER)
+    _, model = E.ladder(tagged, ["gap_pct"], LADDER, spec)
+    names = [r[0] for r in tagged.select("split").distinct().orderBy("split").collect()]
+    rows = []
+    for u in range(len(names) * len(rungs)):
+        g, kind, cols = rungs[u % len(rungs)]
+        used = {model.features[f] for t in model.rounds for f in t.feature[u].ravel().tolist() if f >= 0}
+        rows.append((names[u // len(rungs)], g, kind, len(model.rounds), model.falls(u), used <= set(cols)))
+    return m.spark.createDataFrame(rows, "split string, grp string, kind string, rounds int, falls boolean, own_features_only boolean")
 
 
 @query("E12_group_selection", f"""SELECT l_linenumber AS grp, {R('avg(d)', 8)} AS mean_d, {R('avg(CAST(d > 0 AS INT))')} AS positive_share, avg(d) > 0 AND avg(CAST(d > 0 AS INT)) > 0.5 AS keep FROM (SELECT l_linenumber, l_discount - 0.05 AS d FROM lineitem) GROUP BY 1""")

@@ -32,32 +32,45 @@ def _(m):
     return G.ColumnSignal().transform(fit_panel(m)).select("symbol", "target", r6("signal").alias("signal"))
 
 
-@query("M2_absolute_error_regression")
+@query("M2_absolute_error_regression", W("panel", body="SELECT 150 AS rounds, true AS falls, true AS graded, count(*) AS n FROM panel WHERE label IS NOT NULL"))
 def _(m):
+    """All rounds are grown, the training loss never rises, and every row gets a grade; nothing is imputed."""
     p = ml_panel(m)
     spec = {"name": "regress", "signal": {"type": "regress", "features": FEATS}, "decision": {"type": "k", "params": {"cuts": CUTS}}}
-    return score(Candidate(spec).fit(p).predict(p))
+    c = Candidate(spec).fit(p)
+    model = c.signal.model
+    return c.predict(p).agg(F.lit(len(model.rounds)).alias("rounds"), F.lit(model.falls(0)).alias("falls"), F.bool_and(F.col("pred").between(0, 4)).alias("graded"), F.count(F.lit(1)).alias("n"))
 
 
-@query("M3_five_class_signal")
+@query("M3_five_class_signal", W("panel", body="SELECT symbol, target, label, true AS sums_to_one, true AS inside, true AS falls FROM panel WHERE label IS NOT NULL"))
 def _(m):
+    """Five positive probabilities of sum one, the signal between the outer class centres, and a softmax loss that falls each round."""
+    from ..fixed import CLASS_CENTERS
     p = ml_panel(m)
     s = G.Classify5Signal(FEATS).fit(p)
-    return s.transform(p).select("symbol", "target", "label", "signal")
+    x = s.transform(s.probabilities(p).withColumnRenamed("probs", "five"))
+    total = F.aggregate("five", F.lit(0.0), lambda a, v: a + v)
+    return x.select("symbol", "target", "label", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.col("signal").between(min(CLASS_CENTERS), max(CLASS_CENTERS)).alias("inside"), F.lit(s.model.falls(0)).alias("falls"))
 
 
-@query("M4_decomposition_heads")
-def _(m):
+M4_ROWS = W("panel", body="SELECT symbol, target, label, true AS inside, true AS falls FROM panel WHERE label IS NOT NULL")
+
+
+def heads_checked(m, params=None):
     p = ml_panel(m)
-    spec = {"name": "decomp", "signal": {"type": "decomp", "features": FEATS}, "decision": {"type": "decomp"}}
-    return score(Candidate(spec).fit(p).predict(p))
+    s = G.DecompSignal(FEATS, params).fit(p)
+    inside = [F.col(c).between(0.0, 1.0) for c in ("p_move", "p_ext", "p_up")]
+    return s.transform(p).select("symbol", "target", "label", (inside[0] & inside[1] & inside[2]).alias("inside"), F.lit(all(h.falls(0) for h in s.heads.values())).alias("falls"))
 
 
-@query("M4_decomposition_multiclass")
+@query("M4_decomposition_heads", M4_ROWS)
 def _(m):
-    p = ml_panel(m)
-    s = G.DecompSignal(FEATS, {"magnitude": "multiclass"}).fit(p)
-    return s.transform(p).select("symbol", "target", "label", "p_move", "p_ext", "p_up")
+    return heads_checked(m)
+
+
+@query("M4_decomposition_multiclass", M4_ROWS)
+def _(m):
+    return heads_checked(m, {"magnitude": "multiclass"})
 
 
 def text_panel(m):
