@@ -14,15 +14,15 @@ from ..plans.events import EVENTS, event_class, with_quartiles
 from ..plans.panel import (attach_research, build_panel, daily_block, exploratory_panel, label_panel, one_target,
                            score_features, universe_panel)
 from ..session import cut_lineage
-from ..sources.market import CUTS
-from .aggregates import EVS, FM, FT, LEXQ, WL, annotations, votes
+from ..sources.market import ALIASES, CUTS, SYMBOLS
+from .aggregates import EVS, FM, FT, LEXQ, WL
 from .base import R, W, block_sql, clip_sql, cte, grade_sql, query
 from .joins import articles, gap_rows
 from .models import labelled_sequences, ml_panel
 from .rules import KG, k_spec, weighted_score_sql
 from .scans import SCORES_SQL, scores_of
 from .sorts import H
-from .text import NT
+from .text import ANON, NT, OWN, OWN_ROWS, TIDY
 from .windows import SEQ_LIST, fold_sql, roll_sql, weighted_sums, weighted_sums_sql
 
 r6 = C.r6
@@ -213,42 +213,74 @@ def _(m):
     return x.withColumn("fb_net_r1", r6("fb_net_r1"))
 
 
-VOTE = "(SELECT doc_id, CASE WHEN quality + toxic + (quality + toxic) % 2 >= 2 THEN 'positive' ELSE 'negative' END AS silver FROM labels)"
-POL = "CASE WHEN tone > 1 THEN 'positive' WHEN tone < -1 THEN 'negative' ELSE 'neutral' END"
+#: What stands in for outside annotators here: answers that follow from the very text they are shown, so masked and unmasked titles are answered apart.
+MASKED = TIDY.replace("{0}", ANON)
+TARGET_MASKED = TIDY.replace("{0}", "regexp_replace(regexp_replace(title, p, '[TARGET]', 'g'), '" + "|".join(OWN[s] for s in ALIASES) + "', '[OTHER]', 'g')")
+CLASSES = ("negative", "neutral", "positive")
+VOTE_SQL = lambda i: f"['negative', 'neutral', 'positive'][{H(repr(str(i)), 'masked')} % 3 + 1]"
 
 
-@query("B7_annotation_quality", W("news", body=f"""SELECT count(*) AS n, {R('avg(CAST(pol = silver AS INT))')} AS accuracy, {R("avg(CAST(pol = 'positive' AS INT)) FILTER (silver = 'positive')")} AS recall_positive,
-  {R("avg(CAST(pol = 'negative' AS INT)) FILTER (silver = 'negative')")} AS recall_negative, {R("avg(CAST(silver = 'positive' AS INT))")} AS share_positive FROM (SELECT doc_id, {POL} AS pol, silver FROM news JOIN {VOTE} USING (doc_id))"""))
+@query("B7_annotation_quality", W("arts", body=f"""SELECT rel, count(*) AS n, {R('avg(CAST(v1 = v2 AS INT))')} AS agreement, {R('avg(CAST(pol = silver AS INT))')} AS accuracy, {R("avg(CAST(pol = 'positive' AS INT)) FILTER (silver = 'positive')")} AS recall_positive,
+  {R("avg(CAST(pol = 'negative' AS INT)) FILTER (silver = 'negative')")} AS recall_negative, {R("avg(CAST(silver = 'positive' AS INT))")} AS share_positive FROM (
+  SELECT *, CASE WHEN tone > 1 THEN 'positive' WHEN tone < -1 THEN 'negative' ELSE 'neutral' END AS pol, CASE WHEN v1 = v2 OR v1 = v3 THEN v1 WHEN v2 = v3 THEN v2 ELSE least(v1, v2, v3) END AS silver FROM (
+  SELECT *, {', '.join(f'{VOTE_SQL(i)} AS v{i}' for i in (1, 2, 3))} FROM (SELECT rel, tone, {TARGET_MASKED} AS masked FROM (SELECT * FROM (SELECT title_id, symbol, rel, min(title) AS title, avg(tone) AS tone FROM arts WHERE is_template = 0 GROUP BY 1, 2, 3)
+   QUALIFY row_number() OVER (PARTITION BY rel ORDER BY {H("'7'", 'title_id', 'symbol')}, title_id, symbol) <= 40) JOIN (VALUES {OWN_ROWS}) t(s, p) ON s = symbol))) GROUP BY 1"""))
 def _(m):
-    v = majority_vote(votes(m), "doc_id", ["v1", "v2", "v3"]).select("doc_id", F.when(F.col("vote") == 1, "positive").otherwise("negative").alias("silver"))
-    x = m.news.select("doc_id", N.polarity("tone", 1, -1).alias("pol")).join(v, "doc_id")
+    """A sample of titles per relevance tier, masked for their company, answered three times; tone against the majority."""
+    from pyspark.sql import Window as SW
+    from ..plans.anonymise import anonymise_target
+    a = articles(m).where("is_template = 0").groupBy("title_id", "symbol", "rel").agg(F.min("title").alias("title"), F.avg("tone").alias("tone"))
+    w = SW.partitionBy("rel").orderBy(C.hash_int(7, "title_id", "symbol"), "title_id", "symbol")
+    a = a.withColumn("_r", F.row_number().over(w)).where("_r <= 40").drop("_r")
+    x = anonymise_target(a, "title", "symbol", SYMBOLS, ALIASES)
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    x = x.withColumns({f"v{i}": F.get(names, (C.hash_int(i, "masked") % 3).cast("int")) for i in (1, 2, 3)}).withColumn("id", F.concat_ws("|", "title_id", "symbol", F.col("rel").cast("string")))
+    x = majority_vote(x, "id", ["v1", "v2", "v3"], "silver").withColumn("pol", N.polarity("tone", 1, -1))
     mt = N.class_metrics("pol", "silver", ("negative", "positive"))
-    return x.agg(F.count(F.lit(1)).alias("n"), r6(mt["accuracy"]).alias("accuracy"), r6(mt["recallpositive"]).alias("recall_positive"),
-                 r6(mt["recallnegative"]).alias("recall_negative"), r6(mt["sharepositive"]).alias("share_positive"))
+    return x.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), r6(N.agreement("v1", "v2")).alias("agreement"), r6(mt["accuracy"]).alias("accuracy"), r6(mt["recallpositive"]).alias("recall_positive"),
+                                r6(mt["recallnegative"]).alias("recall_negative"), r6(mt["sharepositive"]).alias("share_positive"))
 
 
-@query("B8_placebo_hit_rates", W("news", body=f"""SELECT variant, count(*) AS n, {R('avg(CAST(gy = year(known_at) AS INT))')} AS year_acc, {R('avg(CAST(gy = year(known_at) AND gm = month(known_at) AS INT))')} AS year_month_acc FROM (
-  SELECT known_at, 'raw' AS variant, 2024 AS gy, doc_id % 3 AS gm FROM news UNION ALL SELECT known_at, 'anon', 2023 + doc_id % 2, doc_id % 5 FROM news) GROUP BY 1"""))
+GUESSES = lambda h: f"CASE {h} % 4 WHEN 0 THEN 2023 WHEN 1 THEN NULL ELSE 2024 END AS gy, {h} % 3 + 1 AS gm"
+
+
+@query("B8_placebo_hit_rates", W("arts", body=f"""SELECT variant, count(*) AS n, {R('avg(CAST(gy = year(known_at) AS INT))')} AS year_acc, {R('avg(CAST(gy = year(known_at) AND gm = month(known_at) AS INT))')} AS year_month_acc FROM (
+  SELECT variant, known_at, {GUESSES(H('shown'))} FROM (SELECT known_at, unnest(['raw', 'anon']) AS variant, unnest([title, {MASKED}]) AS shown FROM (SELECT title_id, min(title) AS title, min(known_at) AS known_at FROM arts WHERE is_template = 0 AND rel >= 1 GROUP BY 1
+   QUALIFY row_number() OVER (ORDER BY {H("'5'", 'title_id')}, title_id) <= 100))) WHERE gy IS NOT NULL GROUP BY 1"""))
 def _(m):
-    d = F.col("doc_id")
-    guess = F.array(F.struct(F.lit("raw").alias("variant"), F.lit(2024).cast("long").alias("gy"), (d % 3).alias("gm")),
-                    F.struct(F.lit("anon").alias("variant"), (2023 + d % 2).alias("gy"), (d % 5).alias("gm")))
-    return N.placebo_rates(m.news.select("known_at", F.inline(guess)), "known_at", "gy", "gm")
+    """A sample of distinct titles, shown as they are and masked, and the dates guessed from what is shown."""
+    from ..sources.tables import hash_sample
+    from ..plans.anonymise import anonymise
+    t = articles(m).where("is_template = 0 AND rel >= 1").groupBy("title_id").agg(F.min("title").alias("title"), F.min("known_at").alias("known_at"))
+    t = hash_sample(t, "title_id", 100, 5)
+    shown = F.array(F.struct(F.lit("raw").alias("variant"), F.col("title").alias("shown")), F.struct(F.lit("anon").alias("variant"), anonymise("title", ALIASES).alias("shown")))
+    x = t.select("known_at", F.inline(shown))
+    h = C.hash_int("shown")
+    year = F.when(h % 4 == 0, 2023).when(h % 4 != 1, 2024)
+    return N.placebo_rates(x.withColumns({"gy": year, "gm": h % 3 + 1}), "known_at", "gy", "gm")
 
 
-SGN = "(CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END + CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END)"
+SIGN_OF = lambda h: f"sign(CASE {h} % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END + CASE ({h} // 3) % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END)"
+cte("anns", f"""SELECT symbol, target, sign(sum({SIGN_OF('hr')})) AS raw, sign(sum({SIGN_OF('ha')})) AS anon, avg((hr // 12) % 4) AS sev_raw, avg((ha // 12) % 4) AS sev_anon, count(*) AS n
+  FROM (SELECT symbol, target, {H('title')} AS hr, {H(MASKED)} AS ha FROM tags) GROUP BY 1, 2""", "tags")
 
 
 def annotation_signs(m):
-    """Annotation features of the raw and of the anonymised records."""
-    a = annotations(m)
-    blank = F.to_json(F.struct(F.lit("none").alias("earnings_result"), F.lit("none").alias("guidance_action"), F.lit("none").alias("analyst_action"), F.lit(0).alias("severity"), F.lit(0).alias("unexpectedness")))
-    anon = a.withColumn("record", F.when(F.col("doc_id") % 2 == 0, F.col("record")).otherwise(blank))
-    return tuple(N.news_annotation_features(x, "record") for x in (a, anon))
+    """Annotation features of the records of the titles as they are and of the masked titles."""
+    from ..plans.anonymise import anonymise
+    n = assign_window(m.news, m.cal, "known_at").select("symbols", "target", "title", anonymise("title", ALIASES).alias("masked"))
+
+    def record(text):
+        h = C.hash_int(text)
+        pick = lambda v, up, down: F.when(v == 0, up).when(v == 1, down).otherwise("none")
+        part = lambda size: F.floor(h / size)
+        return F.to_json(F.struct(pick(h % 3, "beat", "miss").alias("earnings_result"), pick(part(3) % 4, "raise", "cut").alias("guidance_action"), F.lit("none").alias("analyst_action"),
+                                  (part(12) % 4).cast("int").alias("severity"), (part(48) % 3).cast("int").alias("unexpectedness")))
+    x = tagged(n.select("symbols", "target", record("title").alias("raw"), record("masked").alias("anon")), m.universe)
+    return tuple(N.news_annotation_features(x, v) for v in ("raw", "anon"))
 
 
-@query("B9_variant_errors", W("tags", body=f"""SELECT {R('avg(abs(raw - anon))')} AS mae_sign, {R('avg(abs(sev_raw - sev_anon))')} AS mae_severity, count(*) AS n FROM (SELECT sign(sum(sign({SGN}))) AS raw, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS anon,
-  avg(doc_id % 4) AS sev_raw, avg(CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 ELSE 0 END) AS sev_anon FROM tags GROUP BY symbol, target)"""))
+@query("B9_variant_errors", W("anns", body=f"SELECT {R('avg(abs(raw - anon))')} AS mae_sign, {R('avg(abs(sev_raw - sev_anon))')} AS mae_severity, count(*) AS n FROM anns"))
 def _(m):
     from ..operators.joins import join_variants
     raw, anon = (x.select("symbol", "target", "sign", "severity") for x in annotation_signs(m))
@@ -256,8 +288,7 @@ def _(m):
     return x.select(r6("mae_sign_raw").alias("mae_sign"), r6("mae_severity_raw").alias("mae_severity"), "n")
 
 
-@query("B9_variant_comparison", W("tags", "panel", body=f"""WITH v AS (SELECT symbol, target, sign(sum(sign({SGN}))) AS raw, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS anon FROM tags GROUP BY 1, 2)
-  SELECT (sign(v.raw) * sign(gap_pct))::INT AS agree, count(*) AS n, {R('avg(rest)')} AS rest_mean, {R('avg(CAST(v.raw = v.anon AS INT))')} AS sign_agreement FROM v JOIN panel p USING (symbol, target) GROUP BY 1"""))
+@query("B9_variant_comparison", W("anns", "panel", body=f"""SELECT (sign(v.raw) * sign(gap_pct))::INT AS agree, count(*) AS n, {R('avg(rest)')} AS rest_mean, {R('avg(CAST(v.raw = v.anon AS INT))')} AS sign_agreement FROM anns v JOIN panel p USING (symbol, target) GROUP BY 1"""))
 def _(m):
     from ..operators.joins import join_variants
     raw, anon = (x.select("symbol", "target", "sign") for x in annotation_signs(m))
@@ -317,8 +348,8 @@ cte("evp0", f"""SELECT p.symbol, p.target, p.gap_pct, p.ret_pct, p.label, p.rest
    LEFT JOIN (SELECT symbol, target, avg(tone) AS tone_mean FROM news_u GROUP BY 1, 2) n USING (symbol, target)
    LEFT JOIN (SELECT symbol, target, {abnormal_sql('n')} AS news_abn FROM (SELECT g.*, coalesce(n, 0.0) AS n FROM grid g LEFT JOIN (SELECT symbol, target, count(*)::DOUBLE AS n FROM news_u GROUP BY 1, 2) USING (symbol, target))
      WINDOW w AS (PARTITION BY symbol ORDER BY widx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) na USING (symbol, target)
-   LEFT JOIN (SELECT symbol, target, sign(sum(sign({SGN}))) AS llm_raw_sign, sign(sum(CASE WHEN doc_id % 2 = 0 THEN sign({SGN}) ELSE 0 END)) AS llm_anon_sign FROM tags GROUP BY 1, 2) a USING (symbol, target)
-   LEFT JOIN (SELECT symbol, target, avg(p_pos - p_neg) AS fb_net_r1 FROM tags JOIN ({SCORES_SQL}) ON doc_id = title_id GROUP BY 1, 2) f USING (symbol, target)""", "panel", "ev_mt", "txt", "mabn", "news_u", "grid", "tags")
+   LEFT JOIN (SELECT symbol, target, raw AS llm_raw_sign, anon AS llm_anon_sign FROM anns) a USING (symbol, target)
+   LEFT JOIN (SELECT symbol, target, avg(p_pos - p_neg) AS fb_net_r1 FROM tags JOIN ({SCORES_SQL}) ON doc_id = title_id GROUP BY 1, 2) f USING (symbol, target)""", "panel", "ev_mt", "txt", "mabn", "news_u", "grid", "tags", "anns")
 cte("evp", "SELECT *, " + ", ".join(f"list_sort(list_distinct((SELECT quantile_cont({c}, [0, 0.25, 0.5, 0.75, 1]) FROM evp0 WHERE {c} IS NOT NULL))) AS {c}_e" for c in ("news_abn", "mentions_abn")) + " FROM evp0", "evp0")
 EVENT_ROWS = "SELECT *, unnest([" + ", ".join(f"struct_pack(event := '{n}', category := {event_sql(n)})" for n in EVENTS) + "], recursive := true) FROM evp"
 

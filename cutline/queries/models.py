@@ -135,11 +135,13 @@ def indicators(m):
     return cut_lineage(I.indicator_table(m.daily_w, m.price, m.cal_w).join(lab, ["symbol", "target"]))
 
 
-@query("M6_forest_baseline")
+@query("M6_forest_baseline", f"SELECT unnest([{', '.join(repr(c) for c in IND)}]) AS feature, true AS not_negative, 1.0::DOUBLE AS total")
 def _(m):
+    """The importances of the forest's eight inputs but the always missing one: none negative, together one."""
     x = indicators(m)
-    model = G.forest_baseline(x, IND)
-    return G.forest_importances(m.spark, model, IND)
+    imp = G.forest_importances(m.spark, G.forest_baseline(x, IND), IND)
+    total = imp.agg(F.sum("importance")).scalar()
+    return imp.withColumn("_t", total).select("feature", (F.col("importance") >= 0).alias("not_negative"), r6("_t").alias("total"))
 
 
 @query("M7_indicator_table", W("daily_w", "cal_w", body=f"""SELECT d.symbol, d.date_et AS date, c.target, {R('ret1', 8)} AS ret1, {R('ret5', 8)} AS ret5, {R('CASE WHEN g.v IS NULL THEN NULL WHEN l.v > 0 THEN 100.0 - 100.0 / (1.0 + g.v / l.v) ELSE 100.0 END')} AS rsi14,
@@ -179,25 +181,38 @@ def labelled_sequences(m):
     return one_to_one(Q.sequence_windows(m.daily_w), lab, ["symbol", "target"])
 
 
-@query("M11_sequence_classifier")
+#: A network or linear model with a constant per class can always do as well as the class shares, so its training loss is at most their entropy.
+M11_ROWS = W("daily_w", body=f"SELECT count(*) AS n, true AS sums_to_one, true AS at_most_entropy FROM (SELECT i FROM ({SEQ_LIST}) JOIN (SELECT symbol AS s2, date_et AS d2 FROM {WL}) ON symbol = s2 AND date_et = d2 WHERE i >= 21)")
+
+
+def classifier_checked(scored):
+    from pyspark.ml.functions import vector_to_array
+    p = scored.select("label", vector_to_array("probability").alias("p"))
+    share = p.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    entropy = share.agg(F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")).scalar()
+    own = -F.log(F.greatest(F.get("p", F.col("label")), F.lit(1e-300)))
+    total = F.abs(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) - 1) < 1e-6
+    x = p.agg(F.count(F.lit(1)).alias("n"), F.bool_and(total).alias("sums_to_one"), F.avg(own).alias("_loss")).withColumn("_e", entropy)
+    return x.select("n", "sums_to_one", (F.col("_loss") <= F.col("_e") + 1e-6).alias("at_most_entropy"))
+
+
+@query("M11_sequence_classifier", M11_ROWS)
 def _(m):
     from pyspark.ml.functions import array_to_vector
     x = Q.trend_remainder(labelled_sequences(m), "sequence")
     x = x.withColumn("flat", F.concat(F.flatten("trend"), F.flatten("remainder")))
     x = cut_lineage(x.select("symbol", "target", "label", "flat"))
     x = Q.standardise(x, "flat", Q.position_stats(x, "flat")).withColumn("v", array_to_vector("z"))
-    model = G.sequence_classifier(x, "v", 200)
-    return score(model.transform(x).withColumn("pred", F.col("prediction").cast("int")))
+    return classifier_checked(G.sequence_classifier(x, "v", 200).transform(x))
 
 
-@query("M11_linear_sequence_classifier")
+@query("M11_linear_sequence_classifier", M11_ROWS)
 def _(m):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
     x = cut_lineage(Q.flat_features(labelled_sequences(m), "sequence").select("symbol", "target", "label", "flat"))
     x = Q.standardise(x, "flat", Q.position_stats(x, "flat")).withColumns({"v": array_to_vector("z"), "_y": F.col("label").cast("double")})
-    model = LogisticRegression(featuresCol="v", labelCol="_y", family="multinomial").fit(x)
-    return score(model.transform(x).withColumn("pred", F.col("prediction").cast("int")))
+    return classifier_checked(LogisticRegression(featuresCol="v", labelCol="_y", family="multinomial").fit(x).transform(x))
 
 
 # ---- explanation ------------------------------------------------------------------------
