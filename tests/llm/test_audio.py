@@ -87,3 +87,31 @@ def test_tensors_have_arrow_s_fixed_shape(spark):
     assert tensors.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (8, 16), dim_names=["time", "mel"])
     assert all(0 <= b < e for b, e in zip(tensors.column("begin").to_pylist(), tensors.column("end").to_pylist()))
     assert A.features(A.store(docs.where("false"))).count() == 0
+
+
+def test_log_mel_equals_its_definition():
+    s = A.Settings()
+    x = np.random.default_rng(5).integers(0, 256, 900).astype(np.uint8)
+    got = A.log_mel(x, s)
+    y = A.resampled(x, 0, x.size * 5 // 8, 5, 8, s.taps)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    back = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [back(mel(s.target_rate / 2) * k / (s.bands + 1)) for k in range(s.bands + 2)]
+    for frame in (0, 3, len(got) - 1):
+        part = [float(y[frame * s.hop + n]) * (0.5 - 0.5 * np.cos(2 * np.pi * n / (s.window - 1))) for n in range(s.window)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * n / s.window) for n, v in enumerate(part))) ** 2 for k in range(s.window // 2 + 1)]
+        for band in range(s.bands):
+            low, middle, high = edges[band:band + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                f = k * s.target_rate / s.window
+                total += p * max(0.0, min((f - low) / (middle - low), (high - f) / (high - middle)))
+            assert abs(got[frame, band] - np.log(total + 1e-6)) < 1e-3
+
+
+def test_an_empty_table_a_null_id_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(None, "no id", "x"), (None, "no id", "x"), (1, "long " * 60_000, "x")], "doc_id long, text string, frames string")
+    assert A.features(A.store(docs.where("false"))).count() == 0
+    rows = A.features(A.store(docs)).collect()
+    assert sorted(r.n_bytes for r in rows) == [5, 5, 300_000]
+    assert len({r.payload_sha256 for r in rows if r.doc_id is None}) == 1

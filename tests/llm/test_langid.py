@@ -87,3 +87,35 @@ def test_clear_texts_stay_and_unclear_ones_go(spark, names):
     kept = {r.doc_id for r in P.language_id(spark, docs, "").collect()}
     assert len([r for r in rows if r[0] in kept]) >= .98 * len(rows)
     assert len([r for r in odd if r[0] in kept]) <= 4
+
+
+def plain_match(t, row):
+    """Winner, score and smallest margin of a tournament, machine by machine."""
+    if not t.pairs:
+        return 0, 1.0
+    wins, width, log = [0] * len(t.names), [0.0] * len(t.names), [0.0] * len(t.names)
+    for (a, b), w in zip(t.pairs, t.weights):
+        m = float(np.dot(row.astype(float), w[:-1].astype(float)) + w[-1])
+        wins[a if m >= 0 else b] += 1
+        for side, signed in ((a, m), (b, -m)):
+            width[side] += signed
+            log[side] -= np.log1p(np.exp(-3.0 * signed))
+    best = max(range(len(t.names)), key=lambda k: (wins[k], width[k], -k))
+    return best, float(np.exp(log[best]))
+
+
+def test_predictions_equal_a_plain_tournament(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_languages(docs)
+    rows = docs.where("doc_id < 200").select("doc_id", "text").collect() + [(9001, None), (9002, " 12 "), (9003, "der die das und " * 30_000)]
+    some = spark.createDataFrame([(*r, "en", 5.0) for r in rows], "doc_id long, text string, lang_pred string, lang_score double")
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in identify(some, model).collect()}
+    for doc, text in rows:
+        x, has = features([text or ""])
+        if not has[0]:
+            assert got[doc] == ("und", 0.0)
+            continue
+        f, outer = plain_match(model.families, x[0])
+        own = model.inside[model.families.names[f]]
+        k, inner = plain_match(own, x[0])
+        assert got[doc][0] == own.names[k] and abs(got[doc][1] - outer * inner) < 1e-4, doc

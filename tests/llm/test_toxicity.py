@@ -44,3 +44,41 @@ def test_one_class_and_odd_rows(spark):
     assert {r.score for r in T.score_toxicity(docs, model).collect()} <= {0.0, 1.0}
     assert T.score_toxicity(docs, T.fit_toxicity(docs, labels.where("false"))).where("score = 0").count() == 4
     assert T.score_toxicity(docs.where("false"), model).count() == 0
+
+
+def grown(node):
+    """A tree of the library's model as nested tuples."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return node.prediction()
+    return node.split().featureIndex(), node.split().threshold(), grown(node.leftChild()), grown(node.rightChild())
+
+
+def walked(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_scores_equal_trees_and_curve_walked_by_hand(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = T.fit_toxicity(docs, labels)
+    trees = [(w, grown(t._call_java("rootNode"))) for w, t in zip(model.trees.treeWeights, model.trees.trees)]
+    edges, values = model.curve.boundaries.toArray(), model.curve.predictions.toArray()
+    rows = docs.where("doc_id < 150").select("doc_id", "text").collect() + [(9001, None), (9002, ""), (9003, "you stupid idiot " * 20_000)]
+    some = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, x string, score double")
+    got = {r.doc_id: r.score for r in T.score_toxicity(some, model).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        x = T.features(text or "", model.lexicon)
+        raw = round(1 / (1 + np.exp(-2 * sum(w * walked(t, x) for w, t in trees))) * T.BINS) / T.BINS
+        want = min(max(float(np.interp(raw, edges, values)), 0.0), 1.0)
+        near = [min(max(float(np.interp(raw + d / T.BINS, edges, values)), 0.0), 1.0) for d in (-1, 1)]  # a half may round either way
+        assert min(abs(got[doc] - v) for v in (want, *near)) < 1e-9, doc
+
+
+def test_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = T.fit_toxicity(docs, labels)
+    assert T.score_toxicity(docs, model).count() == 0
+    assert T.score_toxicity(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string"), model).count() == 2
