@@ -9,6 +9,7 @@ from ..functions.text import (clean_title, cluster_key, event_flags, is_template
 from ..session import cut_lineage, local_table
 from .calendar import assign_window, dense_grid
 from .events import abnormal_counts, tagged
+from .membership import may_be_in, word_filter
 
 
 # ---- company mentions ---------------------------------------------------------
@@ -28,10 +29,11 @@ def mention_patterns(spark: SparkSession, symbols, aliases: dict) -> DataFrame:
 def with_mentions(df: DataFrame, title: str, patterns: DataFrame, out: str = "mentioned") -> DataFrame:
     """Distinct companies named in the title, as a sorted array (empty for a missing title).
 
-    Words meet the patterns' tokens under a hash of the title, so the text itself is neither copied nor shuffled for
-    that; the few candidates come back to the row, where the regex decides. The planner decides by size how the patterns travel."""
+    Words that a filter of the patterns' tokens lets pass meet the tokens under a hash of the title, so neither the text nor its other
+    words are copied or shuffled for that; the few candidates come back to the row, where the regex decides. The planner decides by size how the patterns travel."""
     key = F.xxhash64(title).alias("_title")
-    words = df.select(key, F.explode(F.array_distinct(tokens(F.lower(title), r"(?U)\w+"))).alias("token"))
+    own = df.select(key, F.array_distinct(tokens(F.lower(title), r"(?U)\w+")).alias("_words")).withColumn("_held", word_filter(patterns, "token"))
+    words = own.select("_title", F.explode(F.filter("_words", lambda w: may_be_in(w, F.col("_held")))).alias("token"))
     named = words.join(patterns, "token").groupBy("_title").agg(F.collect_set(F.struct("mentioned", "pattern")).alias("_who"))
     x = df.withColumn("_title", key).join(named, "_title", "left")
     hits = F.filter("_who", lambda e: F.rlike(F.col(title), e["pattern"]))
@@ -55,17 +57,19 @@ def article_table(news: DataFrame, cal: DataFrame, universe: DataFrame, patterns
 
 # ---- lexicon tone ---------------------------------------------------------------
 def lexicon_scores(titles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(title_id, lm_net, lm_unc). A positive word within three words after a negator counts as
+    """(title_id, lm_net, lm_unc). Only words that a filter of the lexicon lets pass become rows. A positive word within three words after a negator counts as
     negative; a title without words scores NULL."""
     words = F.transform(tokens("title", LEXICON_TOKEN_RX), F.upper)
     neg = F.array(*[F.lit(v.upper()) for v in NEGATORS])
     t = titles.select("title_id", words.alias("_w")).withColumn("n_words", F.size("_w"))
-    pos = F.transform(F.col("_w"), lambda x, i: F.struct(
-        x.alias("word"), F.arrays_overlap(F.slice("_w", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), neg)
+    placed = F.transform("_w", lambda x, i: F.struct(x.alias("word"), i.alias("i")))
+    some = F.filter(placed, lambda e: may_be_in(e["word"], F.col("_held")))
+    pos = F.transform(some, lambda e: F.struct(
+        e["word"].alias("word"), F.arrays_overlap(F.slice("_w", F.greatest(e["i"] - 2, F.lit(1)), F.least(e["i"], F.lit(3))), neg)
         .alias("negated")))
     flags = (lexicon.groupBy("word").agg(*[F.max((F.col("category") == c).cast("int")).alias(c)
                                            for c in ("positive", "negative", "uncertainty")]))
-    hits = (t.select("title_id", F.explode(pos).alias("t")).select("title_id", "t.*").join(flags, "word")
+    hits = (t.withColumn("_held", word_filter(lexicon, "word")).select("title_id", F.explode(pos).alias("t")).select("title_id", "t.*").join(flags, "word")
             .groupBy("title_id").agg(
                 F.sum(F.when(F.col("positive") == 1, F.when(F.col("negated"), -1).otherwise(1))
                       .when(F.col("negative") == 1, -1).otherwise(0)).alias("_net"),
