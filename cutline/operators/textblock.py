@@ -57,7 +57,7 @@ def article_table(news: DataFrame, cal: DataFrame, universe: DataFrame, patterns
 
 # ---- lexicon tone ---------------------------------------------------------------
 def lexicon_scores(titles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(title_id, lm_net, lm_unc). Only words that a filter of the lexicon lets pass become rows. A positive word within three words after a negator counts as
+    """(title_id, lm_net, lm_unc), one row per title_id. Only words that a filter of the lexicon lets pass become rows. A positive word within three words after a negator counts as
     negative; a title without words scores NULL."""
     words = F.transform(tokens("title", LEXICON_TOKEN_RX), F.upper)
     neg = F.array(*[F.lit(v.upper()) for v in NEGATORS])
@@ -69,15 +69,12 @@ def lexicon_scores(titles: DataFrame, lexicon: DataFrame) -> DataFrame:
         .alias("negated")))
     flags = (lexicon.groupBy("word").agg(*[F.max((F.col("category") == c).cast("int")).alias(c)
                                            for c in ("positive", "negative", "uncertainty")]))
-    hits = (t.withColumn("_held", word_filter(lexicon, "word")).select("title_id", F.explode(pos).alias("t")).select("title_id", "t.*").join(flags, "word")
-            .groupBy("title_id").agg(
-                F.sum(F.when(F.col("positive") == 1, F.when(F.col("negated"), -1).otherwise(1))
-                      .when(F.col("negative") == 1, -1).otherwise(0)).alias("_net"),
-                F.sum("uncertainty").alias("_unc")))
-    return t.join(hits, "title_id", "left").select(
-        "title_id",
-        F.try_divide(F.coalesce("_net", F.lit(0)).cast("double"), F.col("n_words")).alias("lm_net"),
-        F.try_divide(F.coalesce("_unc", F.lit(0)).cast("double"), F.col("n_words")).alias("lm_unc"))
+    one = F.when(F.col("positive") == 1, F.when(F.col("negated"), -1).otherwise(1)).when(F.col("negative") == 1, -1).otherwise(0)
+    # the text is cut into words once: a title without a word of the lexicon stays as one row
+    rows = t.withColumn("_held", word_filter(lexicon, "word")).select("title_id", "n_words", F.explode_outer(pos).alias("t")).select("title_id", "n_words", "t.*")
+    return rows.join(flags, "word", "left").groupBy("title_id").agg(
+        F.try_divide(F.coalesce(F.sum(one), F.lit(0)).cast("double"), F.max("n_words")).alias("lm_net"),
+        F.try_divide(F.coalesce(F.sum("uncertainty"), F.lit(0)).cast("double"), F.max("n_words")).alias("lm_unc"))
 
 
 # ---- story clusters ---------------------------------------------------------------
