@@ -36,7 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, keeps column pruning, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: what was made from them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.written_at).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def local_path(uri: str) -> str:
@@ -101,12 +111,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     links = written(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = written(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     while True:
-        heard = (links.join(labels, "u").groupBy("v").agg(F.min("label").alias("heard"))
+        before = labels
+        heard = (links.join(labels.select("u", "label"), "u").groupBy("v").agg(F.min("label").alias("heard"))
                  .withColumnRenamed("v", "u"))
-        hooked = written(labels.join(heard, "u").select("u", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "hooked")
+        hooked = written(labels.select("u", "label").join(heard, "u").select("u", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "hooked")
         target = hooked.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
         labels = written(hooked.join(target, "label").select("u", F.least("label", "beyond").alias("label"),
                                                             (F.least("label", "beyond") < F.col("was")).alias("moved")), "labels")
+        drop_written(before, hooked)
         if not labels.where("moved").limit(1).count():
+            drop_written(links)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-        labels = labels.select("u", "label")
