@@ -14,7 +14,7 @@ from .common import texts_of, written
 RUN = "a-zÀ-ÿ"    # letters of a lower-cased run
 BLOCK = 1 << 15             # words of one index; a bucket of more is cut into parts that each of its words visits
 HELD = 300_000              # words a task counts before it hands them on
-QUERIES = 4096              # words searched at once
+QUERIES = 1024              # words searched at once
 STEP = 64                   # positions between the stored ranks of an index
 SIGMA = 92                  # end of text, delimiter, a-z, U+00C0-U+00FF
 END, MARK = 0, 1
@@ -196,6 +196,7 @@ def near_words(vocabulary: DataFrame, min_length: int) -> DataFrame:
         dealt = (keyed.join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("home", F.pmod(F.xxhash64("word"), "parts"))
                  .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
         rows = dealt.select("block", "part", "word", "n", (F.col("part") == F.col("home")).alias("held"))
+        rows = rows.repartition(blocks, "block", "part")  # a block is small in bytes but not in work
         sides.append(rows.groupBy("block", "part").applyInArrow(_near_in_block(left), "word string, near string, near_n long"))
     return sides[0].unionByName(sides[1])
 
