@@ -82,3 +82,17 @@ def test_state_comes_back_and_empty_tables_fit(rows, spark):
     assert np.array_equal(m.scores(v, np.zeros(len(x), int)), again.scores(v, np.zeros(len(x), int)))
     empty = Boosted(FEATURES, "absolute", **P).fit(rows.where("false"))
     assert not empty.rounds and empty.transform(rows.limit(2), "s").count() == 2
+
+
+def test_only_splits_and_leaf_values_reach_the_driver(rows, monkeypatch):
+    import pickle
+    from pyspark import RDD
+    sizes, collect = [], RDD.collect
+
+    def weighed(rdd):
+        out = collect(rdd)
+        sizes.append(len(pickle.dumps(out)))
+        return out
+    monkeypatch.setattr(RDD, "collect", weighed)
+    m = Boosted(FEATURES, "absolute", **{**P, "maxIter": 1}).fit(rows, 3)
+    assert len(m.rounds) == 1 and max(sizes) < 20_000
