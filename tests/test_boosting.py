@@ -96,3 +96,9 @@ def test_only_splits_and_leaf_values_reach_the_driver(rows, monkeypatch):
     monkeypatch.setattr(RDD, "collect", weighed)
     m = Boosted(FEATURES, "absolute", **{**P, "maxIter": 1}).fit(rows, 3)
     assert len(m.rounds) == 1 and max(sizes) < 20_000
+
+
+def test_a_model_without_rows_never_rises(rows):
+    m = Boosted(FEATURES, "logistic", **{**P, "maxIter": 1}).fit(rows.where("false"))
+    assert m.falls(0)
+    assert m.transform(rows.limit(2), "p").first()["p"] == [0.5, 0.5]
