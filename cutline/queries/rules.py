@@ -263,4 +263,4 @@ def _(m):
     fitted = p.where(d <= edge).groupBy("symbol").agg(F.avg(F.col("ret") * 100 - F.col("signal")).alias("resid"))
     late = cut_lineage(p.where(d > edge).join(fitted, "symbol", "left"))
     a, rule, val = fit_blend(late, "signal", "resid", cfg={"cuts": CUTS})
-    return m.spark.createDataFrame([(a, rule.params["k"], val)], "alpha double, k double, score double").withColumn("score", r6("score"))
+    return m.spark.createDataFrame([(a, rule.params["k"], val)], "alpha double, k double, score double").withColumn("score", r6(F.nanvl("score", F.lit(None).cast("double"))))
