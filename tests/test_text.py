@@ -194,3 +194,15 @@ def test_wanted_symbols_meet_comma_joined_tags(spark):
     want = spark.createDataFrame([("BB",), ("BB",)], "symbol string")
     out = symbol_filter(news, want)
     assert sorted(r["id"] for r in out.collect()) == [1, 4, 5] and out.columns == ["id", "symbols"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_where_their_text_lies(spark):
+    import re
+    from cutline.operators.termweights import term_weights
+    docs = spark.createDataFrame([(1, "one two two"), (2, "two three")], "id int, text string")
+    for name in ("tfidf_bi", "tfidf_char"):
+        assert not re.search(r"hashpartitioning\(id#\d+, (term|_w)#", _plan(term_weights(docs, "id", "text", name, min_df=1)))
