@@ -206,3 +206,17 @@ def test_terms_are_counted_where_their_text_lies(spark):
     docs = spark.createDataFrame([(1, "one two two"), (2, "two three")], "id int, text string")
     for name in ("tfidf_bi", "tfidf_char"):
         assert not re.search(r"hashpartitioning\(id#\d+, (term|_w)#", _plan(term_weights(docs, "id", "text", name, min_df=1)))
+
+
+def test_mentions_are_found_inside_the_row(spark):
+    from cutline.operators.textblock import mention_patterns, with_mentions
+    x = with_mentions(spark.createDataFrame([("Acme",)], "title string"), "title", mention_patterns(spark, ["BB"], {"BB": ["Acme"]}))
+    assert "Join" not in _plan(x) and x.first()["mentioned"] == ["BB"]
+
+
+def test_title_vectors_are_made_inside_the_row(spark):
+    from cutline.operators.textblock import title_vectors
+    x = title_vectors(spark.createDataFrame([(1, "Gain gain loss"), (2, "")], "id int, title string"))
+    assert "Exchange" not in _plan(x)
+    got = {r["id"]: sorted(r["weights"]) for r in x.collect()}
+    assert got[2] == [] and all(abs(a - b) < 1e-12 for a, b in zip(got[1], [1 / 5 ** 0.5, 2 / 5 ** 0.5]))
