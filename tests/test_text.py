@@ -220,3 +220,27 @@ def test_title_vectors_are_made_inside_the_row(spark):
     assert "Exchange" not in _plan(x)
     got = {r["id"]: sorted(r["weights"]) for r in x.collect()}
     assert got[2] == [] and all(abs(a - b) < 1e-12 for a, b in zip(got[1], [1 / 5 ** 0.5, 2 / 5 ** 0.5]))
+
+
+def test_few_titles_meet_their_whole_past(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    common, rare = [f"w{c}" for c in "abcdef"], [f"v{c}" for c in "abcdefgh"]
+    rows = [("A", w, f"k{w}-{i}", " ".join(rng.choice(common, 40))) for w in range(4) for i in range(150)]
+    rows += [("A", w, f"odd{w}", f"{rare[w]} {rare[w + 1]}") for w in range(4)]
+    asked = []
+    whole = T.best_past
+
+    def counted(some, past, window, block):
+        asked.append((some.count(), past.count()))
+        return whole(some, past, window, block)
+
+    monkeypatch.setattr(T, "best_past", counted)
+    got = {r["widx"]: r["novelty_r1"] for r in T.novelty(spark.createDataFrame(rows, "symbol string, widx int, ckey string, title string"), block_titles=64).collect()}
+    assert got == pytest.approx({0: 1.0, 1: 0.5, 2: 0.5, 3: 0.5})
+    assert all(min(pair) <= len(rows) // 4 for pair in asked)  # all titles meet a sample, few meet all
+
+
+def test_open_titles_are_those_that_may_decide(spark):
+    low = spark.createDataFrame([("A", 1, "a", 0.2), ("A", 1, "b", 0.4), ("A", 1, "c", 0.6), ("A", 2, "d", 0.0)], "symbol string, widx int, ckey string, low double")
+    found = spark.createDataFrame([("A", 1, "a", 0.5), ("A", 2, "d", 0.0)], "symbol string, widx int, ckey string, best double")
+    assert [r["ckey"] for r in T.open_titles(low, found).collect()] == ["b"]
