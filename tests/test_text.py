@@ -244,3 +244,21 @@ def test_open_titles_are_those_that_may_decide(spark):
     low = spark.createDataFrame([("A", 1, "a", 0.2), ("A", 1, "b", 0.4), ("A", 1, "c", 0.6), ("A", 2, "d", 0.0)], "symbol string, widx int, ckey string, low double")
     found = spark.createDataFrame([("A", 1, "a", 0.5), ("A", 2, "d", 0.0)], "symbol string, widx int, ckey string, best double")
     assert [r["ckey"] for r in T.open_titles(low, found).collect()] == ["b"]
+
+
+def test_template_filters_do_not_redo_the_titles(spark):
+    t = dt.datetime(2024, 1, 3, 12)
+    news = spark.createDataFrame([(t, "ABC", "s", "Acme &amp; Co up", 1.0), (t, "ABC", "s", "Fund trims stake in Acme", 1.0)], "known_at timestamp_ntz, symbols string, source string, title string, tone double")
+    cal = trading_calendar(spark.createDataFrame([(dt.date(2024, 1, d),) for d in (3, 4)], "date_et date"))
+    a = T.article_table(news, cal, spark.createDataFrame([("ABC",)], "symbol string"), T.mention_patterns(spark, ["ABC"], ALIAS))
+    reps = T.representatives(a)
+    assert _plan(reps).count("ArrowEvalPython") == _plan(a).count("ArrowEvalPython")
+    assert [r["title"] for r in reps.collect()] == ["Acme & Co up"]
+
+
+def test_template_words_leave_no_match_out(spark):
+    yes = ["10 SHARES sold by", "shares in X bought by", "raises its holdings", "Holding cut", "has $5 million", "invests $2.5 billion in", "Stock Position", "takes position in",
+           "buys 1,000 shares", "sells $5 in stock", "INSIDER buying", "short interest", "stocks to watch", "watchlist", "po\u017fition in", "po\u017fItIon raised", "pos\u0130tion cut", "\u017ftake trimmed", "pos\u0131tion cut", "stoc\u212a position"]
+    df = titles(spark, *yes, "holds nothing", "share", "", None)
+    want = col(df, F.coalesce(F.col("title").rlike("(?iU)" + X.TEMPLATE_RX), F.lit(False)).cast("int"))
+    assert col(df, X.is_template("title")) == want and sum(want) == len(yes)
