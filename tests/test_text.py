@@ -262,3 +262,22 @@ def test_template_words_leave_no_match_out(spark):
     df = titles(spark, *yes, "holds nothing", "share", "", None)
     want = col(df, F.coalesce(F.col("title").rlike("(?iU)" + X.TEMPLATE_RX), F.lit(False)).cast("int"))
     assert col(df, X.is_template("title")) == want and sum(want) == len(yes)
+
+
+def test_carried_columns_are_made_once(spark):
+    from cutline.operators.events import tagged
+    n = spark.createDataFrame([(1, "A,B", "x"), (2, None, "yx"), (3, "A", None)], "id int, symbols string, title string")
+    x = tagged(n.withColumn("flag", F.regexp_replace("title", "y+", "z")), carry=("flag",)).where("flag = 'x'")
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert sorted((r["id"], r["symbol"]) for r in x.collect()) == [(1, "A"), (1, "B")]
+    assert sorted((r["id"], r["symbol"]) for r in tagged(n, carry=("title",)).collect()) == [(1, "A"), (1, "B"), (2, ""), (3, "A")]
+
+
+def test_titles_are_masked_once(spark, tmp_path):
+    from cutline.queries.composites import annotation_signs
+    from cutline.sources.market import Market
+    for table, rows in (("documents", "SELECT 1L AS doc_id, 'x' AS text, 'en' AS lang, 's' AS source, 1L AS n_chars"),
+                        ("events", "SELECT 1L AS event_id, 1L AS user_id, TIMESTAMP_NTZ '2024-01-02 10:00:00' AS ts, 1.0D AS value")):
+        spark.sql(rows).write.parquet(str(tmp_path / f"{table}.parquet"))
+    raw, anon = (x._jdf.queryExecution().optimizedPlan().toString().count("(?iU)") for x in annotation_signs(Market(spark, str(tmp_path))))
+    assert (raw, anon) == (0, 1)
