@@ -281,3 +281,61 @@ def test_titles_are_masked_once(spark, tmp_path):
         spark.sql(rows).write.parquet(str(tmp_path / f"{table}.parquet"))
     raw, anon = (x._jdf.queryExecution().optimizedPlan().toString().count("(?iU)") for x in annotation_signs(Market(spark, str(tmp_path))))
     assert (raw, anon) == (0, 1)
+
+
+TITLES = [("A", 1, "k1", "Profit falls. Market rises"), ("A", 2, "k2", "!!"), ("A", 2, "k3", "profit not the market"), ("B", 1, "k4", ""), ("C", 1, "k5", "Rises rises"), ("D", 1, "k6", ""), ("D", 1, "k7", "")]
+
+
+@pytest.mark.parametrize("name", ["tfidf_uni", "tfidf_bi", "tfidf_stop", "count_uni", "tfidf_char", "lm_vocab", "hashing"])
+def test_terms_of_titles_are_those_of_the_joined_text(spark, name):
+    from cutline.operators.termweights import text_terms, title_terms
+    from cutline.operators.textblock import joined_titles
+    reps = spark.createDataFrame([(s, s, at, key, t) for s, at, key, t in TITLES], "symbol string, widx string, known_at int, ckey string, title string")
+    words = spark.createDataFrame([("Profit",), ("falls",)], "word string")
+    one = text_terms(joined_titles(reps), ["symbol"], "titles_r1", name, words)
+    each = title_terms(reps, name, words, keys=["symbol"])
+    rows = lambda t: (sorted(r[0] for r in t.held.collect()), sorted(tuple(r) for r in t.counts.collect()))
+    assert rows(each) == rows(one) and rows(each)[0] == ["A", "C", "D"]
+
+
+@pytest.mark.parametrize("name", ["tfidf_bi", "count_uni"])
+def test_text_model_finds_the_least_loss_without_a_vocabulary_on_the_driver(spark, name, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from cutline.operators.termweights import title_terms
+    from cutline.plans import termmodel
+    from cutline.plans.signals import BigMoveModel
+    monkeypatch.setattr(termmodel, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    reps = spark.createDataFrame([(f"S{i}", 1, k, f"k{k}", " ".join(rng.choice(words, 5))) for i in range(40) for k in range(2)], "symbol string, target int, known_at int, ckey string, title string")
+    rows = spark.createDataFrame([(f"S{i}", 1, i % 5) for i in range(41)], "symbol string, target int, label int")
+    terms = title_terms(reps, name)
+    model = BigMoveModel("text", min_df=2, vectorizer=name)
+    monkeypatch.setattr(BigMoveModel, "inputs", property(lambda self: pytest.fail("vocabulary collected")))
+    got = {r["symbol"]: r["p_big"] for r in model.fit(rows, terms=terms).transform(rows, terms=terms).collect()}
+    assert len(got) == 41 and got["S40"] is None
+    monkeypatch.undo()
+    # pyspark.ml on the joined titles
+    from cutline.operators.textblock import joined_titles
+    joined = joined_titles(reps.withColumn("widx", F.lit(1))).join(rows, "symbol")
+    x = model._features(joined).withColumn("_y", F.col("label").isin(0, 4).cast("double"))
+    n, pos = 40, x.agg(F.sum("_y")).first()[0]
+    x = x.withColumn("_w", F.when(F.col("_y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
+    want = LogisticRegression(labelCol="_y", weightCol="_w", standardization=False, maxIter=500, tol=1e-12, regParam=1 / n).fit(x)
+    p = {r["symbol"]: r["probability"][1] for r in want.transform(x).select("symbol", "probability").collect()}
+    assert max(abs(got[s] - p[s]) for s in p) < 5e-3
+    vocabulary, coef = model.inputs[0].vocabulary, want.coefficients.toArray()
+    assert all(abs(r["coef"] - coef[vocabulary.index(r["term"])]) < 1e-2 for r in model.fitted.collect())
+    ends = model.terms(spark, 3).collect()
+    assert [r["direction"] for r in ends] == ["up"] * 3 + ["down"] * 3 and ends[0]["coef"] == max(r["coef"] for r in model.fitted.collect())
+
+
+def test_a_text_candidate_is_saved_and_loaded(spark, tmp_path):
+    from cutline.operators.termweights import title_terms
+    from cutline.plans.signals import BigMoveModel
+    rows = spark.createDataFrame([(i, f"alpha w{i % 3} beta", i % 5) for i in range(20)], "id int, titles_r1 string, label int")
+    model = BigMoveModel("text", min_df=1).fit(rows)
+    model.tables()["terms"].write.parquet(str(tmp_path / "terms"))
+    again = BigMoveModel(**model.settings()["made"])
+    again.restore(model.settings(), str(tmp_path), spark)
+    assert sorted(again.transform(rows).collect()) == sorted(model.transform(rows).collect())
