@@ -287,22 +287,30 @@ E18_ALL = [c for columns in FEATURE_GROUPS.values() for c in columns if c not in
 
 
 def point_in_time(m, groups, numeric, exact=(), days=E18_DAYS):
-    """Panel rows of these groups, recomputed from tables cut at the cutoff of each sampled day, beside the full-history rows."""
-    from ..operators.calendar import at_cutoff
-    from ..operators.textblock import article_table
+    """Panel rows of these groups, recomputed from tables cut at the cutoff of each sampled day, beside the full-history rows.
+
+    What all builds read is made once: the market's tables, and what a title alone decides. Windows, tags, stories and all that
+    looks at more than one row is done again on every cut table."""
+    from ..operators.calendar import assign_window, at_cutoff
+    from ..operators.textblock import tagged_articles, with_article_text
     from ..plans.panel import build_panel, label_panel
     from ..sources.tables import asof, hash_sample
-    tables = {"daily": m.daily, "price": m.price, "earnings": m.events_month, "analyst": m.events_month, "news": m.news}
+    events = cut_lineage(m.events_month)
+    tables = {"daily": cut_lineage(m.daily), "price": cut_lineage(m.price), "earnings": events, "analyst": events, "news": m.news}
+    if any(g.startswith("txt") for g in groups):
+        tables["articles"] = cut_lineage(with_article_text(m.news, m.patterns))
 
-    def build(t, cal):
-        text = {"articles": article_table(t["news"], cal, m.universe, m.patterns), "aliased": m.aliases, "lexicon": m.lexicon}
-        return label_panel(build_panel(t, cal, m.universe, groups, text=text, tie="o_orderkey"), m.daily, CUTS)
+    def build(t, cal, targets=None):
+        text = {"aliased": m.aliases, "lexicon": m.lexicon, "targets": targets}
+        if "articles" in t:
+            text["articles"] = tagged_articles(assign_window(t["articles"], cal, "known_at").drop("date"), m.universe)
+        return label_panel(build_panel(t, cal, m.universe, groups, text=text, tie="o_orderkey"), tables["daily"], CUTS)
 
     full = cut_lineage(build(tables, m.cal))
     out = None
     for (day,) in hash_sample(m.cal.select("target"), "target", days, 11).collect():
         cut = at_cutoff(F.lit(day))
-        part = build({name: asof(t, until=cut) for name, t in tables.items()}, m.cal.where(F.col("target") <= F.lit(day)))
+        part = build({name: asof(t, until=cut) for name, t in tables.items()}, m.cal.where(F.col("target") <= F.lit(day)), [day])
         r = K.compare_panels(part.where(F.col("target") == F.lit(day)), full.where(F.col("target") == F.lit(day)), ["symbol", "target"], numeric, exact)
         out = r if out is None else out.unionByName(r)
     return out.groupBy("column").agg(F.max("unmatched").alias("unmatched"), F.max("null_mismatch").alias("null_mismatch"),

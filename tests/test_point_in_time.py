@@ -17,3 +17,16 @@ def test_every_feature_column(spark):
     rows = V.point_in_time(Market(spark, SF), tuple(FEATURE_GROUPS), V.E18_ALL, V.E18_TEXT, days=1).collect()
     assert V.E18_DAYS == 8 and {r["column"] for r in rows} == {c for g in FEATURE_GROUPS.values() for c in g} | {"label"}
     assert all(r["violations"] == r["unmatched"] == r["null_mismatch"] == 0 for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_titles_are_worked_once_for_all_sampled_days(spark, monkeypatch):
+    from cutline.fixed import FEATURE_GROUPS
+    from cutline.operators import textblock as T
+    from cutline.queries import evaluation as V
+    from cutline.queries.base import Market
+    made = []
+    whole = T.with_mentions
+    monkeypatch.setattr(T, "with_mentions", lambda *a, **k: made.append(1) or whole(*a, **k))
+    rows = V.point_in_time(Market(spark, SF), tuple(FEATURE_GROUPS), V.E18_ALL, V.E18_TEXT, days=2).collect()
+    assert len(made) == 1 and all(r["violations"] == r["unmatched"] == r["null_mismatch"] == 0 for r in rows)

@@ -339,3 +339,12 @@ def test_a_text_candidate_is_saved_and_loaded(spark, tmp_path):
     again = BigMoveModel(**model.settings()["made"])
     again.restore(model.settings(), str(tmp_path), spark)
     assert sorted(again.transform(rows).collect()) == sorted(model.transform(rows).collect())
+
+
+def test_novelty_of_some_days_is_that_of_all(spark):
+    rng = np.random.default_rng(2)
+    rows = [("A", w, f"k{w}-{i}", f"d{w}", " ".join(f"w{'abcdefgh'[j]}" for j in rng.integers(0, 8, 5))) for w in range(6) for i in range(6)]
+    reps = spark.createDataFrame(rows, "symbol string, widx int, ckey string, target string, title string")
+    every = {r["widx"]: r["novelty_r1"] for r in T.novelty(reps, window=3).collect()}
+    some = {r["widx"]: r["novelty_r1"] for r in T.novelty(reps, window=3, targets=["d2", "d5"]).collect()}
+    assert some == pytest.approx({w: every[w] for w in (2, 5)})
