@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import drop_written, slices, written
 
 WINDOW = 50
 SEED_WORDS = 8                     # words of a minimiser
 RUN = 512                          # windows of one packed string at most; longer runs continue in the next string
-HOT = 1 << 15                      # a minimiser of more windows is counted by window digests, spread by hash
+HOT = 1 << 15                      # a minimiser of more windows in different runs is counted by window digests, spread by hash
 TEXT_BYTES = 1 << 20               # bytes of texts held at once in a task
 SORT_BYTES = 1 << 22               # bytes of packed strings whose windows are sorted at once; a group of HOT windows at most stays whole
 _BASE = 0x9E3779B97F4A7C15         # odd, so that it has an inverse modulo 2**64
@@ -94,31 +94,30 @@ def _in_groups(texts: list, window: int, m: int, size: int = 1 << 18):
 
 
 def _references(docs: DataFrame, window: int, m: int) -> DataFrame:
-    """(minimiser, windows, doc_id, tid, lo, hi): each minimiser of each document once; lo and hi digest its word sequence."""
-    names = ["minimiser", "windows", "doc_id", "tid", "lo", "hi"]
+    """(minimiser, doc_id, tid, lo, hi): each minimiser of each document once; lo and hi digest its word sequence."""
+    names = ["minimiser", "doc_id", "tid", "lo", "hi"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, TEXT_BYTES, 2):
-                rows, found, counts, digests = [], [], [], []
+                rows, found, digests = [], [], []
                 for i, joined, _, _, values in _in_groups(part.column(2).to_pylist(), window, m):
-                    value, n = np.unique(values, return_counts=True)
+                    value = np.unique(values)
                     rows.append(np.full(value.size, i))
                     found.append(value)
-                    counts.append(n)
                     digests.append(np.repeat(np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64)[None, :], value.size, axis=0))
                 if rows:
                     at, digest = pa.array(np.concatenate(rows)), np.concatenate(digests)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(counts)), part.column(0).take(at), part.column(1).take(at),
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(at), part.column(1).take(at),
                                                       pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=names)
-    return docs.mapInArrow(run, "minimiser long, windows long, doc_id long, tid long, lo long, hi long")
+    return docs.mapInArrow(run, "minimiser long, doc_id long, tid long, lo long, hi long")
 
 
-_PACKED = "minimiser long, doc_id long, tid long, start int, packed binary, lo long, hi long"
+_PACKED = "minimiser long, doc_id long, tid long, start int, windows int, lo long, hi long, packed binary"
 
 
 def _packed(docs: DataFrame, window: int, m: int) -> DataFrame:
-    """The shared runs: as a packed string, or where the minimiser is hot as one digest per window."""
+    """The runs of shared minimisers as packed strings; lo and hi digest the string."""
     types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[n.split()[1]] for n in _PACKED.split(", ")]
     names = [n.split()[0] for n in _PACKED.split(", ")]
 
@@ -126,28 +125,37 @@ def _packed(docs: DataFrame, window: int, m: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, TEXT_BYTES, 2):
                 out = [[] for _ in names]
-
-                def put(*row):
-                    for column, value in zip(out, row):
-                        column.append(value)
-
                 docs, tids, texts, wanted = (c.to_pylist() for c in part.columns)
                 for i, joined, starts, ends, values in _in_groups(texts, window, m):
-                    hot = {s["minimiser"]: s["hot"] for s in wanted[i]}
+                    keep = set(wanted[i])
                     for a, b in runs(values):
-                        is_hot = hot.get(key := int(values[a]))
-                        if is_hot is None:
-                            continue
-                        if not is_hot:
-                            put(key, docs[i], tids[i], a, joined[starts[a]:ends[b + window - 2]], None, None)
-                            continue
-                        for w in range(a, b):
-                            lo, hi = np.frombuffer(xxhash.xxh3_128_digest(joined[starts[w]:ends[w + window - 1]]), np.int64).tolist()
-                            put(key, docs[i], tids[i], w, None, lo, hi)
+                        if (key := int(values[a])) in keep:
+                            packed = joined[starts[a]:ends[b + window - 2]]
+                            lo, hi = np.frombuffer(xxhash.xxh3_128_digest(packed), np.int64).tolist()
+                            for column, value in zip(out, (key, docs[i], tids[i], a, b - a, lo, hi, packed)):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
     return docs.mapInArrow(run, _PACKED)
 
 
+def _windows(strings: DataFrame, window: int) -> DataFrame:
+    """(lo, hi, doc_id, tid, start): a digest of every window of the packed strings."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, TEXT_BYTES // window, 3):
+                rows, places, digests = [], [], []
+                for i, (start, packed) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    starts, ends = offsets(packed.split(b" "))
+                    n = starts.size - window + 1
+                    rows.append(np.full(n, i))
+                    places.append(np.arange(start, start + n))
+                    digests += [xxhash.xxh3_128_digest(packed[a:b]) for a, b in zip(starts[:n].tolist(), ends[window - 1:].tolist())]
+                at, digest = pa.array(np.concatenate(rows)), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), part.column(0).take(at), part.column(1).take(at),
+                                                  pa.array(np.concatenate(places))], names=["lo", "hi", "doc_id", "tid", "start"])
+    return strings.select("doc_id", "tid", "start", "packed").mapInArrow(run, "lo long, hi long, doc_id long, tid long, start long")
+
+
 def window_ranks(joined: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(byte past each word and its space, a number for each window of words; equal numbers mean equal words).
 
@@ -234,26 +242,39 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     1. Every document names its minimisers. Later copies of a whole word sequence are covered from end to end and drop out.
     2. A window in two documents has the same minimiser in both, so only minimisers of two or more documents matter.
-    3. Runs with such a minimiser go to its bucket as packed strings; their windows are sorted and the smallest doc_id of equal
-       windows is known. A minimiser of more than HOT windows sends digests of 128 bits instead, grouped by hash.
+    3. Runs with such a minimiser are packed strings. Of equal runs only the smallest document's is looked into: the others are covered from end to end.
+    4. What is left goes to the minimiser's bucket; its windows are sorted and the smallest doc_id of equal windows is known. A
+       minimiser that still has more than HOT windows sends digests of 128 bits instead, grouped by hash.
     """
     m = min(SEED_WORDS, window)
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
     refs = written(_references(keyed, window, m), "references")
     first = written(refs.groupBy("lo", "hi").agg(F.min("doc_id").alias("first")), "first")
     owner = first.select(F.col("first").alias("doc_id"), "lo", "hi")
-    own = written(refs.join(owner, ["doc_id", "lo", "hi"]).select("minimiser", "windows", "doc_id", "tid"), "own")
-    shared = (own.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("windows").alias("n"))
-              .where("a < b").select("minimiser", (F.col("n") > HOT).alias("hot")))
-    wanted = own.join(shared, "minimiser").groupBy("doc_id", "tid").agg(F.collect_set(F.struct("minimiser", "hot")).alias("shared"))
+    own = written(refs.join(owner, ["doc_id", "lo", "hi"]).select("minimiser", "doc_id", "tid"), "own")
+    whole = written(refs.select("doc_id", "tid", "lo", "hi").distinct().join(first, ["lo", "hi"]).where("doc_id > first")
+                    .select("doc_id", "tid", F.lit(0).cast("long").alias("b"), F.lit((1 << 62)).alias("e")), "whole")
+    drop_written(refs, first)
+    shared = own.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minimiser")
+    wanted = written(own.join(shared, "minimiser").groupBy("doc_id", "tid").agg(F.collect_set("minimiser").alias("shared")), "wanted")
+    drop_written(own)
     strings = written(_packed(keyed.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "shared"), window, m), "strings")
-    cold = _spans_of_strings(strings.where("packed IS NOT NULL"), window)
-    hot = strings.where("packed IS NULL").select("lo", "hi", "doc_id", "tid", "start")
-    least = hot.groupBy("lo", "hi").agg(F.min("doc_id").alias("least"))
-    warm = hot.join(least, ["lo", "hi"]).where("doc_id > least").select("doc_id", "tid", F.col("start").cast("long").alias("b"), (F.col("start") + window).cast("long").alias("e"))
-    whole = (refs.select("doc_id", "tid", "lo", "hi").distinct().join(first, ["lo", "hi"]).where("doc_id > first")
-             .select("doc_id", "tid", F.lit(0).cast("long").alias("b"), F.lit((1 << 62)).alias("e")))
-    return merged(cold.unionByName(warm).unionByName(whole))
+    drop_written(wanted)
+
+    each = strings.groupBy("minimiser", "lo", "hi", "doc_id").agg(F.sum("windows").alias("windows"))
+    least = written(each.groupBy("minimiser", "lo", "hi").agg(F.min("doc_id").alias("least"), F.min_by("windows", "doc_id").alias("windows")), "least")
+    kinds = (least.groupBy("minimiser").agg(F.min("least").alias("a"), F.max("least").alias("b"), F.sum("windows").alias("n"))
+             .where("a < b").select("minimiser", (F.col("n") > HOT).alias("hot")))
+    heads = least.join(kinds, "minimiser").select("minimiser", "lo", "hi", F.col("least").alias("doc_id"), "hot")
+    left = written(strings.join(heads, ["minimiser", "lo", "hi", "doc_id"]).select("minimiser", "doc_id", "tid", "start", "packed", "hot"), "left")
+    past = (F.col("start") + F.col("windows") + (window - 1)).cast("long")
+    equal = (strings.drop("packed").join(least.drop("windows"), ["minimiser", "lo", "hi"]).where("doc_id > least")
+             .select("doc_id", "tid", F.col("start").cast("long").alias("b"), past.alias("e")))
+    cold = _spans_of_strings(left.where("NOT hot"), window)
+    hot = written(_windows(left.where("hot"), window), "windows")
+    smallest = hot.groupBy("lo", "hi").agg(F.min("doc_id").alias("least"))
+    warm = hot.join(smallest, ["lo", "hi"]).where("doc_id > least").select("doc_id", "tid", F.col("start").alias("b"), (F.col("start") + window).alias("e"))
+    return merged(cold.unionByName(warm).unionByName(equal).unionByName(whole))
 
 
 def merged(spans: DataFrame) -> DataFrame:

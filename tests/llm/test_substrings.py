@@ -115,3 +115,21 @@ def test_minimisers_follow_the_words_not_the_place():
             runs = list(S.runs(values))
             assert 8 < len(runs) < 40 and runs[0][0] == 0 and runs[-1][1] == len(values) == 351
         assert (whole[cut:] == values).all() and len(set(values.tolist())) > 5
+
+
+def test_copies_of_a_run_are_one_run(spark, monkeypatch):
+    """Near copies of one text share runs: windows are looked at one by one only in the first document of equal runs."""
+    monkeypatch.setattr(S, "HOT", 500)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(base[:150] + [f"own{d}"] + base[150:])) for d in range(80)]
+    counts, written = {}, S.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "written", counted)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute(rows, 50)
+    assert counts["strings"] < 80 * 40 and counts["windows"] < 80 * 100, counts  # 252 windows a document
