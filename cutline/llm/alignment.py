@@ -89,13 +89,27 @@ class Aligner:
         self.groups.extend(said[:-1])
         self.links.extend(links[x:y].tobytes() for x, y in zip(bounds, bounds[1:]))
 
+    def _give_back(self, texts: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of a text's tokens are the text, in both vocabularies. All texts are compared as one first: with equal bytes and equal lengths each is."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        whole = b"".join(texts)
+        for ids, of, length in ((ids_a, self._a_bytes, self._a_length), (ids_b, self._b_bytes, self._b_length)):
+            flat = list(chain.from_iterable(ids))
+            past = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            size = np.append(0, np.cumsum(length[flat]))[past] if flat else past
+            if not np.array_equal(size, np.cumsum(lengths)) or b"".join(map(of.__getitem__, flat)) != whole:
+                break
+        else:
+            return [True] * len(texts)
+        return [b"".join(map(self._a_bytes.__getitem__, a)) == t == b"".join(map(self._b_bytes.__getitem__, b)) for t, a, b in zip(texts, ids_a, ids_b)]
+
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 1024):
             names = new[at:at + 1024]
-            ids_a = [e.ids for e in self._a.encode_batch([" " + t for t in names], add_special_tokens=False)]
+            ids_a = [e.ids for e in self._a.encode_batch_fast([" " + t for t in names], add_special_tokens=False)]
             ids_b = [b if t else [self._blank] for t, b in zip(names, self._b.encode(names, num_threads=1))]
             texts = [b" " + t.encode() for t in names]
-            good = [b"".join(map(self._a_bytes.__getitem__, a)) == t == b"".join(map(self._b_bytes.__getitem__, b)) for t, a, b in zip(texts, ids_a, ids_b)]
+            good = self._give_back(texts, ids_a, ids_b)
             first = len(self.sizes)
             if any(good):
                 self._align(*(list(compress(x, good)) for x in (texts, ids_a, ids_b)))
@@ -152,9 +166,9 @@ def _chunk(own: Aligner, number: int, h1, h2, texts: list[bytes], copies: np.nda
             own.clear()
         for segments in own.segments([t.decode() for t in texts[at:at + GROUP]]):
             listed = segments.tolist()
-            sizes = [own.sizes[s] for s in listed]
-            good = all(s[2] >= 0 for s in sizes)
-            a, b, groups = (sum(s[k] for s in sizes) if good else 0 for k in range(3))
+            sizes = list(zip(*map(own.sizes.__getitem__, listed)))
+            good = min(sizes[2]) >= 0
+            a, b, groups = map(sum, sizes) if good else (0, 0, 0)
             measures.append((a, b, groups, a + b - groups))
             text = ";".join([own.groups[s] for s in listed]) if good else ""
             written_groups.append(hashlib.sha256(text.encode()).hexdigest() if good and digest else text)
