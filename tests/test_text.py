@@ -348,3 +348,12 @@ def test_novelty_of_some_days_is_that_of_all(spark):
     every = {r["widx"]: r["novelty_r1"] for r in T.novelty(reps, window=3).collect()}
     some = {r["widx"]: r["novelty_r1"] for r in T.novelty(reps, window=3, targets=["d2", "d5"]).collect()}
     assert some == pytest.approx({w: every[w] for w in (2, 5)})
+
+
+def test_weights_are_worked_once(spark):
+    """Counts meet their document frequencies once and unsorted, and one frame scales them."""
+    import re
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 3}") for i in range(30)], "id long, text string")
+    for name in ("tfidf_bi", "tfidf_char", "tfidf_uni"):
+        plan = _plan(term_weights(docs, "id", "text", name, min_df=1))
+        assert "SortMergeJoin" not in plan and len(re.findall(r"(?:ShuffledHash|BroadcastHash)Join", plan)) == 1
