@@ -266,7 +266,7 @@ class Boosted:
     def falls(self, unit: int, tolerance: float = 1e-3) -> bool:
         """Whether the unit's training loss fell and never rose (a model without any row has none); a leaf's median is known to one of RESIDUAL_BINS, hence the tolerance."""
         curve = [c[unit] for c in self.curve]
-        return not curve or curve[-1] <= curve[0] and all(b <= a + tolerance * max(1.0, a) for a, b in zip(curve, curve[1:]))
+        return not curve or bool(curve[-1] <= curve[0]) and all(b <= a + tolerance * max(1.0, a) for a, b in zip(curve, curve[1:]))
 
     def scores(self, values: np.ndarray, unit: np.ndarray) -> np.ndarray:
         bins, depth = _binned(values, self.edges), int(self.params["maxDepth"])

@@ -102,3 +102,11 @@ def test_a_model_without_rows_never_rises(rows):
     m = Boosted(FEATURES, "logistic", **{**P, "maxIter": 1}).fit(rows.where("false"))
     assert m.falls(0)
     assert m.transform(rows.limit(2), "p").first()["p"] == [0.5, 0.5]
+
+
+def test_a_loss_that_rises_is_a_plain_false():
+    """A table of booleans takes no numpy value."""
+    from cutline.plans.boosting import Boosted
+    model = Boosted(["x"], "absolute")
+    model.curve = [np.array([1.0, 2.0]), np.array([1.5, 1.0])]
+    assert model.falls(0) is False and model.falls(1) is True
